@@ -11,13 +11,15 @@ from . import (
     decontaminate,
     directcodes,
     factorization,
+    licences,
     packing,
     quality,
+    rollup,
     simhash,
     urlfilter,
     warc,
 )
-from .common import new_path, table
+from .common import new_path, table, written
 
 #: host, path, verdict
 URL_RULES = [
@@ -34,6 +36,37 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("clean_text")
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of each document: paragraphs, statements found, confirmed families."""
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.train(docs), keep=["doc_id"])
+    confirmed = F.filter("licences", lambda x: x["confirmed"])
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("licences").cast("long").alias("n_statements"),
+        F.size(confirmed).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(confirmed["family"])), ",").alias("families"),
+    )
+
+
+def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches, one of them committed twice: all documents inserted under
+    two tokenizer versions, poor documents deleted, toxic ones revised to unrepeated lines."""
+    docs, store = table(spark, sf_dir, "documents"), new_path(spark, "rollups")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    counts = written(rollup.bpe_counts(docs).unionByName(rollup.word_counts(docs)), "token-counts")
+    poor = labels.where("quality = 0").select("doc_id")
+    toxic = labels.where("toxic = 1 and quality = 1").select("doc_id")
+    shorter = rollup.without_repeated_lines(docs.join(toxic, "doc_id", "left_semi"))
+    rollup.commit(spark, store, "load", rollup.signed(counts, 1))
+    rollup.commit(spark, store, "poor", rollup.signed(counts.join(poor, "doc_id", "left_semi"), -1))
+    new = rollup.bpe_counts(shorter).unionByName(rollup.word_counts(shorter))
+    rollup.commit(spark, store, "revision", rollup.revised(counts.join(toxic, "doc_id", "left_semi"), new))
+    rollup.commit(spark, store, "load", rollup.signed(counts, 1))
+    return rollup.totals(spark, store)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -103,6 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_licence_scan,
+        op3_token_rollups,
         op4_packing,
         op5_warc,
         op6_token_files,
