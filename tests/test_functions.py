@@ -131,7 +131,7 @@ def test_heads(spark):
 
 def test_predicates(spark):
     good = "Perez, J. (2009). A study of many things in the sea. Mar. Biol. 3, 4-5."
-    assert apply(spark, predicates.is_reference, good, "1234", "References " + good, good[:40], None) == [True, False, False, False, None]
+    assert apply(spark, predicates.is_reference, good, "1234", "References " + good, good[:40], None) == [True, False, False, False, False]
     assert apply(spark, predicates.is_abstract, "word " * 12, "see www.site.org " + "word " * 12, "short", None) == [True, False, False, False]
 
 
