@@ -129,9 +129,10 @@ def assess(
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    rows = rows.withColumn(
-        "kept", ~F.col("base_failed") & ~((F.col("n_removed_lines") > 0) & (F.col("n_words_left") < min_words_left))
-    )
+    verdict = ~F.col("base_failed") & ~((F.col("n_removed_lines") > 0) & (F.col("n_words_left") < min_words_left))
+    # Not deterministic for the optimizer, so that a filter on it stays above this row's
+    # expressions: pushed below them it would repeat each within the other's lambdas.
+    rows = rows.withColumn("kept", F.when(F.monotonically_increasing_id() >= 0, verdict))
     return rows.select("kept_columns.*", *[F.col(f"{x}").alias(out[x]) for x in names])
 
 
