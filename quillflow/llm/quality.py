@@ -1,9 +1,9 @@
 """Quality rules: base rules for each document and cross-document line frequency.
 
 Lines are normalised (lower case, one space for white space, digits as 0, trimmed) and hashed;
-for every host the distinct documents with a line are counted. Documents with the same longest
-line count as one, so copies of a document don't make its own text look like a frame that many
-documents share. A line above the limit is removed from its host's documents, and a document
+for every host the distinct documents with a line are counted. Documents with the same whole
+text count as one, so exact copies of a document don't make its own text look like a frame that
+many documents share. A line above the limit is removed from its host's documents, and a document
 left with too few words is rejected. DataFrame functions only; nothing but hashes is shuffled.
 
 A line is above the limit at more than ``min_docs`` documents and more than ``share`` of the
@@ -42,13 +42,14 @@ def frequent_lines(
 ) -> DataFrame:
     """(host, line_hash, n_docs) of the lines above the limit."""
     rows = docs.select(
-        F.col(f"`{host}`").alias("host"), F.transform(lines_of(F.col(f"`{text}`")), normalised).alias("lines")
+        F.col(f"`{host}`").alias("host"),
+        F.xxhash64(F.col(f"`{text}`")).alias("document"),
+        F.transform(lines_of(F.col(f"`{text}`")), normalised).alias("lines"),
     )
     totals = rows.groupBy("host").agg(F.count("*").alias("total")).select(F.col("host").alias("of"), "total")
-    longest = F.array_max(F.transform("lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
     return (
         rows.where(F.size("lines") > 0)
-        .select("host", F.xxhash64(longest["x"]).alias("document"), F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))).alias("hashes"))
+        .select("host", "document", F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))).alias("hashes"))
         .select("host", "document", F.explode("hashes").alias("line_hash"))
         .groupBy("host", "line_hash")
         .agg(F.count_distinct("document").alias("n_docs"))

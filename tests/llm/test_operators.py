@@ -109,6 +109,17 @@ def test_quality_lines(spark):
     assert [r["n_docs"] for r in limits] == [13]
 
 
+def test_quality_longest_line(spark):
+    rng = random.Random(2)
+    passage = " ".join(rng.choices(WORDS, k=60))
+    rows = [(i, f"{' '.join(rng.choices(WORDS, k=30))}\n{passage}", "h") for i in range(9)]
+    rows += [(20 + i, rows[0][1], "h") for i in range(3)]  # copies are one document
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [r["n_docs"] for r in quality.frequent_lines(df, "text", "source", 5, 0.1).collect()] == [9]
+    for r in quality.assess(df, min_docs=5, share=0.1).collect():
+        assert r["n_removed_lines"] == 1 and passage not in r["clean_text"] and r["n_words_left"] == 30 and r["kept"]
+
+
 # --- licences ----------------------------------------------------------------------------------
 
 
