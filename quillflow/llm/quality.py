@@ -4,12 +4,14 @@ Lines are normalised (lower case, one space for white space, digits as 0, trimme
 for every host the distinct documents with a line are counted. Documents with the same whole
 text count as one, so exact copies of a document don't make its own text look like a frame that
 many documents share. A line above the limit is removed from its host's documents, and a document
-left with too few words is rejected. DataFrame functions only; nothing but hashes is shuffled.
-
-A line is above the limit at more than ``min_docs`` documents and more than ``share`` of the
-host's documents, so a host has at most (lines in a document) / ``share`` such lines and they
-fit in one array beside each row. That table is joined by host: Spark broadcasts it while its
-measured size is below the session's threshold and otherwise splits hot hosts.
+left with too few words is rejected. DataFrame functions only.
+
+A line is above the limit at more than ``min_docs`` documents of its host, one of ``LONG_WORDS``
+words or more already at more than ``min_docs_long``; neither depends on the host's size. The
+lines found are joined by host and hash to the lines of each distinct text, and those of a text
+(no more than its own lines) come back to its rows by host and text hash. Spark broadcasts the
+found lines while their measured size is below the session's threshold and otherwise splits
+hot keys; the texts themselves are shuffled once.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_DOCS = 50
-SHARE = 0.005
+LONG_WORDS = 30
+MIN_DOCS_LONG = 3
 MIN_WORDS_LEFT = 10
 
 
@@ -37,27 +40,40 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(WORD))
 
 
+def hashed_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
+    """(host, document, line_hash, is_long): the distinct lines of the rows' texts."""
+    lines = F.transform(lines_of(F.col(f"`{text}`")), normalised)
+    long_ = lambda x: F.size(F.split(x, " ")) >= LONG_WORDS
+    found = F.array_distinct(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line_hash"), long_(x).alias("is_long"))))
+    return docs.select(
+        F.col(f"`{host}`").alias("host"), F.xxhash64(F.col(f"`{text}`")).alias("document"), F.explode(found).alias("line")
+    ).select("host", "document", "line.*")
+
+
 def frequent_lines(
-    docs: DataFrame, text: str, host: str, min_docs: int = MIN_DOCS, share: float = SHARE
+    docs: DataFrame, text: str, host: str, min_docs: int = MIN_DOCS, share: float = 0, min_docs_long: int = MIN_DOCS_LONG
 ) -> DataFrame:
-    """(host, line_hash, n_docs) of the lines above the limit."""
-    rows = docs.select(
-        F.col(f"`{host}`").alias("host"),
-        F.xxhash64(F.col(f"`{text}`")).alias("document"),
-        F.transform(lines_of(F.col(f"`{text}`")), normalised).alias("lines"),
-    )
-    totals = rows.groupBy("host").agg(F.count("*").alias("total")).select(F.col("host").alias("of"), "total")
-    return (
-        rows.where(F.size("lines") > 0)
-        .select("host", "document", F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))).alias("hashes"))
-        .select("host", "document", F.explode("hashes").alias("line_hash"))
-        .groupBy("host", "line_hash")
+    """(host, line_hash, n_docs) of the lines above the limit.
+
+    ``share`` asks for more than that part of the host's rows as well (0: no such limit).
+    """
+    found = (
+        hashed_lines(docs, text, host)
+        .groupBy("host", "line_hash", "is_long")
         .agg(F.count_distinct("document").alias("n_docs"))
-        .where(F.col("n_docs") > min_docs)
-        .join(totals, F.col("host").eqNullSafe(F.col("of")))
-        .where(F.col("n_docs") > share * F.col("total"))
-        .select("host", "line_hash", "n_docs")
+        .where(F.col("n_docs") > F.when(F.col("is_long"), min(min_docs, min_docs_long)).otherwise(min_docs))
     )
+    if share:
+        totals = docs.groupBy(F.col(f"`{host}`").alias("of")).agg(F.count("*").alias("total"))
+        found = found.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n_docs") > share * F.col("total"))
+    return found.select("host", "line_hash", "n_docs")
+
+
+def frequent_by_text(docs: DataFrame, found: DataFrame, text: str, host: str) -> DataFrame:
+    """(host, document, frequent): the hashes of the lines found that a text of the host has."""
+    f = found.select(F.col("host").alias("of"), F.col("line_hash").alias("hash"))
+    lines = hashed_lines(docs, text, host).join(f, F.col("host").eqNullSafe(F.col("of")) & (F.col("line_hash") == F.col("hash")))
+    return lines.groupBy("host", "document").agg(F.collect_set("line_hash").alias("frequent"))
 
 
 def assess(
@@ -65,9 +81,10 @@ def assess(
     text: str = "text",
     host: str = "source",
     min_docs: int = MIN_DOCS,
-    share: float = SHARE,
+    share: float = 0,
     min_words_left: int = MIN_WORDS_LEFT,
     keep: list[str] | None = None,
+    min_docs_long: int = MIN_DOCS_LONG,
 ) -> DataFrame:
     """The columns ``keep`` (all by default) of every row with n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, n_removed_lines, n_words_left, clean_text (the
@@ -79,8 +96,8 @@ def assess(
     """
     keep = docs.columns if keep is None else keep
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    found = written(frequent_lines(docs, text, host, min_docs, share), "frequent-lines")
-    by_host = found.groupBy("host").agg(F.collect_list("line_hash").alias("frequent"))
+    found = written(frequent_lines(docs, text, host, min_docs, share, min_docs_long), "frequent-lines")
+    by_text = written(frequent_by_text(docs, found, text, host), "frequent-by-text")
     names = [
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "n_removed_lines", "n_words_left", "clean_text", "kept",
@@ -91,7 +108,9 @@ def assess(
         F.col(f"`{text}`").alias("t"),
         F.col(f"`{host}`").alias("h"),
     )
-    rows = rows.join(by_host, F.col("h").eqNullSafe(F.col("host")), "left").drop("h", "host")
+    same_text = F.col("h").eqNullSafe(F.col("host")) & (F.xxhash64("t") == F.col("document"))
+    # Merged at every size: the plan, and so the disk used by a byte of text, stays the same.
+    rows = rows.join(by_text.hint("merge"), same_text, "left").drop("h", "host", "document")
     rows = rows.withColumns({"words": words_of(F.col("t")), "lines": lines_of(F.col("t"))})
     rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     n = F.size("hashes")

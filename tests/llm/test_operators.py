@@ -120,6 +120,23 @@ def test_quality_longest_line(spark):
         assert r["n_removed_lines"] == 1 and passage not in r["clean_text"] and r["n_words_left"] == 30 and r["kept"]
 
 
+def test_quality_limits(spark):
+    rng = random.Random(3)
+    own = lambda k: " ".join(rng.choices(WORDS, k=k))
+    passage, few, menu = own(60), own(60), "site menu of all pages"
+    rows = [(i, f"{own(30)}\n{menu}" + (f"\n{passage}" if i < 4 else "") + (f"\n{few}" if i < 3 else ""), "big") for i in range(60)]
+    rows += [(100 + i, own(30), "big") for i in range(12000)]  # the share of the host does not count
+    rows += [(20000 + i, f"{own(30)}\n{passage}", None) for i in range(4)]
+    rows += [(30000 + i, f"{own(30)}\n{menu}\n{passage}", "other") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_removed_lines"], r["clean_text"]) for r in quality.assess(df, keep=["doc_id"]).collect()}
+    assert len(got) == len(rows)
+    for i, text, host in rows:
+        gone = {"big": {menu, passage}, None: {passage}, "other": set()}[host]
+        left = [x for x in text.split("\n") if x not in gone]
+        assert got[i] == (text.count("\n") + 1 - len(left), "\n".join(left))
+
+
 # --- licences ----------------------------------------------------------------------------------
 
 
