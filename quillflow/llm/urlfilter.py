@@ -34,16 +34,48 @@ def node_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host_of(url), rest))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with ``/`` without its segments ``.`` and ``..``."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    none = F.expr("cast(array() as array<string>)")
+    step = lambda a, x: (
+        F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+    )
+    walked = F.aggregate(parts, none, step)
+    walked = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    return F.concat(F.lit("/"), F.array_join(walked, "/"))
+
+
+def resolved_node(page: Column, target: Column) -> Column:
+    """The node of an address in a page, resolved against the page's url; null for an address
+    that is blank, a fragment or of a scheme without ``://``."""
+    path, query = F.regexp_extract(target, "^([^?#]*)", 1), F.regexp_extract(target, "^[^?#]*([^#]*)", 1)
+    folder = F.regexp_extract(path_of(page), "(?s)^(.*/)", 1)
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    return (
+        F.when(target.rlike("^(?:$|#)"), None)
+        .when(target.rlike("(?i)^[a-z][a-z0-9+.-]*://"), node_of(target))
+        .when(target.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None)
+        .when(target.startswith("//"), node_of(F.concat(F.lit("x:"), target)))
+        .when(target.startswith("/"), F.concat(host_of(page), _without_dots(path), query))
+        .when(target.startswith("?"), F.concat(host_of(page), path_of(page), query))
+        .otherwise(F.concat(host_of(page), _without_dots(F.concat(folder, path)), query))
+    )
+
+
 def links_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): nodes joined by a canonical link or a meta refresh with an absolute address."""
+    """(a, b): nodes joined by a canonical link or a meta refresh; relative addresses are
+    resolved against the page's url."""
     page, text = F.col(f"`{url}`"), F.col(f"`{html}`")
-    tags = F.regexp_extract_all(text, F.lit("(?i)<(?:link|meta)\\b[^>]{0,4000}>"), F.lit(0))
+    tags = F.regexp_extract_all(text, F.lit("(?i)<(?:link|meta)\\b[^>]*+>"), F.lit(0))
     tags = F.filter(tags, lambda t: t.rlike("(?i)\\brel\\s*=\\s*[\"']?canonical|\\bhttp-equiv\\s*=\\s*[\"']?refresh"))
-    target = lambda t: F.regexp_extract(t, "(?i)(?:\\bhref\\s*=\\s*[\"']?|\\burl\\s*=\\s*[\"']?)([a-z]+://[^\"'\\s>]+)", 1)
+    address = lambda t, name: F.regexp_extract(t, f"(?i){name}\\s*=\\s*[\"']?\\s*([^\"'\\s>]+)", 1)
+    target = lambda t: F.when(t.rlike("(?i)^<link"), address(t, "(?<![\\w-])href")).otherwise(address(t, "\\burl"))
     return (
         pages.where(page.contains("://") & text.rlike("(?i)canonical|http-equiv"))
-        .select(node_of(page).alias("a"), F.explode(tags).alias("tag"))
-        .select("a", node_of(target(F.col("tag"))).alias("b"))
+        .select(page.alias("page"), F.explode(tags).alias("tag"))
+        .select("page", target(F.col("tag")).alias("target"))
+        .select(node_of(F.col("page")).alias("a"), resolved_node(F.col("page"), F.col("target")).alias("b"))
         .where("a != b")
     )
 

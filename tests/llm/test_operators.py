@@ -373,6 +373,21 @@ def test_urls(spark):
     assert {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, rules, known).collect()}[10] == "block"
 
 
+def test_url_links(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    page = "http://A.org/x/y?q=1"
+    link = '<link rel="canonical" href="{}">'
+    addresses = ["/en/7", "//b.com/en/7", "z", "./z", "../z?k=1", "../../../z/.", "?k=2", "http://c.com/v?url=http://d.com/", "/v?url=http://d.com/", "mailto:x@y.z", "#top", ""]
+    rows = [(page, link.format(t)) for t in addresses]
+    rows += [("http://e.com", link.format("en/1")), ("http://f.com/", f'<LINK title="{"x" * 5000}" rel=canonical href=/far>'), ("http://g.com/a", "<meta http-equiv='refresh' content='0; URL=/b'>")]
+    want = {("A.org", t): urldefrag(urljoin(page, t))[0] for t in addresses[:9]}
+    want = sorted(("a.org/x/y?q=1", u.split("://", 1)[1].replace("A.org", "a.org")) for u in want.values())
+    want += [("e.com", "e.com/en/1"), ("f.com/", "f.com/far"), ("g.com/a", "g.com/b")]
+    df = spark.createDataFrame(rows, "url string, html string")
+    assert sorted(map(tuple, urlfilter.links_of(df).collect())) == sorted(want)
+
+
 # --- classifier -------------------------------------------------------------------------------------------------
 
 
