@@ -4,7 +4,8 @@ The library's pre-tokenizer always cuts before a space that is followed by a cha
 is not white space, so ids can be looked up chunk by chunk. A chunk of letters is one piece,
 one with a closing mark is two; other chunks are cut by the pre-tokenizer's own pattern.
 Unknown pieces go to the library, many at a time. The ids are those of encoding the whole
-text at once (tests compare them).
+text at once (tests compare them). A text that contains an added token (a literal
+``<|endoftext|>``) goes to the library whole and gets that token's own id.
 
 The memory lives as long as the Python worker, in two halves of ``HALF`` chunks: when the
 young one is full it becomes the old one, and what is used again moves back.
@@ -50,7 +51,7 @@ def encoder(path: str) -> "Encoder":
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.code, self.dtype = ("H", "<u2") if small else ("I", "<u4")
         self.young: dict[str, bytes | bool] = {}
@@ -105,6 +106,9 @@ class Encoder:
         """Ids of each whole text; null texts are empty."""
         if len(self.young) > HALF:
             self.young, self.old = {}, self.young
+        whole = {i: t for i, t in enumerate(texts) if t and any(x in t for x in self.added)}
+        if whole:
+            texts = [None if i in whole else t for i, t in enumerate(texts)]
         firsts, rests, found, gaps = [], [], [], []
         unknown: set[str] = set()
         known = self.young.get
@@ -127,4 +131,6 @@ class Encoder:
             except TypeError:  # a space before white space or the end
                 joined = self._cut([text])[0]
             out.append(np.frombuffer(joined, self.dtype))
+        for i, t in whole.items():
+            out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype)
         return out

@@ -66,6 +66,16 @@ def test_encoder_equals_library():
         assert [a.tolist() for a in enc.encode(texts)] == [ids_of(t) for t in texts]
 
 
+def test_encoder_added_tokens():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())  # its flags as they come
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a  <|endoftext|>\n", None, "", "a <|endoftext b"]
+    got = [a.tolist() for a in bpe.Encoder(bpe.default_path()).encode(texts)]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got[1] == [50256]
+
+
 # --- quality -------------------------------------------------------------------------------
 
 
