@@ -55,14 +55,13 @@ def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     two tokenizer versions, poor documents deleted, toxic ones revised to unrepeated lines."""
     docs, store = table(spark, sf_dir, "documents"), new_path(spark, "rollups")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    counts = written(rollup.bpe_counts(docs).unionByName(rollup.word_counts(docs)), "token-counts")
-    poor = labels.where("quality = 0").select("doc_id")
-    toxic = labels.where("toxic = 1 and quality = 1").select("doc_id")
-    shorter = rollup.without_repeated_lines(docs.join(toxic, "doc_id", "left_semi"))
+    once = rollup.without_repeated_lines()
+    counts = rollup.bpe_counts(docs, revision=once).unionByName(rollup.word_counts(docs, revision=once))
+    # Merged at every size: ids and counts only, no text.
+    counts = written(counts.join(labels.hint("merge"), "doc_id", "left"), "token-counts")
     rollup.commit(spark, store, "load", rollup.signed(counts, 1))
-    rollup.commit(spark, store, "poor", rollup.signed(counts.join(poor, "doc_id", "left_semi"), -1))
-    new = rollup.bpe_counts(shorter).unionByName(rollup.word_counts(shorter))
-    rollup.commit(spark, store, "revision", rollup.revised(counts.join(toxic, "doc_id", "left_semi"), new))
+    rollup.commit(spark, store, "poor", rollup.signed(counts.where("quality = 0"), -1))
+    rollup.commit(spark, store, "revision", rollup.revised(counts.where("toxic = 1 and quality = 1")))
     rollup.commit(spark, store, "load", rollup.signed(counts, 1))
     return rollup.totals(spark, store)
 

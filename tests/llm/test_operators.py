@@ -185,7 +185,7 @@ def test_rollups(spark, docs):
     got = {(r["source"], r["lang"], r["tokenizer"]): r["n_tokens"] for r in rollup.totals(spark, store).collect()}
     assert got == dict(want)
     gone = counts.where("doc_id = 3")
-    assert rollup.commit(spark, store, "two", rollup.revised(gone, gone.withColumn("n_tokens", F.lit(7).cast("long"))))
+    assert rollup.commit(spark, store, "two", rollup.revised(gone.withColumn("n_revised", F.lit(7).cast("long"))))
     assert rollup.commit(spark, store, "three", rollup.signed(counts, -1))
     left = rollup.totals(spark, store).agg(F.sum("n_docs"), F.sum("n_tokens")).first()
     old = sum(r["n_tokens"] for r in gone.collect())
@@ -194,6 +194,39 @@ def test_rollups(spark, docs):
         rollup.commit(spark, store, "../x", counts)
 
 
+def test_rollup_revision(spark, docs, empty):
+    once = rollup.without_repeated_lines()
+    counts = rollup.bpe_counts(docs, revision=once).unionByName(rollup.word_counts(docs, revision=once))
+    want = Counter()
+    for r in docs.collect():
+        new = None if r["text"] is None else "\n".join(dict.fromkeys(r["text"].split("\n")))
+        want[r["doc_id"], "byte_bpe_50k", len(ids_of(r["text"])), len(ids_of(new))] += 1
+        want[r["doc_id"], "words", len((r["text"] or "").split()), len((new or "").split())] += 1
+    assert Counter((r["doc_id"], r["tokenizer"], r["n_tokens"], r["n_revised"]) for r in counts.collect()) == want
+    assert rollup.bpe_counts(empty, revision=once).count() == 0 and rollup.word_counts(empty, revision=once).count() == 0
+
+
+def test_rollup_commits(spark):
+    store = new_path(spark, "store")
+    row = lambda n: spark.createDataFrame([("a", None, "t", 1, n), ("b", "x", "t", 1, None)], rollup.DELTA)
+    sums = lambda: sorted(((r["source"], r["n_docs"], r["n_tokens"]) for r in rollup.totals(spark, store).collect()))
+    assert not rollup.compact(spark, store)
+    assert rollup.commit(spark, store, "one", row(5))
+    # A writer that broke before its rename, and one that wrote while the other published.
+    row(100).write.parquet(f"{store}/_temporary-broken")
+    row(100).write.parquet(f"{store}/_temporary-late")
+    assert not rollup._publish(spark, f"{store}/_temporary-late", f"{store}/batch-one")
+    assert sums() == [("a", 1, 5), ("b", 1, 0)]
+    assert rollup.commit(spark, store, "none", row(1).limit(0))
+    assert rollup.compact(spark, store) and not rollup.compact(spark, store)
+    assert sums() == [("a", 1, 5), ("b", 1, 0)]
+    assert rollup.commit(spark, store, "two", row(7)) and not rollup.commit(spark, store, "one", row(9))
+    assert sums() == [("a", 2, 12), ("b", 2, 0)]
+    assert rollup.compact(spark, store) and sums() == [("a", 2, 12), ("b", 2, 0)]
+    assert rollup.commit(spark, store, "back", rollup.signed(row(12).withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0))), -1))
+    assert sums() == [("a", 1, 0), ("b", 1, 0)]
+
+
 # --- packing -----------------------------------------------------------------------------------------
 
 
