@@ -7,11 +7,11 @@ many documents share. A line above the limit is removed from its host's document
 left with too few words is rejected. DataFrame functions only.
 
 A line is above the limit at more than ``min_docs`` documents of its host, one of ``LONG_WORDS``
-words or more already at more than ``min_docs_long``; neither depends on the host's size. The
-lines found are joined by host and hash to the lines of each distinct text, and those of a text
-(no more than its own lines) come back to its rows by host and text hash. Spark broadcasts the
-found lines while their measured size is below the session's threshold and otherwise splits
-hot keys; the texts themselves are shuffled once.
+words or more already at more than ``min_docs_long``; neither depends on the host's size.
+
+Texts are read once: a table of each row's figures and line hashes is written, and the counting
+and the search for lines above the limit run on hashes alone. Texts are shuffled only where the
+texts without those lines are asked for, once, by a row number and so evenly.
 """
 
 from __future__ import annotations
@@ -40,40 +40,84 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(WORD))
 
 
-def hashed_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """(host, document, line_hash, is_long): the distinct lines of the rows' texts."""
-    lines = F.transform(lines_of(F.col(f"`{text}`")), normalised)
-    long_ = lambda x: F.size(F.split(x, " ")) >= LONG_WORDS
-    found = F.array_distinct(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line_hash"), long_(x).alias("is_long"))))
-    return docs.select(
-        F.col(f"`{host}`").alias("host"), F.xxhash64(F.col(f"`{text}`")).alias("document"), F.explode(found).alias("line")
-    ).select("host", "document", "line.*")
-
+def hashed_lines(text: str) -> Column:
+    """(line_hash, n_words) of each line of a text that has a word, in order."""
+    one = lambda x: F.struct(F.xxhash64(x).alias("line_hash"), F.size(F.split(x, " ")).alias("n_words"))
+    return F.transform(F.transform(lines_of(F.col(f"`{text}`")), normalised), one)
 
-def frequent_lines(
-    docs: DataFrame, text: str, host: str, min_docs: int = MIN_DOCS, share: float = 0, min_docs_long: int = MIN_DOCS_LONG
-) -> DataFrame:
-    """(host, line_hash, n_docs) of the lines above the limit.
 
-    ``share`` asks for more than that part of the host's rows as well (0: no such limit).
-    """
+def _above(rows: DataFrame, min_docs: int, share: float, min_docs_long: int) -> DataFrame:
+    """(host, line_hash, n_docs) above the limit of rows with host, document and lines."""
     found = (
-        hashed_lines(docs, text, host)
+        rows.select("host", "document", F.explode(F.array_distinct("lines")).alias("line"))
+        .select("host", "document", "line.line_hash", (F.col("line.n_words") >= LONG_WORDS).alias("is_long"))
         .groupBy("host", "line_hash", "is_long")
         .agg(F.count_distinct("document").alias("n_docs"))
         .where(F.col("n_docs") > F.when(F.col("is_long"), min(min_docs, min_docs_long)).otherwise(min_docs))
     )
     if share:
-        totals = docs.groupBy(F.col(f"`{host}`").alias("of")).agg(F.count("*").alias("total"))
+        totals = rows.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("total"))
         found = found.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n_docs") > share * F.col("total"))
     return found.select("host", "line_hash", "n_docs")
 
 
-def frequent_by_text(docs: DataFrame, found: DataFrame, text: str, host: str) -> DataFrame:
-    """(host, document, frequent): the hashes of the lines found that a text of the host has."""
-    f = found.select(F.col("host").alias("of"), F.col("line_hash").alias("hash"))
-    lines = hashed_lines(docs, text, host).join(f, F.col("host").eqNullSafe(F.col("of")) & (F.col("line_hash") == F.col("hash")))
-    return lines.groupBy("host", "document").agg(F.collect_set("line_hash").alias("frequent"))
+def frequent_lines(
+    docs: DataFrame, text: str, host: str, min_docs: int = MIN_DOCS, share: float = 0, min_docs_long: int = MIN_DOCS_LONG
+) -> DataFrame:
+    """(host, line_hash, n_docs) of the lines above the limit.
+
+    ``share`` asks for more than that part of the host's rows as well (0: no such limit).
+    """
+    rows = docs.select(
+        F.col(f"`{host}`").alias("host"), F.xxhash64(F.col(f"`{text}`")).alias("document"), hashed_lines(text).alias("lines")
+    )
+    return _above(rows, min_docs, share, min_docs_long)
+
+
+def measured(docs: DataFrame, text: str, host: str, keep: list[str], with_text: bool) -> DataFrame:
+    """One row for each row: its number, the columns kept, host, document (hash of the text),
+    the base rules' figures, line hashes and, if asked for, the text; a written table."""
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns"),
+        F.col(f"`{host}`").alias("host"),
+        F.xxhash64(F.col(f"`{text}`")).alias("document"),
+        F.col(f"`{text}`").alias("t"),
+        hashed_lines(text).alias("lines"),
+    )
+    rows = rows.withColumns({"words": words_of(F.col("t")), "plain": lines_of(F.col("t"))})
+    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    n = F.size("hashes")
+    grams = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))
+    rows = rows.withColumn("grams", F.when(n >= WINDOW, grams))
+    repeats = F.size(F.array_distinct("grams")) < F.size("grams")
+    placed = F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    rows = rows.withColumn("placed", F.when(repeats, placed))
+    same = F.filter(
+        "placed",
+        lambda x, k: ((k > 0) & (F.get("placed", k - 1)["g"] == x["g"]))
+        | F.coalesce(F.get("placed", k + 1)["g"] == x["g"], F.lit(False)),
+    )
+    rows = rows.withColumn("at", F.sort_array(F.transform(same, lambda x: x["i"])))
+    covered = F.zip_with(
+        "at", F.slice("at", 2, F.greatest(F.size("at"), F.lit(0))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))
+    )
+    return written(
+        rows.select(
+            "row",
+            "kept_columns",
+            "host",
+            "document",
+            F.size("words").cast("long").alias("n_words"),
+            F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+            F.coalesce(F.regexp_count("t", F.lit("[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
+            (F.size("plain") - F.size(F.array_distinct("plain"))).cast("long").alias("n_dup_lines"),
+            F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
+            "lines",
+            *(["t"] if with_text else []),
+        ),
+        "quality-rows",
+    )
 
 
 def assess(
@@ -85,10 +129,12 @@ def assess(
     min_words_left: int = MIN_WORDS_LEFT,
     keep: list[str] | None = None,
     min_docs_long: int = MIN_DOCS_LONG,
+    with_text: bool = True,
 ) -> DataFrame:
     """The columns ``keep`` (all by default) of every row with n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, n_removed_lines, n_words_left, clean_text (the
-    text without lines above the limit) and kept.
+    text without lines above the limit; left out, and no text shuffled, unless ``with_text``)
+    and kept.
 
     Null texts have no words (and clean_text null); rows without a host are one host; repeated
     rows come back repeated and count as one document; an empty table gives no rows. Result
@@ -96,64 +142,42 @@ def assess(
     """
     keep = docs.columns if keep is None else keep
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    found = written(frequent_lines(docs, text, host, min_docs, share, min_docs_long), "frequent-lines")
-    by_text = written(frequent_by_text(docs, found, text, host), "frequent-by-text")
     names = [
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        "n_removed_lines", "n_words_left", "clean_text", "kept",
+        "n_removed_lines", "n_words_left", *(["clean_text"] if with_text else []), "kept",
     ]
     out = {n: free_name(kept, n) for n in names}
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns"),
-        F.col(f"`{text}`").alias("t"),
-        F.col(f"`{host}`").alias("h"),
-    )
-    same_text = F.col("h").eqNullSafe(F.col("host")) & (F.xxhash64("t") == F.col("document"))
-    # Merged at every size: the plan, and so the disk used by a byte of text, stays the same.
-    rows = rows.join(by_text.hint("merge"), same_text, "left").drop("h", "host", "document")
-    rows = rows.withColumns({"words": words_of(F.col("t")), "lines": lines_of(F.col("t"))})
-    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    n = F.size("hashes")
-    grams = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))
-    rows = rows.withColumn("grams", F.when(n >= WINDOW, grams))
-    repeats = F.size(F.array_distinct("grams")) < F.size("grams")
-    placed = F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    rows = rows.withColumn("placed", F.when(repeats, placed))
-    same = F.filter(
-        "placed",
-        lambda x, k: ((k > 0) & (F.get("placed", k - 1)["g"] == x["g"]))
-        | F.coalesce(F.get("placed", k + 1)["g"] == x["g"], F.lit(False)),
-    )
-    rows = rows.withColumn("at", F.sort_array(F.transform(same, lambda x: x["i"])))
-    covered = F.zip_with(
-        "at", F.slice("at", 2, F.greatest(F.size("at"), F.lit(0))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))
+    rows = measured(docs, text, host, keep, with_text)
+    found = written(_above(rows, min_docs, share, min_docs_long), "frequent-lines")
+    found = found.select(F.col("host").alias("of"), F.col("line_hash").alias("hash"))
+    hits = (
+        rows.select(F.col("row").alias("hit"), "host", F.explode("lines").alias("line"))
+        .select("hit", "host", "line.*")
+        .join(found, F.col("host").eqNullSafe(F.col("of")) & (F.col("line_hash") == F.col("hash")))
+        .groupBy("hit")
+        .agg(
+            F.count("*").alias("n_removed"),
+            F.sum("n_words").alias("words_removed"),
+            *([F.collect_set("hash").alias("frequent")] if with_text else []),
+        )
     )
+    # With texts the plan, and so the disk used by a byte of text, is the same at every size.
+    rows = rows.drop("lines").join(hits.hint("shuffle_hash") if with_text else hits, F.col("row") == F.col("hit"), "left")
+    removed = F.coalesce("n_removed", F.lit(0))
     is_frequent = lambda x: F.array_contains("frequent", F.xxhash64(normalised(x)))
-    left = F.filter(F.split("t", "\n"), lambda x: ~(x.rlike(WORD) & is_frequent(x)))
-    rows = rows.withColumn("left", F.when(F.col("frequent").isNotNull() & F.col("t").isNotNull(), left))
-    n_words = F.size("words").cast("long")
-    removed = F.coalesce(F.size(F.split("t", "\n")) - F.size("left"), F.lit(0)).cast("long")
-    rows = rows.select(
-        "kept_columns",
-        n_words.alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.coalesce(F.regexp_count("t", F.lit("[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
-        removed.alias("n_removed_lines"),
-        F.when(removed > 0, F.array_join("left", "\n")).otherwise(F.col("t")).alias("clean_text"),
-    )
-    rows = rows.withColumn(
-        "n_words_left",
-        F.when(F.col("n_removed_lines") > 0, F.size(words_of(F.col("clean_text"))).cast("long")).otherwise(F.col("n_words")),
+    rows = rows.withColumns(
+        {
+            "n_removed_lines": removed.cast("long"),
+            "n_words_left": (F.col("n_words") - F.coalesce("words_removed", F.lit(0))).cast("long"),
+            "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
+        }
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
-    verdict = ~F.col("base_failed") & ~((F.col("n_removed_lines") > 0) & (F.col("n_words_left") < min_words_left))
-    # Not deterministic for the optimizer, so that a filter on it stays above this row's
-    # expressions: pushed below them it would repeat each within the other's lambdas.
-    rows = rows.withColumn("kept", F.when(F.monotonically_increasing_id() >= 0, verdict))
-    return rows.select("kept_columns.*", *[F.col(f"{x}").alias(out[x]) for x in names])
+    depleted = (F.col("n_removed_lines") > 0) & (F.col("n_words_left") < min_words_left)
+    rows = rows.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    if with_text:
+        left = F.filter(F.split("t", "\n"), lambda x: ~(x.rlike(WORD) & is_frequent(x)))
+        rows = rows.withColumn("clean_text", F.when(F.col("frequent").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("t")))
+    return rows.select("kept_columns.*", *[F.col(x).alias(out[x]) for x in names])
 
 
 def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", n_chars: str | None = None, **limits) -> DataFrame:

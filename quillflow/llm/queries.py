@@ -33,7 +33,7 @@ QUALITY_LIMIT = 0.3
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("clean_text")
+    return quality.assess(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
 
 
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,17 +156,13 @@ with d as (
 n as (
   select *, list_transform(l, lambda x: trim(regexp_replace(regexp_replace(lower(x), '[ \x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'), ' ')) nl
   from d),
-ex as (
-  select rid, source, unnest(list_distinct(nl)) line,
-         list_max(list_transform(nl, lambda x: {'n': length(x), 'x': x})).x document
-  from n),
+ex as (select rid, source, unnest(list_distinct(nl)) line, text document from n),
 often as (
   select e.source, line, count(distinct document) n_docs
   from ex e group by 1, 2),
 above as (
-  select o.source, o.line from often o
-  join (select source, count(*) total from d group by 1) t on o.source is not distinct from t.source
-  where n_docs > 50 and n_docs > 0.005 * total),
+  select source, line from often
+  where n_docs > case when len(string_split(line, ' ')) >= 30 then 3 else 50 end),
 cut as (
   select rid, pos, line from (select rid, source, unnest(string_split(text, chr(10))) line,
                                      generate_subscripts(string_split(text, chr(10)), 1) pos from n where text is not null) x

@@ -100,7 +100,10 @@ def test_quality_base(spark, docs, empty):
     for r in rows:
         assert (r["_n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == base(r["text"])
         assert r["base_failed"] == (r["_n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["_n_words"])
-    assert quality.assess(empty).count() == 0
+    assert quality.assess(empty).count() == 0 and quality.assess(empty, with_text=False).count() == 0
+    plain = quality.assess(docs, keep=["doc_id", "text", "n_words"], with_text=False)
+    assert plain.columns == [c for c in out.columns if c != "clean_text"]
+    assert Counter(plain.collect()) == Counter(out.drop("clean_text").collect())
     assert quality.apply_rules(docs).columns == docs.columns
 
 
@@ -140,6 +143,8 @@ def test_quality_limits(spark):
     rows += [(30000 + i, f"{own(30)}\n{menu}\n{passage}", "other") for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: (r["n_removed_lines"], r["clean_text"]) for r in quality.assess(df, keep=["doc_id"]).collect()}
+    short = {r["doc_id"]: (r["n_removed_lines"], r["n_words_left"]) for r in quality.assess(df, keep=["doc_id"], with_text=False).collect()}
+    assert short == {k: (n, len(t.split())) for k, (n, t) in got.items()}
     assert len(got) == len(rows)
     for i, text, host in rows:
         gone = {"big": {menu, passage}, None: {passage}, "other": set()}[host]
