@@ -3,22 +3,27 @@
 A vantage-point tree sends a fingerprint to the branch that its Hamming distance from the
 node's vantage point selects; by the triangle inequality a neighbour within radius r lies in a
 branch whose distances differ by r at most. Over all 64 bits distances crowd at 32 and a
-search for radius 4 enters nearly every branch, so the distributed trees stand on bit blocks:
-``max_bits`` differing bits leave at least one of ``max_bits + 1`` blocks untouched, and in
-the tree of that block the radius is 0. Each level's branches are the rings of equal distance
-from a vantage point (the block's zero and its single bits, so that a path of rings is the
-block's value), a search enters one branch at each level, and the path is the shard's key.
-
-In a shard, full distances count: large shards are split by a tree whose vantage point is a
-fingerprint of the shard and whose radius is the median distance; fingerprints within
-``max_bits`` of the boundary are compared across it, pairs that the bounds rule out are not.
-Equal fingerprints are one from the start, and a shard returns a forest (an edge for each
-fingerprint at most), never its pairs.
+search for radius 4 enters nearly every branch, so the upper levels of the distributed trees
+stand on bit blocks: ``max_bits`` differing bits leave at least one of ``max_bits + 1`` blocks
+untouched, and in the tree of that block the radius is 0. Each level's branches are the rings of
+equal distance from a vantage point (the block's zero and its single bits, so that a path of
+rings is the block's value), a search enters one branch at each level, and the path is the
+shard's key. Shards that are still large are split again by blocks of their other bits.
+
+Within a shard full distances count (``neighbours`` deals out those of any size): a tree whose
+vantage point is a fingerprint of the shard and whose radius is the median distance;
+fingerprints within ``max_bits`` of the boundary are compared across it, pairs that the bounds
+rule out are not. Equal fingerprints are one from the start.
+
+For a similarity of shingle sets (``similar_documents``) no radius is both wide enough and
+selective: at 0.8 some 10 of 64 bits differ, often 15. There shards are keyed by least shingle
+hashes, fingerprints only rule out pairs, and links are exact comparisons of the sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -26,31 +31,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free_name, ship, written
 from .components import connected_components
+from .neighbours import forest, sizes_of
 
 SEED = 42
 LEAF = 256  # fingerprints compared all with all
+SHARD = 8192  # fingerprints in one task's shard
 #: For each byte: its bits in eight lanes of a 64-bit word.
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
     """SimHash of the lower-cased (A-Z) text's word shingles; 0 where there is no word."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0
-    if len(w) <= words:
-        shingles = [b" ".join(w)]
-    else:
-        shingles = map(b" ".join, zip(*(w[i:] for i in range(words))))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
-    lanes = _LANES[h.view(np.uint8).reshape(-1, 8)]
-    counts = np.zeros(64, np.int64)
-    for lo in range(0, len(h), 255):
-        counts += lanes[lo : lo + 255].sum(0, dtype=np.uint64).view(np.uint8)
-    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+    h = shingle_hashes(text, words)
+    return majority(h) if len(h) else 0
 
 
 def with_fingerprint(docs: DataFrame, words: int = 4, text: str = "text", name: str = "fp", keep: list[str] | None = None) -> DataFrame:
@@ -74,14 +71,16 @@ def with_fingerprint(docs: DataFrame, words: int = 4, text: str = "text", name:
 class Forest:
     """Labels of the points of one shard; linked points get the same label."""
 
-    def __init__(self, points: np.ndarray, radius: int):
+    def __init__(self, points: np.ndarray, radius: int, label: np.ndarray | None = None):
         self.points, self.radius = points, radius
-        self.label = np.arange(len(points))
+        self.label = np.arange(len(points)) if label is None else label.copy()
+        self.found: list[tuple[int, int]] = []
 
     def link(self, i: int, j: int) -> None:
         a, b = self.label[i], self.label[j]
         if a != b:
             self.label[self.label == max(a, b)] = min(a, b)
+            self.found.append((i, j))
 
     def compare(self, left: np.ndarray, right: np.ndarray) -> None:
         """All of left with all of right, in blocks; only pairs not yet joined matter."""
@@ -125,63 +124,72 @@ class Forest:
             self.compare(left[d1 == ring], right[np.abs(d2 - ring) <= self.radius])
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        moved = np.flatnonzero(self.label != np.arange(len(self.label)))
-        return self.points[moved], self.points[self.label[moved]]
+        """Positions of the ends of the links that joined something."""
+        ends = np.array(self.found, np.int64).reshape(-1, 2)
+        return ends[:, 0], ends[:, 1]
 
 
-def links(fingerprints: DataFrame, max_bits: int = 4, fp: str = "fp") -> DataFrame:
+def _bit_search(radius: int, items: np.ndarray, payloads: list, labels: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    points = Forest(items.view(np.uint64), radius, labels)
+    if left.all():
+        points.grow(np.arange(len(items)))
+    else:
+        points.cross(np.flatnonzero(left), np.arange(len(items)))
+    return points.edges()
+
+
+def _blocks(bits: int, skip: tuple[int, int], n: int) -> list[list[tuple[int, int]]]:
+    """``n`` blocks of the bits outside ``skip``, each as ranges of bits."""
+    free = [i for i in range(bits) if not skip[0] <= i < skip[1]]
+    cuts = [len(free) * k // n for k in range(n + 1)]
+    found = []
+    for lo, hi in zip(cuts, cuts[1:]):
+        own, ranges = free[lo:hi], []
+        for i in own:
+            if ranges and ranges[-1][1] == i:
+                ranges[-1] = (ranges[-1][0], i + 1)
+            else:
+                ranges.append((i, i + 1))
+        found.append(ranges)
+    return found
+
+
+def _value(ranges: list[tuple[int, int]]):
+    """The bits of the ranges as one long."""
+    value, at = F.lit(0).cast("long"), 0
+    for lo, hi in ranges:
+        bits = F.shiftrightunsigned(F.col("item"), lo).bitwiseAND((1 << (hi - lo)) - 1)
+        value, at = value.bitwiseOR(F.shiftleft(bits, at)), at + hi - lo
+    return value
+
+
+def links(fingerprints: DataFrame, max_bits: int = 4, fp: str = "fp", limit: int = SHARD) -> DataFrame:
     """(a, b): a forest over distinct fingerprints that joins just those that links join."""
-    ship(fingerprints.sparkSession)
-    blocks = max_bits + 1
-    bounds = [64 * k // blocks for k in range(blocks + 1)]
-    paths = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("tree"),
-                F.shiftrightunsigned(F.col(fp), lo).bitwiseAND((1 << (hi - lo)) - 1).alias("path"),
-            )
-            for k, (lo, hi) in enumerate(zip(bounds, bounds[1:]))
-        ]
-    )
-    shards = fingerprints.select(F.col(fp).alias("fp"), F.explode(paths).alias("shard")).select(
-        F.expr("shard.path * 64 + shard.tree").alias("shard"), "fp"
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def grown(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            forest = Forest(points, max_bits)
-            forest.grow(np.arange(len(points)))
-            return forest.edges()
-
-        current, held = None, []
-        for batch in batches:
-            shard = batch.column(0).to_numpy(zero_copy_only=False)
-            points = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            found = []
-            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                if shard[lo] != current:
-                    if len(held) and sum(map(len, held)) > 1:
-                        found.append(grown(np.concatenate(held)))
-                    current, held = shard[lo], []
-                held.append(points[lo:hi].copy())
-            if found:
-                yield _pairs(found)
-        if held and sum(map(len, held)) > 1:
-            yield _pairs([grown(np.concatenate(held))])
-
-    return (
-        shards.repartition("shard")
-        .sortWithinPartitions("shard", "fp")
-        .mapInArrow(run, "a long, b long")
+    n = max_bits + 1
+    blocks = _blocks(64, (0, 0), n)
+    one = F.lit(1).alias("weight")
+    paths = F.array(*[F.struct(F.lit(k).alias("tree"), _value(b).alias("path")) for k, b in enumerate(blocks)])
+    members = (
+        fingerprints.select(F.col(fp).alias("item"))
+        .select("item", F.explode(paths).alias("shard"))
+        .select(F.expr("shard.path * 64 + shard.tree").alias("key"), "item", one)
     )
-
-
-def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b = (np.concatenate(x).view(np.int64) for x in zip(*found))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    # Of a key for each value of a block: at most (max_bits + 1) * 2 ** (64 / (max_bits + 1)).
+    large = sizes_of(members).where(F.col("n") > limit).select("key")
+    if large.limit(1).count():
+        again = []
+        for k, b in enumerate(blocks):
+            below = F.array(
+                *[
+                    F.struct(F.lit(m).alias("tree"), _value(c).alias("path"))
+                    for m, c in enumerate(_blocks(64, (b[0][0], b[0][1]), n))
+                ]
+            )
+            again.append(F.when(F.pmod("key", F.lit(64)) == k, below))
+        split = members.join(large, "key", "left_semi").select("item", "key", F.explode(F.coalesce(*again)).alias("below"))
+        split = split.select(F.xxhash64("key", "below.tree", "below.path").alias("key"), "item", one)
+        members = members.join(large, "key", "left_anti").select("key", "item", "weight").unionByName(split)
+    return forest(members, partial(_bit_search, max_bits), limit)
 
 
 def near_duplicates(
@@ -192,43 +200,197 @@ def near_duplicates(
     text: str = "text",
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """doc_id, the columns ``keep``, fp (signed 64-bit) and component_id for every row.
-
-    Documents whose fingerprints differ in ``max_bits`` bits or fewer are linked; a
-    component's id is its smallest document id (null where it has none). Null, empty and
-    blank texts have fingerprint 0 and are linked like others; repeated rows come back
-    repeated; an empty table gives no rows; other columns are ignored.
+    """The columns ``keep`` (by default ``doc_id``) of every row, fp (signed 64-bit), root and
+    component_id.
+
+    Documents whose fingerprints differ in ``max_bits`` bits or fewer are linked; rows of a
+    component share their root, and its id is its smallest document id (null where it has
+    none). Null, empty and blank texts have fingerprint 0 and are linked like others; repeated
+    rows come back repeated; an empty table gives no rows; other columns are ignored; result
+    columns whose name is taken get underscores in front.
     """
-    keep = keep or []
-    keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *keep, F.col(f"`{text}`").alias("text"))
-    prints = written(with_fingerprint(keyed, words, keep=["doc_id", *keep]), "simhash-prints")
-    first = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    keep = [doc_id] if keep is None else keep
+    keyed = _kept(docs, doc_id, text, keep)
+    prints = written(with_fingerprint(keyed, words, "t", keep=["id", "kept_columns"]), "simhash-prints")
+    first = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
     found = connected_components(links(first.select("fp"), max_bits))
     rooted = first.join(found, first.fp == found.node, "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", F.col("root"), "component_id")
-    return prints.join(classes, "fp", "left").select("doc_id", *keep, "fp", "root", "component_id")
+    return _named(docs, keep, prints.join(classes, "fp", "left"), ["fp", "root", "component_id"])
+
+
+def _kept(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> DataFrame:
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns")
+    return docs.select(F.col(f"`{doc_id}`").alias("id"), kept, F.col(f"`{text}`").alias("t"))
+
+
+def _named(docs: DataFrame, keep: list[str], rows: DataFrame, names: list[str]) -> DataFrame:
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    return rows.select("kept_columns.*", *[F.col(n).alias(free_name(kept, n)) for n in names])
+
+
+# --- similarity of shingle sets ------------------------------------------------------------------
+
+BANDS, ROWS = 16, 5  # a pair of similarity 0.8 shares a band with probability 0.998
+WEIGHT = 1_000_000  # shingles of one task's shard
+#: At similarity 0.8 a bit differs with probability 0.15: this is 5 deviations above the mean.
+FAR_BITS = 24
+_SEEDS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
+_CHUNK = 8192  # shingles hashed anew at a time
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of the word shingles of the text (A-Z lower-cased), repeats included."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    shingles = [b" ".join(w)] if len(w) <= words else map(b" ".join, zip(*(w[i:] for i in range(words))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint: bits set in over half the hashes."""
+    lanes = _LANES[h.view(np.uint8).reshape(-1, 8)]
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, len(h), 255):
+        counts += lanes[lo : lo + 255].sum(0, dtype=np.uint64).view(np.uint8)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+
+
+def bands_of(distinct: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band: the least of ROWS permutations of the shingle hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(distinct), _CHUNK):
+        mixed = (distinct[None, lo : lo + _CHUNK] ^ _SEEDS[0]) * (_SEEDS[1] | np.uint64(1))
+        mixed ^= mixed >> np.uint64(32)
+        least = np.minimum(least, mixed.min(1))
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64)
+
+
+def with_shingle_sets(keyed: DataFrame, words: int) -> DataFrame:
+    """id, kept_columns and class (hash of the set of shingles), fp, n (its size), bands and
+    payload (fp and the shingles' low 32 bits) of each row of (id, kept_columns, t)."""
+    ship(keyed.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                out: list[tuple] = []
+                for t in part.column(2).to_pylist():
+                    h = shingle_hashes(t, words)
+                    s = np.unique(h)
+                    label = np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)
+                    fp = np.uint64(majority(h) if len(h) else 0)
+                    payload = fp.tobytes() + s.astype("<u4").tobytes()
+                    out.append((label, fp.view(np.int64), len(s), bands_of(s).view(np.int64), payload))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                made = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *made], [*part.schema.names[:2], *names])
+
+    names = ["class", "fp", "n", "bands", "payload"]
+    schema = keyed.select("id", "kept_columns").schema.add("class", "long").add("fp", "long").add("n", "long")
+    return keyed.mapInArrow(run, schema.add("bands", T.ArrayType(T.LongType())).add("payload", "binary"))
+
+
+def _set_search(similarity: float, items: np.ndarray, payloads: list, labels: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of at least the similarity: those that share one of the rarest shingles that such
+    a pair must share, fit in size and in fingerprint, and whose sets then are that alike."""
+    fps = np.array([int.from_bytes(p[:8], "little") for p in payloads], np.uint64)
+    sets = [np.frombuffer(p, np.uint32, offset=8) for p in payloads]
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rarity = np.empty(len(count), np.int64)
+    rarity[np.argsort(count, kind="stable")] = np.arange(len(count))
+    ranked = [np.sort(r) for r in np.split(rarity[place], np.cumsum(sizes)[:-1])]
+    need = np.ceil(similarity * sizes - 1e-9).astype(np.int64)
+    heads = [r[: n - k + 1] for r, n, k in zip(ranked, sizes, need)]
+    owner = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+    flat_heads = np.concatenate(heads)
+    order = np.argsort(flat_heads, kind="stable")
+    flat_heads, owner = flat_heads[order], owner[order]
+    label, found = labels.copy(), []
+    for v in range(len(sets)):
+        lo, hi = np.searchsorted(flat_heads, heads[v]), np.searchsorted(flat_heads, heads[v], "right")
+        near = [owner[a:b] for a, b in zip(lo, hi) if b - a > 1]
+        if not near:
+            continue
+        other = np.unique(np.concatenate(near))
+        other = other[(other > v) & (label[other] != label[v]) & (left[other] | left[v])]
+        other = other[(sizes[other] >= need[v]) & (need[other] <= sizes[v])]
+        other = other[np.bitwise_count(fps[other] ^ fps[v]) <= FAR_BITS]
+        for o in other.tolist():
+            if label[o] == label[v]:
+                continue
+            common = len(np.intersect1d(ranked[v], ranked[o], assume_unique=True))
+            if common >= similarity * (sizes[v] + sizes[o] - common) - 1e-9:
+                a, b = sorted((label[v], label[o]))
+                label[label == b] = a
+                found.append((v, o))
+    ends = np.array(found, np.int64).reshape(-1, 2)
+    return ends[:, 0], ends[:, 1]
+
+
+def similar_documents(
+    docs: DataFrame,
+    words: int = 5,
+    similarity: float = 0.8,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    keep: list[str] | None = None,
+    limit: int = WEIGHT,
+) -> DataFrame:
+    """The columns ``keep`` (by default ``doc_id``) of every row, fp (signed 64-bit) and root;
+    rows have one root if links join them.
+
+    Linked are rows whose sets of word shingles (A-Z lower-cased; fewer words: the whole
+    sequence) have at least the similarity, compared exactly on 32-bit hashes. Candidates share
+    one of BANDS bands of least shingle hashes or the fingerprint. Null, empty and blank texts
+    are alike; repeated rows come back repeated; an empty table gives no rows; other columns
+    are ignored; result columns whose name is taken get underscores in front.
+    """
+    keep = [doc_id] if keep is None else keep
+    rows = written(with_shingle_sets(_kept(docs, doc_id, text, keep), words), "simhash-sets")
+    classes = written(
+        rows.where("n > 0").groupBy(F.col("class").alias("item")).agg(*[F.first(c).alias(c) for c in ("n", "fp", "bands")]),
+        "simhash-bands",
+    )
+    keys = F.concat(F.col("bands"), F.array(F.xxhash64("fp")))
+    members = classes.select(F.explode(keys).alias("key"), "item", F.col("n").alias("weight"))
+    payload = rows.groupBy(F.col("class").alias("item")).agg(F.first("payload").alias("payload"))
+    found = connected_components(forest(members, partial(_set_search, similarity), limit, payload))
+    rooted = rows.select("kept_columns", "fp", "class").join(found, F.col("class") == F.col("node"), "left")
+    rooted = rooted.withColumn("root", F.coalesce("component", "class"))
+    return _named(docs, keep, rooted, ["fp", "root"])
 
 
-def keep_one(docs: DataFrame, words: int = 4, max_bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay: the row with the smallest id of each component.
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that stay: the row with the smallest id of each group of similar ones.
 
     Ties between rows of one id go to the smallest hash of the whole row, rows that are equal
-    in all columns stay once, and a row without an id stays only where its component has no
-    id. Columns are those of ``docs``.
+    in all columns stay once, and a row without an id stays only where its group has no id.
+    Null, empty and blank texts are one group; an empty table gives no rows. Columns are
+    those of ``docs``, whatever their names. Removed are (id, row hash) pairs: the texts are
+    dealt out once.
     """
-    key, times = free_name(docs, "row_key"), free_name(docs, "row_times")
+    key = free_name(docs, "row_key")
     keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    classes = near_duplicates(keyed, words, max_bits, doc_id, text, keep=[key])
-    rows = classes.groupBy("root", F.col("doc_id"), key).agg(F.count("*").alias(times))
-    stay = (
-        rows.groupBy("root")
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key, times)).alias("stays"))
-        .select(f"stays.{key}", f"stays.{times}")
-    )
-    joined = keyed.join(stay, key)
+    found = similar_documents(keyed, words, similarity, doc_id, text, keep=[doc_id, key])
+    found = found.toDF("id", "row", "fp", "root")
+    rows = written(found.groupBy("root", "id", "row").agg(F.count("*").alias("times")), "simhash-rows")
+    stay = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("stays"))
+    judged = rows.join(stay, "root").withColumn("stay", F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("row") == F.col("stays.row")))
+    names = [free_name(keyed, n) for n in ("id", "row", "stay")]
+    judged = written(judged.where("not stay or times > 1").select("id", "row", "stay").toDF(*names), "simhash-judged")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(names[0])) & (F.col(key) == F.col(names[1]))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = joined.where(F.col(times) == 1).select(*columns)
-    return once.unionByName(joined.where(F.col(times) > 1).select(*columns).distinct())
+    once = keyed.join(judged.hint("shuffle_hash"), same, "left_anti").select(*columns)
+    repeated = judged.where(names[2])
+    if not repeated.limit(1).count():
+        return once
+    return once.unionByName(keyed.join(repeated, same, "left_semi").select(*columns).distinct())

@@ -561,11 +561,98 @@ def test_near_duplicates(spark, docs, empty):
     got = Counter((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_duplicates(df).collect())
     assert got == want and len(texts) > 60
     assert simhash.near_duplicates(empty).count() == 0
+    named = simhash.near_duplicates(docs, keep=["fp", "text", "doc_id"])
+    assert named.columns == ["fp", "text", "doc_id", "_fp", "root", "component_id"]
+    assert Counter((r["doc_id"], r["_fp"]) for r in named.collect()) == Counter(
+        (r["doc_id"], r["fp"]) for r in simhash.near_duplicates(docs).collect()
+    )
+
+
+@pytest.mark.parametrize("limit", [100000, 40])
+def test_links_of_large_shards(spark, limit):
+    rng = random.Random(6)
+    points = {0}
+    for centre, near in ((rng.getrandbits(64), 150), (rng.getrandbits(64), 60), (5, 40)):
+        for _ in range(near):
+            p = centre
+            for b in rng.sample(range(64), rng.randint(0, 9)):
+                p ^= 1 << b
+            points.add(p)
+    points |= {rng.getrandbits(64) for _ in range(300)}
+    points |= {(7 << 50) + i * 4096 + rng.getrandbits(10) for i in range(300)}  # most blocks are equal
+    signed = [(int(np.uint64(p).view(np.int64)),) for p in points]
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), 4, limit=limit).collect()
+    root = {p: p for p in points}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for r in edges:
+        a, b = r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1
+        assert (a ^ b).bit_count() <= 4
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {p: find(p) for p in points} == classes(sorted(points), 4)
+
+
+def plain_sets(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) or (frozenset([tuple(words)]) if words else frozenset())
+
+
+def similar_groups(texts):
+    sets = [plain_sets(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = sets[i], sets[j]
+        if (not a and not b) or len(a & b) >= 0.8 * len(a | b) > 0:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 3000])
+def test_similar_documents(spark, limit):
+    rng = random.Random(12)
+    texts = make_texts()
+    for n, copies in ((60, 3), (200, 4), (300, 60)):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for _ in range(copies):
+            changed = list(words)
+            for i in rng.sample(range(n), rng.randint(1, max(2, n // 40))):
+                changed[i] = f"v{rng.randint(0, 10**6)}"
+            texts.append(" ".join(changed).upper() if rng.random() < 0.5 else " ".join(changed))
+    want = similar_groups(texts)
+    assert len({w for w in want}) < len(texts) - 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_documents(df, limit=limit).collect()}
+    first = {}
+    for i in range(len(texts)):
+        first.setdefault(got[i], i)
+    assert [first[got[i]] for i in range(len(texts))] == want
+
+
+def test_keep_one(spark, docs, empty):
+    rows = docs.collect()
+    groups = similar_groups([r["text"] for r in rows])
+    least = {}
+    for g, r in zip(groups, rows):
+        if r["doc_id"] is not None:
+            least[g] = min(least.get(g, r["doc_id"]), r["doc_id"])
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect())
-    parts = simhash.near_duplicates(docs).select("component_id").distinct().count()
-    assert len(ids) == len(set(ids)) == parts
+    assert ids == sorted((least.get(g) is None, least.get(g)) for g in set(groups))
+    assert simhash.keep_one(empty).count() == 0
+    odd = docs.select("doc_id", "text", F.lit(1).alias("row"), F.lit(2).alias("id"), F.lit(3).alias("row_key"), F.lit(4).alias("a.b"))
+    assert simhash.keep_one(odd).columns == odd.columns and simhash.keep_one(odd).count() == len(ids)
 
 
 def test_digests_are_stated_ones():

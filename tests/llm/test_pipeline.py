@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from quillflow.llm import queries, simhash
+from quillflow.llm import queries
 from quillflow.llm.common import table, written
 
-from .test_operators import base, contaminated, ids_of
+from .test_operators import base, contaminated, ids_of, similar_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,8 +29,9 @@ def test_stages(spark):
     good = [d for d, t in start.items() if base(t)[0] >= 20 and 100 * base(t)[4] <= 30 * base(t)[0]]
     assert set(ids["quality rules"]) <= set(good) and len(ids["quality rules"]) >= 0.95 * len(good)
     assert set(ids["quality classifier"]) <= set(ids["quality rules"])
-    classes = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(kept["quality classifier"]).collect()}
-    assert sorted(ids["SimHash near-dedup"]) == sorted(set(classes.values()))
+    judged = sorted((r["doc_id"], r["text"]) for r in kept["quality classifier"].collect())
+    groups = similar_groups([t for _, t in judged])
+    assert sorted(ids["SimHash near-dedup"]) == sorted({judged[g][0] for g in groups})
     items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
     clean = [r["doc_id"] for r in kept["SimHash near-dedup"].collect() if not contaminated(r["text"], items, 10)[1]]
     assert sorted(clean) == sorted(ids["benchmark decontamination"])
