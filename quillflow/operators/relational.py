@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rx
 from ..sources.schema import DOCUMENT, EXPORT_NAMES
+from ..sources.shared import written
 
 
 def page(df: DataFrame, skip: int = 0, limit: int = 1000, order: str = "id") -> DataFrame:
@@ -25,18 +26,25 @@ def largest(df: DataFrame, column: str = "numero_doc") -> DataFrame:
 def assign_numbers(new: DataFrame, existing: DataFrame, order: list[str], column: str = "numero_doc") -> DataFrame:
     """New rows with consecutive numbers above the largest existing one, in order.
 
-    Rows are range-partitioned and sorted; a partition's numbers start behind the sum of those
-    before it, so no task holds more than its range. The driver sees one count for each range.
+    Rows are range-partitioned, sorted and written once with their range and place there, so
+    that counts and numbers stand on the same ranges; a range's numbers start behind the sum of
+    those before it, and no task holds more than its range. Of the ranges alone, a row for
+    each, are sums made in one task and broadcast. Rows equal in ``order`` get numbers in any
+    order, nulls come first; an empty table gives no rows; ``column`` replaces one of that name.
     """
-    ranged = new.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ranged.withColumn("__range", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    counts = placed.groupBy("__range").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    starts = counts.select("__range", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    top = existing.agg(F.coalesce(F.max(column), F.lit(0)).alias("__top"))
-    numbered = placed.join(F.broadcast(starts), "__range").join(F.broadcast(top))  # as many rows as ranges; one row
-    number = F.col("__top") + F.col("__before") + F.col("__at") - F.col("__first") + 1
-    return numbered.select(*new.columns, number.cast("int").alias(column))
+    own = [c for c in new.columns if c != column]
+    part, at = (next(n for n in ("_" * k + x for k in range(1, 99)) if n not in own) for x in ("range", "at"))
+    keys = [F.col(f"`{c}`") for c in order]
+    ranged = new.select(*[F.col(f"`{c}`") for c in own]).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = written(ranged.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "numbered-ranges")
+    counts = placed.groupBy(F.col(part).alias("r")).agg(F.count("*").alias("n"), F.min(at).alias("first"))
+    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("r"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    top = existing.agg(F.coalesce(F.max(column), F.lit(0)).alias("top"))
+    shifts = starts.join(top).select(F.col("r").alias(part), (F.col("shift") + F.col("top")).alias(f"{at}_shift"))
+    numbered = placed.join(F.broadcast(shifts), part)
+    number = (F.col(at) + F.col(f"{at}_shift")).cast(existing.schema[column].dataType)
+    return numbered.select(*[F.col(f"`{c}`") for c in own], number.alias(column))
 
 
 def job_documents(jobs: DataFrame, documents: DataFrame) -> DataFrame:

@@ -100,32 +100,54 @@ def by_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return found.where("length(reference) > 50").select(key, "pos", "reference")
 
 
+#: An author, more of them, and the year behind the last.
+_ONE = r"\p{Lu}[\p{L}'’-]+,? (?:\p{Lu}\.[ -]?)+"
+_LIST = rf"(?:^|(?<=[\s.;]))((?:{_ONE}(?:(?:, ?|,? ?(?:and|&|y) ){_ONE})*),? ?(?:\((?:19|20)\d\d[a-z]?\)|(?:19|20)\d\d[a-z]?\b))"
+
+
+def by_author_year(c: Column) -> Column:
+    """Pieces that start with a list of authors and their year, over 50 characters; null
+    where none does. What is before the first is no reference."""
+    pieces = F.split(rx.sub(c, _LIST, f"{MARK}$1"), MARK)
+    behind = rx.let(pieces, lambda x: F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))))
+    found = F.filter(F.transform(behind, rx.strip), lambda x: F.length(x) > 50)
+    return rx.let(found, lambda x: F.when(F.size(x) > 0, x))
+
+
 def split_references(c: Column, compat: bool = True) -> Column:
     """The single references in a section's text as an array.
 
-    With ``compat`` running heads go to the end of the (single) line, as the results to match
-    have it; without, they go before lines are joined.
+    With ``compat`` running heads go to the end of the (single) line and references are found
+    by the starts known there, as the results to match have it; a reference whose end no start
+    fits is then cut at its year. Without, heads go before lines are joined and each reference
+    is whole, from its authors and year to the next; texts without such starts take the others.
     """
     c = normalize.line_breaks(c)
     flat = normalize.without_running_heads(normalize.text_spacing(c)) if compat else normalize.text_spacing(normalize.without_running_heads(c))
 
     def parts(x: Column) -> Column:
+        if not compat:
+            return F.coalesce(by_author_year(x), compat_parts(x))
+        return compat_parts(x)
+
+    def compat_parts(x: Column) -> Column:
         whole = F.when(F.length(x) > 50, F.array(x)).otherwise(F.expr("cast(array() as array<string>)"))
         return F.when(F.length(x) > 500, F.coalesce(by_full_start(x), by_simple_start(x), by_year(x))).otherwise(whole)
 
     return rx.let(flat, parts)
 
 
-def accepted(refs: Column) -> Column:
+def accepted(refs: Column, from_author: bool = True) -> Column:
     """References from their first author on that have a year and no excluded phrase."""
-    return F.filter(F.transform(refs, normalize.reference_start), predicates.is_accepted_split)
+    starts = F.transform(refs, normalize.reference_start) if from_author else refs
+    return F.filter(starts, predicates.is_accepted_split)
 
 
 def extract_references(df: DataFrame, key: str, text: str, tei_refs: str | None = None, compat: bool = True) -> DataFrame:
     """(key, pos, reference): from TEI if its quality is good, else from the text."""
     section = without_end_sections(reference_section(F.col(text)))
     staged = df.withColumn("__section", section)
-    refs = accepted(split_references(F.col("__section"), compat))
+    refs = accepted(split_references(F.col("__section"), compat), compat)
     if tei_refs is not None:
         refs = F.when(tei.good_quality(F.col(tei_refs)), F.transform(F.col(tei_refs), tei.as_text)).otherwise(refs)
     return staged.select(key, F.posexplode(refs).alias("pos", "reference"))

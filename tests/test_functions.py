@@ -140,12 +140,41 @@ def test_splitting(spark):
     refs = [one.replace("Perez", n) for n in ("Perez", "Gomez", "Araya", "Munoz", "Silva", "Rojas", "Lagos")]
     text = "Intro. REFERENCES " + " ".join(refs) + " FUNDING none"
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "k long, t string")
-    got = [r["reference"] for r in split.extract_references(df, "k", "t").orderBy("pos").collect()]
+    got = [r["reference"] for r in split.extract_references(df, "k", "t", compat=False).orderBy("pos").collect()]
+    assert got == refs
+    # No start known to compat fits behind "doi: 10.1234/abcdef": years cut, and too little is left of each piece.
+    assert split.extract_references(df, "k", "t").count() == 0
+    dotted = text.replace("abcdef", "abcdef.")
+    got = [r["reference"] for r in split.extract_references(spark.createDataFrame([(1, dotted)], "k long, t string"), "k", "t").orderBy("pos").collect()]
     assert len(got) == 7 and all(g.startswith(r[:10]) for g, r in zip(got, refs))
+    several = "Perez, J., Gomez, A.M. and Soto, P., 1997. Title of the one in the sea of the south. Mar. Biol. 3, 4-5. Lagos, B. (2001). Other title of the two. J. Fish 4, 5-9."
+    got = [r["reference"] for r in split.extract_references(spark.createDataFrame([(1, several)], "k long, t string"), "k", "t", compat=False).orderBy("pos").collect()]
+    assert [g[:9] for g in got] == ["Perez, J.", "Lagos, B."]
     lines = spark.createDataFrame([(1, "\n".join(refs) + "\n\nFunding x"), (2, None)], "k long, t string")
     assert [r["reference"] for r in split.by_lines(lines, "k", "t").orderBy("pos").collect()] == refs
 
 
+@pytest.mark.parametrize("settings", [{}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}, {"spark.sql.adaptive.enabled": "false"}])
+def test_assign_numbers(spark, settings):
+    settings = settings | {"spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 200000, 1, 8).selectExpr("id * 7919 % 200003 as k", "repeat(md5(string(id)), 7) as wide", "1 as `a.b`", "2 as _range")
+        top = spark.createDataFrame([(None,), (17,)], "numero_doc int")
+        got = relational.assign_numbers(rows, top, ["k"])
+        assert got.columns == ["k", "wide", "a.b", "_range", "numero_doc"] and dict(got.dtypes)["numero_doc"] == "int"
+        first = got.agg(F.count("*"), F.count_distinct("numero_doc"), F.min("numero_doc"), F.max("numero_doc")).first()
+        assert tuple(first) == (200000, 200000, 18, 200017)
+        pairs = got.orderBy("k").select("numero_doc").collect()
+        assert [r[0] for r in pairs] == list(range(18, 200018))
+        assert relational.assign_numbers(rows.limit(0), top, ["k"]).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_tei_and_json(spark):
     xml = (
         '<TEI xmlns="http://www.tei-c.org/ns/1.0"><biblStruct><analytic><title level="a">A longer title</title><author><persName>'
