@@ -226,12 +226,17 @@ def filled_fields(columns: list[str]) -> Column:
 def title_author_match(records: DataFrame, works: DataFrame, record_id: str = "ref_id") -> DataFrame:
     """(record, doi) of the best work for a title: equal title keys, authors alike first.
 
-    Only works that share the key meet a record; the best has the smaller author distance,
-    then the smaller DOI.
+    The best has the smaller author distance (over the first 200 characters), then the smaller
+    DOI. Equal authors meet in a join on both; only for other spellings the different authors of
+    a title are compared, each once, and the best is taken before rows are shuffled.
     """
-    left = records.select(record_id, "autores", title_key(F.col("titulo_original")).alias("t")).where("t is not null")
-    right = works.select(title_key(F.col("titulo_original")).alias("t"), F.col("autores").alias("wa"), F.col("doi").alias("work_doi"))
-    far = F.levenshtein(F.substring(F.coalesce("autores", F.lit("")), 1, 200), F.substring(F.coalesce("wa", F.lit("")), 1, 200))
-    return left.join(right.where("t is not null"), "t").groupBy(record_id).agg(F.min_by("work_doi", F.struct(far, "work_doi")).alias("work_doi"))
-
-
+    own = records.select(record_id, "autores", title_key(F.col("titulo_original")).alias("t")).where("t is not null")
+    asked = own.select("t", F.coalesce("autores", F.lit("")).alias("autores")).distinct()
+    right = works.select(title_key(F.col("titulo_original")).alias("t"), F.coalesce("autores", F.lit("")).alias("wa"), F.col("doi").alias("work_doi"))
+    right = right.where("t is not null").groupBy("t", "wa").agg(F.min("work_doi").alias("work_doi"))
+    same = asked.join(right.withColumnRenamed("wa", "autores"), ["t", "autores"])
+    far = F.levenshtein(F.substring("autores", 1, 200), F.substring("wa", 1, 200))
+    rest = asked.join(same, ["t", "autores"], "left_anti").join(right, "t")
+    near = rest.groupBy("t", "autores").agg(F.min_by("work_doi", F.struct(far, "work_doi")).alias("work_doi"))
+    best = same.select("t", "autores", "work_doi").unionByName(near)
+    return own.withColumn("autores", F.coalesce("autores", F.lit(""))).join(best, ["t", "autores"]).select(record_id, "work_doi")

@@ -278,33 +278,62 @@ _register(
 # --- splitting ------------------------------------------------------------------------------------------
 
 
+#: Twenty citations at most make a document, all of one form (by the year's place).
+_DOC = "(ref_id / 100) * 5 + ref_id % 5"
+
+
+def _with_doc(spark, sf_dir):
+    return corpus.citations(spark, sf_dir).withColumn("doc", F.expr("(ref_id div 100) * 5 + ref_id % 5"))
+
+
 def _blobs(spark, sf_dir):
-    """(cust, text): each customer's citations of one form behind a heading, joined."""
-    c = corpus.citations(spark, sf_dir).where("ref_id % 5 in (0, 2)")
+    """(doc, text): the citations of each document behind a heading, joined."""
+    c = _with_doc(spark, sf_dir)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref_id", "text"))), lambda s: rx.strip(s["text"])), " ")
-    return c.groupBy("cust").agg(F.count("*").alias("n"), F.concat(F.lit("Words before. REFERENCES "), joined, F.lit(" FUNDING none")).alias("text"))
+    return c.groupBy("doc").agg(F.count("*").alias("n"), F.concat(F.lit("Words before. REFERENCES "), joined, F.lit(" FUNDING none")).alias("text"))
 
 
-_register("spl_01_section", lambda s, d: _blobs(s, d).select("cust", split.reference_section(F.col("text")).alias("value")))
+_register("spl_01_section", lambda s, d: _blobs(s, d).select("doc", split.reference_section(F.col("text")).alias("value")))
 _register(
     "spl_02_end_sections",
     lambda s, d: corpus.citations(s, d).select("ref_id", split.without_end_sections(F.concat("text", F.lit(" Funding x. Acknowledgments y"))).alias("value")),
     _WITH + "select ref_id, t || ' ' as value from cites",
 )
-_register("spl_05_full_start", lambda s, d: _blobs(s, d).select("cust", F.posexplode(split.by_full_start(F.col("text"))).alias("pos", "value")))
-_register("spl_06_simple_start", lambda s, d: _blobs(s, d).select("cust", F.posexplode(split.by_simple_start(rx.sub(F.col("text"), r"(\d)-(\d+)", "$1–$2"))).alias("pos", "value")))
-_register("spl_07_year", lambda s, d: _blobs(s, d).select("cust", F.posexplode(split.by_year(F.col("text"))).alias("pos", "value")))
+_register("spl_05_full_start", lambda s, d: _blobs(s, d).select("doc", F.posexplode(split.by_full_start(F.col("text"))).alias("pos", "value")))
+_register("spl_06_simple_start", lambda s, d: _blobs(s, d).select("doc", F.posexplode(split.by_simple_start(rx.sub(F.col("text"), r"(\d)-(\d+)", "$1–$2"))).alias("pos", "value")))
+_register("spl_07_year", lambda s, d: _blobs(s, d).select("doc", F.posexplode(split.by_year(F.col("text"))).alias("pos", "value")))
 
 
 def spl_08_lines(spark, sf_dir):
-    c = corpus.citations(spark, sf_dir).where("ref_id % 5 in (0, 2)")
+    c = _with_doc(spark, sf_dir)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref_id", "text"))), lambda s: rx.strip(s["text"])), "\n\n")
-    lines = split.by_lines(c.groupBy("cust").agg(joined.alias("text")), "cust", "text")
-    return lines.select("cust", "reference")
+    lines = split.by_lines(c.groupBy("doc").agg(joined.alias("text")), "doc", "text")
+    return lines.select("doc", "reference")
+
 
+_register("spl_08_lines", spl_08_lines, _WITH + "select " + _DOC.replace("/", "//") + " doc, " + _one_space_sql("t") + " reference from cites")
+_register("spl_10_extract", lambda s, d: split.extract_references(_blobs(s, d), "doc", "text"))
 
-_register("spl_08_lines", spl_08_lines, _WITH + "select cust, " + _one_space_sql("t") + " reference from cites where ref_id % 5 in (0, 2)")
-_register("spl_10_extract", lambda s, d: split.extract_references(_blobs(s, d), "cust", "text"))
+
+#: Citations whose year stands behind the authors, in the four forms of it.
+_YEAR_FIRST = corpus.CITATION.replace("ref_id % 5", "ref_id % 4")
+
+
+def spl_10_whole(spark, sf_dir):
+    """Outside compat mode every reference comes out whole, spaced like any text."""
+    c = corpus.pieces(spark, sf_dir).select("ref_id", F.expr("(ref_id div 100) * 4 + ref_id % 4").alias("doc"), F.expr(_YEAR_FIRST).alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref_id", "text"))), lambda s: rx.strip(s["text"])), " ")
+    blobs = c.groupBy("doc").agg(F.concat(F.lit("Words before. REFERENCES "), joined, F.lit(" FUNDING none")).alias("text"))
+    found = split.extract_references(blobs, "doc", "text", compat=False)
+    return found.select("doc", F.col("pos").cast("int").alias("pos"), "reference")
+
+
+_register(
+    "spl_10_whole",
+    spl_10_whole,
+    f"with pieces as ({corpus.PIECES}), c as (select ref_id, (ref_id // 100) * 4 + ref_id % 4 doc, {_YEAR_FIRST} t from pieces) "
+    f"select doc, (row_number() over (partition by doc order by ref_id) - 1)::int pos, {_strip(_text_spacing_sql('t'))} reference from c",
+)
 
 # --- XML and JSON --------------------------------------------------------------------------------------------
 
@@ -329,7 +358,17 @@ _register(
     lambda s, d: _tei(s, d).select("ref_id", F.transform(tei.references(F.col("xml")), tei.as_text)[0].alias("value")),
     _WITH + "select ref_id, a1 || ', ' || i1 || '. (' || yr || '). Observations on the ' || seg || '. Mar. Biol.. Vol. ' || p1 || '. DOI: 10.' || reg || '/x' as value from pieces",
 )
-_register("prd_09_quality", lambda s, d: _tei(s, d).select("ref_id", tei.good_quality(tei.references(F.col("xml")), 0.5).alias("value")), _WITH + "select ref_id, true as value from pieces")
+
+
+def prd_09_quality(spark, sf_dir):
+    """Ten references each, 0 to 10 of them full."""
+    one = F.regexp_extract("xml", "(?s)(<biblStruct.*</biblStruct>)", 1)
+    parts = _tei(spark, sf_dir).select("ref_id", one.alias("full"), F.lit("<bibl>Raw text</bibl>").alias("raw"))
+    xml = F.expr("repeat(full, cast(ref_id % 11 as int)) || repeat(raw, cast(10 - ref_id % 11 as int))")
+    return parts.select("ref_id", tei.good_quality(tei.references(xml)).alias("value"))
+
+
+_register("prd_09_quality", prd_09_quality, _WITH + "select ref_id, ref_id % 11 >= 7 as value from pieces")
 _register(
     "xml_04_header",
     lambda s, d: _tei(s, d).select("ref_id", tei.header(F.col("xml")).alias("h")).select("ref_id", "h.title", "h.authors", "h.year", "h.doi"),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import spread
+
 #: One row for each order: the pieces that texts are made of.
 PIECES = """
 select o_orderkey as ref_id, o_custkey as cust, c_nationkey as nation,
@@ -49,7 +51,7 @@ WORK_FILTER = "ref_id % 3 <> 2 and ref_id % 2 = 0"
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).selectExpr(*_select_list(PIECES))
+    return spread(orders).join(customer, F.col("o_custkey") == F.col("c_custkey")).selectExpr(*_select_list(PIECES))
 
 
 def _select_list(sql: str) -> list[str]:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.schema import JOB_EVENT, MESSAGE
 
 MOST_ATTEMPTS = 3
-STATE = "status string, progress int, started_at timestamp, completed_at timestamp, error string, document_id int, last timestamp"
-VIEW = "job_id string, " + STATE.removesuffix(", last timestamp")
 
 
 def new_jobs(messages: DataFrame, kind: str = "pdf") -> DataFrame:
@@ -89,48 +86,11 @@ def job_status(jobs: DataFrame, documents: DataFrame | None = None) -> DataFrame
 
 
 def job_stream(events: DataFrame) -> DataFrame:
-    """The same states from a stream of events, one row for each job and micro-batch.
-
-    A job's state is a few values; events of a job that come late are weighed by their time.
+    """The same states from a stream of events, one row for each job that a micro-batch changes
+    (output mode update). It is the batch aggregation: a job's state is one row of values, late
+    events are weighed by their time, and events that come twice change nothing.
     """
-
-    def update(key: tuple, batches: Iterator, state: GroupState):
-        import pandas as pd
-
-        rows = pd.concat(list(batches))
-        keep = state.get if state.exists else (None, 0, None, None, None, None, None)
-        status, progress, started, completed, error, document, last = keep
-        rank = {s: i for i, s in enumerate(("pending", "processing", "analyzing", "completed", "failed"))}
-        rows = rows.assign(rank=rows["status"].map(rank)).sort_values(["event_time", "rank"], kind="stable")
-        for r in rows.itertuples():
-            t = r.event_time
-            own = None if pd.isna(r.progress) else int(r.progress)
-            if last is None or t >= last:
-                defaults = {"completed": 100, "failed": 0}
-                status, last = r.status, t
-                progress = defaults.get(r.status, own if own is not None else {"processing": 10, "analyzing": 40}.get(r.status, 0))
-            if r.status == "processing":
-                started = t if started is None else max(started, t)
-            elif r.status == "analyzing" and started is None:
-                started = t
-            elif r.status in ("completed", "failed"):
-                completed = t if completed is None else max(completed, t)
-            error = r.error if isinstance(r.error, str) else error
-            document = document if pd.isna(r.document_id) else int(r.document_id)
-        state.update((status, progress, started, completed, error, document, last))
-        yield pd.DataFrame(
-            {
-                "job_id": [key[0]],
-                "status": [status],
-                "progress": pd.array([progress], "Int32"),
-                "started_at": [started],
-                "completed_at": [completed],
-                "error": [error],
-                "document_id": pd.array([document], "Int32"),
-            }
-        )
-
-    return events.groupBy("job_id").applyInPandasWithState(update, VIEW, STATE, "update", GroupStateTimeout.NoTimeout)
+    return job_table(events)
 
 
 def read_inbox(spark: SparkSession, inbox: str, per_batch: int = 1000) -> DataFrame:
@@ -153,9 +113,16 @@ def routed(attempts: DataFrame, most: int = MOST_ATTEMPTS) -> tuple[DataFrame, D
 
 def work(messages: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
     """Runs ``handle`` on every micro-batch and keeps its rows under the batch's number, so a
-    batch that runs again replaces its rows; a job counts once."""
+    batch that runs again replaces its rows. A job counts once: the ids of earlier batches are
+    kept beside the checkpoint, and messages delivered again are left out."""
+    kept = f"{checkpoint}-jobs"
 
     def batch(df: DataFrame, number: int) -> None:
-        handle(df.dropDuplicates(["job_id"])).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        fresh = df.dropDuplicates(["job_id"])
+        if number:
+            done = df.sparkSession.read.schema("job_id string, batch long").parquet(kept).where(F.col("batch") < number)
+            fresh = fresh.join(done, "job_id", "left_anti")
+        fresh.select("job_id").write.mode("overwrite").parquet(f"{kept}/batch={number}")
+        handle(fresh).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

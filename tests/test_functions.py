@@ -287,3 +287,21 @@ def test_worker(spark, tmp_path):
     q = jobs.work(jobs.read_inbox(spark, str(tmp_path / "in")), lambda df: df.withColumn("done", F.lit(True)), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert sorted(r["job_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["j1", "j2"]
+    again = spark.createDataFrame([("j1", "k1", "f"), ("j3", "k3", "h")], "job_id string, file_key string, filename string")
+    sinks.send(again, str(tmp_path / "in"))  # j1 is delivered again
+    q = jobs.work(jobs.read_inbox(spark, str(tmp_path / "in")), lambda df: df.withColumn("done", F.lit(True)), str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    assert sorted(r["job_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["j1", "j2", "j3"]
+
+
+def test_title_author_match(spark):
+    records = spark.createDataFrame(
+        [(1, "Perez, A.", "Fish of the  Sea"), (2, "Gomez, B", "fish of the sea"), (3, None, "Fish of the sea"), (4, "X", "Other"), (5, "Y", None), (6, "Perez, A.", "Fish of the  Sea")],
+        "ref_id int, autores string, titulo_original string",
+    )
+    works = spark.createDataFrame(
+        [("10.1/b", "Perez, A.", "Fish of the sea"), ("10.1/a", "Perez, A.", "Fish of the sea"), ("10.1/c", "Gomez, B.", "Fish of the sea"), ("10.1/d", None, "Fish of the sea"), ("10.1/e", "Z", None)],
+        "doi string, autores string, titulo_original string",
+    )
+    got = {r["ref_id"]: r["work_doi"] for r in merge.title_author_match(records, works).collect()}
+    assert got == {1: "10.1/a", 2: "10.1/c", 3: "10.1/d", 6: "10.1/a"}
