@@ -7,11 +7,16 @@ nothing); what is written there is deleted when the driver's JVM ends.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where it is unset a local session gets a temporary
@@ -28,17 +33,36 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _fs(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, deleted when the JVM ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    fs, jpath = _fs(spark, path)
+    fs.deleteOnExit(jpath)
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+@contextlib.contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[None]:
+    """Tables written meanwhile are dropped at the end, but for those that stay."""
+    path = new_path(spark, label)
+    token = _SCRATCH.set(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        fs, jpath = _fs(spark, path)
+        fs.delete(jpath, True)
+
+
+def written(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
     """``df`` as a table written to the shared folder and read again."""
-    path = new_path(df.sparkSession, label)
+    base = None if stays else _SCRATCH.get()
+    path = f"{base}/{label}-{uuid.uuid4().hex}" if base else new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
