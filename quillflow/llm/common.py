@@ -1,50 +1,19 @@
-"""What the corpus operators share: the shared folder, written tables, word lists.
-
-Rows are only ever cut from their lineage by writing a Parquet table below the folder the
-session names in ``spark.checkpoint.dir`` (all executors see it, a lost executor loses
-nothing); the folder is deleted when the driver's JVM ends.
-"""
+"""What the corpus operators share: written tables, the test tables, word lists."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, scratch, shared_dir, spread, written  # noqa: F401
+
 #: Java regular expression of what separates words: space and U+0009 to U+000D.
 SPACE = "[ \\t-\\r]"
 WORD = "[^ \\t-\\r]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the JVM ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table written to the shared folder and read again."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package also where it is not installed."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -55,7 +24,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def words_of(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Linked pairs within shards, found without ever gathering an unbounded shard in one task.
 
 Members are rows (key, item, weight): items that share a key have to be compared. Shards of one
-item are dropped. A shard of at most ``limit`` weight goes to a task whole. A larger one is dealt
+item are dropped, and of shards that hold the same items one stays. A shard of at most ``limit`` weight goes to a task whole. A larger one is dealt
 to subshards; its vantage item (the least one) visits each of them, so that what lies in the
 vantage's ball is joined over all subshards. What is then not in the shard's largest component
 is compared with the whole shard, a part with a part in each task; components found so far come
@@ -28,8 +28,9 @@ EDGES = "a long, b long"
 
 
 def sizes_of(members: DataFrame) -> DataFrame:
-    """(key, n, weight) of the shards of two members or more."""
-    return members.groupBy("key").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).where("n > 1")
+    """(key, n, total weight, mark of its items) of the shards of two members or more."""
+    mark = F.bit_xor(F.xxhash64("item")).alias("mark")
+    return members.groupBy("key").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), mark).where("n > 1")
 
 
 def _searched(shards: DataFrame, payload: DataFrame | None, search: Search) -> DataFrame:
@@ -83,7 +84,8 @@ def forest(members: DataFrame, search: Search, limit: int, payload: DataFrame |
 
     ``payload`` has item and payload (binary) of every item; without it payloads are null.
     """
-    rows = written(members.join(sizes_of(members), "key"), "shard-members")
+    different = sizes_of(members).groupBy("n", "total", "mark").agg(F.min("key").alias("key"))
+    rows = written(members.join(different.select("key", "total"), "key"), "shard-members")
     parts = F.ceil(F.col("total") / limit).cast("long")
     zero = F.lit(0).cast("long")
     plain = [F.col("item").alias("component"), F.lit(True).alias("is_left")]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, ship, written
+from .common import free_name, scratch, ship, written
 from .components import connected_components
 from .neighbours import forest, sizes_of
 
@@ -380,13 +380,15 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: s
     """
     key = free_name(docs, "row_key")
     keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    found = similar_documents(keyed, words, similarity, doc_id, text, keep=[doc_id, key])
-    found = found.toDF("id", "row", "fp", "root")
-    rows = written(found.groupBy("root", "id", "row").agg(F.count("*").alias("times")), "simhash-rows")
-    stay = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("stays"))
-    judged = rows.join(stay, "root").withColumn("stay", F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("row") == F.col("stays.row")))
     names = [free_name(keyed, n) for n in ("id", "row", "stay")]
-    judged = written(judged.where("not stay or times > 1").select("id", "row", "stay").toDF(*names), "simhash-judged")
+    with scratch(docs.sparkSession, "simhash"):
+        found = similar_documents(keyed, words, similarity, doc_id, text, keep=[doc_id, key])
+        found = found.toDF("id", "row", "fp", "root")
+        rows = written(found.groupBy("root", "id", "row").agg(F.count("*").alias("times")), "simhash-rows")
+        stay = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("stays"))
+        stays = F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("row") == F.col("stays.row"))
+        judged = rows.join(stay, "root").withColumn("stay", stays).where("not stay or times > 1")
+        judged = written(judged.select("id", "row", "stay").toDF(*names), "simhash-judged", stays=True)
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col(names[0])) & (F.col(key) == F.col(names[1]))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     once = keyed.join(judged.hint("shuffle_hash"), same, "left_anti").select(*columns)
