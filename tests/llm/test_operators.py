@@ -155,25 +155,84 @@ def test_quality_limits(spark):
 # --- licences ----------------------------------------------------------------------------------
 
 
-def test_licences(spark, docs):
-    model = licences.train(docs)
-    texts = [t for ts in licences.TEMPLATES.values() for t in ts]
-    families = [f for f, ts in licences.TEMPLATES.items() for _ in ts]
-    plain = ["The driver must show a license at the desk.", "alpha beta gamma.", None, "", "Nothing here is of note\nto any reader."]
-    mixed = "Some words first. Released under the MIT License. And more behind it."
-    df = spark.createDataFrame(list(enumerate([*texts, *plain, mixed])), "doc_id long, text string")
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licences.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_licences(spark, licence_model):
+    model = licence_model
+    cases = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts]
+    plain = [*licences.OTHER, "alpha beta gamma.", None, "", "Nothing here is of note\nto any reader."]
+    mixed = "Some words first. Released under the MIT License. And more behind it.\nLicensed under CC BY-NC-ND 4.0.\nAll rights reserved."
+    df = spark.createDataFrame(list(enumerate([*[t for _, t in cases], *plain, mixed])), "doc_id long, text string")
     got = {r["doc_id"]: r for r in licences.scan(df, model).collect()}
-    right = sum(f in {x["family"] for x in got[i]["licences"] if x["confirmed"]} for i, f in enumerate(families))
-    assert right >= len(texts) - 1
-    assert not any(x["confirmed"] for i in range(len(texts), len(texts) + len(plain)) for x in got[i]["licences"])
-    assert [x["family"] for x in got[len(texts) + len(plain)]["licences"] if x["confirmed"]] == ["MIT"]
-    # The margin that Spark computes is that of the features counted in Python.
-    w = licences.words_of(texts[0])
-    x = licences._matrix([w])[0] @ np.array(model.any_weights) + model.any_bias
+    right = sum(f in {x["family"] for x in got[i]["licences"] if x["confirmed"]} for i, (f, _) in enumerate(cases))
+    assert right >= 0.97 * len(cases)
+    assert not any(x["confirmed"] for i in range(len(cases), len(cases) + len(plain)) for x in got[i]["licences"])
+    assert [x["family"] for x in got[len(cases) + len(plain)]["licences"] if x["confirmed"]] == ["MIT", "CC-BY-NC-ND", "All-rights-reserved"]
+    # The probability that Spark computes is that of the features counted in Python.
+    found = licences.buckets_of(licences.words_of(cases[0][1]))
+    x = np.array(model.any_weights)[found].sum() / np.sqrt(len(found)) + model.any_bias
     p = 1 / (1 + np.exp(-(x * model.slope + model.offset)))
     assert abs(got[0]["licences"][0]["probability"] - p) < 1e-3
 
 
+def test_licences_not_trained_on(spark, licence_model):
+    import textwrap
+
+    apache = "Licensed to the Foundation under one or more agreements. Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."
+    cases = [
+        ("MIT", "The code in this folder is released under the MIT license."),
+        ("MIT", licences.TEMPLATES["MIT"][1] + "\n\n" + licences.TEMPLATES["MIT"][3]),
+        ("GPL", "This file is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+        ("AGPL", "The server is licensed under the GNU Affero General Public License, version 3."),
+        ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License."),
+        ("BSD", licences.TEMPLATES["BSD"][1] + "\n\n" + licences.TEMPLATES["BSD"][2]),
+        ("Apache-2.0", apache),
+        ("CC-BY-SA", "The article is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        ("CC-BY-NC-ND", "The photographs are licensed under CC BY-NC-ND 4.0."),
+        ("CC-BY-ND", "These pages are licensed under CC BY-ND 4.0."),
+        ("MPL-2.0", "The following file is subject to the terms of the Mozilla Public License, v. 2.0."),
+        ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+        ("Unlicense", licences.TEMPLATES["Unlicense"][0]),
+        ("All-rights-reserved", "Copyright (c) 2020 by the society. All rights reserved."),
+    ]
+    plain = [
+        "A hunting license is needed in the general area of the lake.",
+        "The house was sold under the terms of a contract from 1920.",
+        "The version of the song that they published was free.",
+        "The museum is open to the public and free of charge.",
+        "The warranty of the car covers the motor for any purpose.",
+        "He was given permission to copy the notice on the door.",
+        "Under this rule all members have the same rights.",
+        "The software was modified by the second group of students.",
+    ]
+    wrapped = [(f, "\n\n".join(textwrap.fill(p, w) for p in t.split("\n\n"))) for f, t in cases for w in (60, 72)]
+    every = [*cases, *wrapped, *[(None, t) for t in plain]]
+    df = spark.createDataFrame([(i, "Words before.\n\n" + t + "\n\nWords behind it.") for i, (_, t) in enumerate(every)], "doc_id long, text string")
+    got = {r["doc_id"]: {x["family"] for x in r["licences"] if x["confirmed"]} for r in licences.scan(df, licence_model).collect()}
+    hits = [(f, got[i]) for i, (f, _) in enumerate(every) if f is not None]
+    recall = sum(f in g for f, g in hits) / len(hits)
+    wrong = [(f, g) for f, g in hits if g - {f}] + [g for i, (f, _) in enumerate(every) if f is None and (g := got[i])]
+    assert recall >= 0.9, [h for h in hits if h[0] not in h[1]]
+    assert len(wrong) <= 2, wrong
+
+
+def test_licences_of_the_tables(spark, licence_model, docs, empty):
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {"version 3.": "GPL", "All rights reserved.": "All-rights-reserved", "CC BY-NC 4.0.": "CC-BY-NC", "the MIT License.": "MIT", "License, Version 2.0.": "Apache-2.0"}
+    for r in licences.scan(corpus, licence_model).collect():
+        lines = (r["text"] or "").split("\n")
+        want = {f for end, f in planted.items() if any(x.endswith(end) and re.match("This work is|All rights|Licensed under|Released under", x) for x in lines)}
+        assert {x["family"] for x in r["licences"] if x["confirmed"]} >= want, r["doc_id"]
+    out = licences.scan(docs.withColumn("licences", F.lit(1)), licence_model)
+    assert out.columns == [*docs.columns, "licences", "n_paragraphs", "_licences"] and out.count() == docs.count()
+    assert licences.scan(empty, licence_model).count() == 0 and not licences.train(empty).families == ()
+    blocks = spark.createDataFrame([(1, "a\n \t\nb\nc\n\n\n\nd"), (2, None), (3, " \n\n ")], "doc_id long, text string")
+    assert [r["n_paragraphs"] for r in licences.scan(blocks, licence_model).orderBy("doc_id").collect()] == [3, 0, 0]
+
+
 # --- rollups ---------------------------------------------------------------------------------------
 
 
