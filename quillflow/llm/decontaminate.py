@@ -2,8 +2,8 @@
 
 Benchmark items are windows of ``window`` words (shorter items: one window), windows are sets
 of word shingles. Documents are read once: of a document only those runs of words come
-through whose shingles all pass a bitmap of fixed size made of the benchmark's shingles and
-that are long enough for a window. Equal runs are one from there on. Shingles are then ordered
+through whose shingles all pass a bitmap of the benchmark's shingles (16 bits for each, 32 MB
+at most) and that are long enough for a window. Equal runs are one from there on. Shingles are then ordered
 by how often they occur in the runs of all documents; a window contained in a run must have
 its rarest shingle there, so that prefix alone is joined. A candidate survives if its position
 leaves room for the whole window in the run, and counts if its words are equal.
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import free_name, ship, written
 
 SHINGLE = 3
-BITMAP_BITS = 1 << 23
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # of a bitmap: 128 KB to 32 MB
 #: Everything that is no word character becomes a space, A-Z become a-z.
 _LOWER = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
@@ -92,11 +92,13 @@ def windows_of(benchmark: DataFrame, window: int, item_id: str, text: str) -> Da
 
 
 def _bitmaps(windows: DataFrame) -> tuple[dict[int, np.ndarray], int]:
-    """A bitmap for each shingle length, and the least run of full shingles a window needs.
+    """A packed bitmap for each shingle length, and the least run of full shingles a window needs.
 
-    Each task sends the driver one bitmap of BITMAP_BITS for each length; there are
-    as many tasks as the benchmark's windows fill, at most 64.
+    Each task sends the driver one bitmap for each length; there are as many tasks as the
+    benchmark's windows fill, at most 64, and the driver takes them one by one.
     """
+    n = windows.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n - 1).bit_length() if n else 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
@@ -104,12 +106,13 @@ def _bitmaps(windows: DataFrame) -> tuple[dict[int, np.ndarray], int]:
         for batch in batches:
             for size, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = min(size, SHINGLE)
-                bits = made.setdefault(n, np.zeros(BITMAP_BITS, bool))
-                bits[np.array(shingles, np.int64).view(np.uint64) & np.uint64(BITMAP_BITS - 1)] = True
+                at = np.array(shingles, np.int64).view(np.uint64) & np.uint64(bits - 1)
+                packed = made.setdefault(n, np.zeros(bits // 8, np.uint8))
+                np.bitwise_or.at(packed, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
                 if n == SHINGLE:
                     need = min(need, len(shingles))
-        for n, bits in made.items():
-            yield pa.RecordBatch.from_pydict({"n": [n], "need": [need], "bits": [np.packbits(bits).tobytes()]})
+        for n, packed in made.items():
+            yield pa.RecordBatch.from_pydict({"n": [n], "need": [need], "bits": [packed.tobytes()]})
 
     parts = (
         windows.select(F.size("words"), "shingles")
@@ -120,29 +123,33 @@ def _bitmaps(windows: DataFrame) -> tuple[dict[int, np.ndarray], int]:
     bitmaps: dict[int, np.ndarray] = {}
     need = 1 << 30
     for r in parts:
-        bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-        bitmaps[r["n"]] = bitmaps.get(r["n"], False) | bits
+        packed = np.frombuffer(r["bits"], np.uint8)
+        bitmaps[r["n"]] = bitmaps[r["n"]] | packed if r["n"] in bitmaps else packed
         need = min(need, r["need"])
     return bitmaps, need
 
 
+def _in_bitmap(packed: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    at = shingles & np.uint64(8 * len(packed) - 1)
+    return ((packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def scan(docs: DataFrame, windows: DataFrame, text: str, keep: list[str], names: dict[str, str]) -> DataFrame:
     """The columns ``keep`` of every row with a row id, its word count and candidate runs."""
     spark: SparkSession = docs.sparkSession
     bitmaps, need = _bitmaps(windows)
-    shared = spark.sparkContext.broadcast({n: np.packbits(b) for n, b in bitmaps.items()})
+    shared = spark.sparkContext.broadcast(bitmaps)  # MOST_BITS for each of SHINGLE lengths
     at = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = {n: np.unpackbits(b).view(bool) for n, b in shared.value.items()}
+        maps = shared.value
         row = TaskContext.get().partitionId() << 33
-        mask = np.uint64(BITMAP_BITS - 1)
 
         def runs_of(words: list[bytes], hashes: np.ndarray) -> list[dict]:
             found = []
             for n, bits in maps.items():
                 shingles = shingles_of(hashes, n)
-                good = bits[shingles & mask]
+                good = _in_bitmap(bits, shingles)
                 if not good.any():
                     continue
                 edges = np.flatnonzero(np.diff(good, prepend=False, append=False)).reshape(-1, 2)
@@ -186,23 +193,26 @@ def match(runs: DataFrame, windows: DataFrame) -> DataFrame:
     distinct = windows.withColumn("window", F.md5(F.concat_ws(" ", "words")))
     items = distinct.groupBy("window").agg(F.collect_set("item_id").alias("items"))
     texts = distinct.groupBy("window").agg(F.first("words").alias("words"), F.first("shingles").alias("shingles"))
-    at = runs.select("run", "n", F.posexplode("shingles").alias("pos", "shingle"))
+    at = runs.select("run", "n", F.size("words").alias("run_words"), F.posexplode("shingles").alias("pos", "shingle"))
     often = at.groupBy("shingle").agg(F.sum("n").alias("often"))
     prefix = (
-        texts.select("window", F.posexplode("shingles").alias("offset", "shingle"))
+        texts.select("window", F.size("words").alias("size"), F.posexplode("shingles").alias("offset", "shingle"))
         .join(often, "shingle", "left")
-        .groupBy("window")
+        .groupBy("window", "size")
         .agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "shingle", "offset")).alias("p"))
         .where("p.often > 0")
-        .select("window", "p.shingle", "p.offset")
+        .select("window", "size", "p.shingle", "p.offset")
+    )
+    # Ids and places first, words for what is left; the runs' side grows with the documents.
+    placed = (
+        at.join(prefix, "shingle")
+        .select("run", "window", "run_words", "size", (F.col("pos") - F.col("offset")).alias("start"))
+        .where("start >= 0 and start + size <= run_words")
     )
-    wanted = prefix.join(texts.select("window", F.col("words").alias("wanted")), "window")
     held = (
-        at.join(wanted, "shingle")
-        .select("run", "window", "wanted", (F.col("pos") - F.col("offset")).alias("start"))
-        .where("start >= 0")
-        .join(runs.select("run", "words"), "run")
-        .where("start + size(wanted) <= size(words) and slice(words, start + 1, size(wanted)) = wanted")
+        placed.join(texts.select("window", F.col("words").alias("wanted")), "window")
+        .join(runs.select("run", "words").hint("merge"), "run")
+        .where("slice(words, start + 1, size(wanted)) = wanted")
     )
     return (
         held.join(items, "window")
@@ -254,7 +264,7 @@ def decontaminate(
     )
     hits = (
         at.select("row", "start", "run")
-        .join(found, "run")
+        .join(found.hint("merge"), "run")
         .select("row", shifted.alias("spans"), "items")
         .groupBy("row")
         .agg(
@@ -281,7 +291,7 @@ def decontaminate(
     some = (
         scanned.where(F.size(runs) > 0)
         .withColumnRenamed(names["row"], "quillflow row")
-        .join(hits.select(F.col("row").alias("hit row"), F.col("n_hit").alias("hit n"), F.col("items").alias("hit items"), F.col("spans").alias("hit spans")), F.col("quillflow row") == F.col("hit row"), "left")
+        .join(hits.select(F.col("row").alias("hit row"), F.col("n_hit").alias("hit n"), F.col("items").alias("hit items"), F.col("spans").alias("hit spans")).hint("shuffle_hash"), F.col("quillflow row") == F.col("hit row"), "left")
         .select(
             *plain,
             F.col(names["n_words"]),

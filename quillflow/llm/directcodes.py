@@ -7,7 +7,7 @@ and so on. A continuation bitmap for each level says which entries go on, and a
 one bitmap block: nothing else is decoded.
 
 Layout, all little-endian: ``QDAC0001``, the header's length (8 bytes), the header as JSON
-(counts and section offsets), doc ids and their first tokens (int64), and for each level
+(counts, how many of the first documents have no id, section offsets), doc ids and their first tokens (int64), and for each level
 chunks, bitmap and rank directory (int64).
 """
 
@@ -49,8 +49,9 @@ def levels_of(ids: np.ndarray) -> list[dict[str, np.ndarray]]:
             return out
 
 
-def to_bytes(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> bytes:
-    """A whole file; ``starts`` has one entry more than there are documents."""
+def to_bytes(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
+    """A whole file; ``starts`` has one entry more than there are documents, of which the first
+    ``nulls`` have no id (0 stands for it)."""
     parts, sections, at = [], {}, 0
 
     def add(name: str, array: np.ndarray) -> None:
@@ -67,7 +68,7 @@ def to_bytes(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> bytes:
         for name, array in level.items():
             add(f"{name}{k}", array)
     header = json.dumps(
-        {"docs": len(doc_ids), "tokens": len(ids), "levels": len(levels), "sections": sections}
+        {"docs": len(doc_ids), "nulls": nulls, "tokens": len(ids), "levels": len(levels), "sections": sections}
     ).encode()
     return b"".join([MAGIC, len(header).to_bytes(8, "little"), header, *parts])
 
@@ -135,12 +136,15 @@ def write_files(
 ) -> list[dict]:
     """Writes all documents in ascending ``doc_id`` order; the committed manifest.
 
-    Rows are range-partitioned and sorted by ``doc_id`` (equal ids by text), encoded with
-    ``end_id`` closing each document and written in files of about ``file_tokens`` tokens, the
-    most a task holds. Null and empty texts are the closing id alone; null ids come first and
-    are stored as the smallest 64-bit integer; an empty table gives an empty manifest; other
-    columns are ignored. ``base`` in the manifest counts the tokens of all files before.
+    Rows are range-partitioned and sorted by ``doc_id`` (equal ids, and rows without one, by
+    text, and split over tasks by it), encoded with ``end_id`` closing each document and written
+    in files of about ``file_tokens`` tokens, the most a task holds. Where a file ends follows
+    Spark's ranges; ids and their order don't. Null and empty texts are the closing id alone;
+    null ids come first; ids that are no integers raise TypeError; an empty table gives an
+    empty manifest; other columns are ignored. ``base`` in the manifest counts the tokens of
+    all files before.
     """
+    files.integer_ids(docs, doc_id)
     ship(docs.sparkSession)
     path = tokenizer or bpe.default_path()
     files.prepare(directory)
@@ -149,7 +153,7 @@ def write_files(
         enc = bpe.encoder(path)
         part = TaskContext.get().partitionId()
         fs = files.open_fs(directory)[0]
-        keys: list[int] = []
+        keys: list[int | None] = []
         held: list[np.ndarray] = []
         tokens, rolled = 0, 0
 
@@ -158,7 +162,8 @@ def write_files(
             starts = np.concatenate([[0], np.cumsum([len(h) for h in held])])
             temp = files.temporary(directory)
             with fs.open_output_stream(files.open_fs(temp)[1]) as out:
-                out.write(to_bytes(np.array(keys), starts, np.concatenate(held)))
+                nulls = sum(k is None for k in keys)
+                out.write(to_bytes(np.array([k or 0 for k in keys]), starts, np.concatenate(held), nulls))
             row = {
                 "temp": [temp],
                 "part": [part],
@@ -176,7 +181,7 @@ def write_files(
                 for key, ids in zip(
                     piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist())
                 ):
-                    keys.append(-(1 << 63) if key is None else key)
+                    keys.append(key)
                     held.append(np.append(ids, np.array(end_id, ids.dtype)))
                     tokens += len(held[-1])
                     if tokens >= file_tokens:
@@ -185,8 +190,8 @@ def write_files(
             yield roll()
 
     found = (
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        .repartitionByRange("doc_id")
+        docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+        .repartitionByRange("doc_id", F.substring("text", 1, 64))
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(run, "temp string, part long, number long, docs long, tokens long")
         .collect()
@@ -222,12 +227,13 @@ def read_files(spark, directory: str) -> DataFrame:
                 with fs.open_input_file(path) as source:
                     reader = Reader(source)
                     keys, starts = reader.documents()
+                    nulls = reader.header["nulls"]
                     ids = reader.tokens().astype("<u4")
                 for lo in range(0, len(keys), 2000):
                     hi = min(lo + 2000, len(keys))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([None if k == -(1 << 63) else k for k in keys[lo:hi].tolist()], pa.int64()),
+                            pa.array(keys[lo:hi], mask=np.arange(lo, hi) < nulls),
                             pa.array(starts[lo:hi] + base, pa.int64()),
                             pa.array(np.diff(starts[lo : hi + 1]), pa.int64()),
                             pa.array([ids[starts[i] : starts[i + 1]].tobytes() for i in range(lo, hi)], pa.binary()),
@@ -236,11 +242,7 @@ def read_files(spark, directory: str) -> DataFrame:
                     )
 
     rows = [(f["name"], f["base"]) for f in listed]
-    return (
-        spark.createDataFrame(rows, "name string, base long")
-        .repartition(len(rows), "name")
-        .mapInArrow(run, schema)
-    )
+    return files.listed(spark, rows, "name string, base long").mapInArrow(run, schema)
 
 
 def token_at(spark, directory: str, i: int) -> int:

@@ -189,7 +189,9 @@ def train(
         .where(F.col(f"`{text}`").isNotNull())
         .select(key.cast("string").alias("id"), "quality_label", F.col(f"`{text}`"), meta)
         .mapInArrow(run, "id string, label int, buckets binary, weights binary, stats array<double>")
-        .dropDuplicates(["id"])
+        .groupBy("id")  # of rows that share an id, the one with the least hash
+        .agg(F.min_by(F.struct("label", "buckets", "weights", "stats"), F.xxhash64("buckets", "weights")).alias("r"))
+        .select("id", "r.*")
         .collect()
     )
     rows.sort(key=lambda r: r["id"])

@@ -14,6 +14,10 @@ import re
 import uuid
 
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+MOST_TASKS = 20_000
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -56,3 +60,15 @@ def manifest(directory: str) -> list[dict]:
 
 def join(directory: str, name: str) -> str:
     return posixpath.join(directory, name)
+
+
+def listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A row for each file, each in a partition of its own (in order, where there are more files
+    than MOST_TASKS some next to each other)."""
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, min(len(rows), MOST_TASKS)), schema)
+
+
+def integer_ids(df: DataFrame, column: str) -> None:
+    """Raises TypeError unless the ids are integers, as file formats and readers need."""
+    if not isinstance(df.schema[column].dataType, T.IntegralType):
+        raise TypeError(f"{column} must hold integers, not {df.schema[column].dataType.simpleString()}")

@@ -3,7 +3,8 @@
 Pages are range-partitioned and sorted by page id; each task writes gzip records one after
 another and starts a new file when the compressed size passes a limit. Record ids, dates,
 HTTP and WARC headers and digests are made anew from the row, so the same table in the same
-ranges gives the same bytes. Files get temporary names and are committed by a manifest.
+ranges gives the same bytes (records and their order follow from the table alone, where a file
+ends follows Spark's ranges). Files get temporary names and are committed by a manifest.
 
 Pages whose payload equals that of a page with a smaller id become revisit records. Only
 (page id, digest) pairs meet for that; the html itself is shuffled once, for the ranges.
@@ -35,11 +36,13 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, n: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{n}')}>"
+def record_id(page_id: int | None, n: int, spread: int = 0) -> str:
+    """The id of the n-th record of a page, or of those without a page id and one ``spread``."""
+    name = f"none:{spread}:{n}" if page_id is None else f"page:{page_id}:{n}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
-def record(page_id, url, payload: bytes, refers_to, n: int, date: str) -> bytes:
+def record(page_id, url, payload: bytes, refers_to, n: int, date: str, spread: int = 0) -> bytes:
     """One record, not yet compressed; a revisit if ``refers_to`` is not None."""
     revisit = refers_to is not None
     http = (
@@ -49,7 +52,7 @@ def record(page_id, url, payload: bytes, refers_to, n: int, date: str) -> bytes:
     block = http if revisit else http + payload
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", record_id(page_id, n)),
+        ("WARC-Record-ID", record_id(page_id, n, spread)),
         ("WARC-Date", date),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
@@ -74,9 +77,9 @@ def record(page_id, url, payload: bytes, refers_to, n: int, date: str) -> bytes:
 
 def revisits_of(pages: DataFrame, min_bytes: int, page_id: str, html: str) -> DataFrame:
     """(page_id, sha1, refers_to) of every page that repeats the payload of a smaller id."""
-    payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
+    payload = F.encode(F.coalesce(F.col(f"`{html}`"), F.lit("")), "UTF-8")
     pairs = pages.select(
-        F.col(page_id).alias("page_id"), F.sha1(payload).alias("sha1"), F.length(payload).alias("n")
+        F.col(f"`{page_id}`").alias("page_id"), F.sha1(payload).alias("sha1"), F.length(payload).alias("n")
     ).where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull())
     first = (
         pairs.groupBy("sha1")
@@ -105,24 +108,28 @@ def write_archives(
     """Writes one record for each row; the committed manifest.
 
     Null html is an empty payload, null urls get no target, rows without a page id are
-    responses that nothing refers to. Of rows that share id and payload the first is the
-    response (or a revisit of the smaller id), the others revisit it. An empty table gives an
-    empty manifest; other columns are ignored. A task holds one record.
+    responses that nothing refers to, spread over tasks by their hash. Of rows that share id
+    and payload the first is the response (or a revisit of the smaller id), the others revisit
+    it. Page ids that are no integers raise TypeError. An empty table gives an empty manifest;
+    other columns are ignored. A task holds one record.
     """
+    files.integer_ids(pages, page_id)
     ship(pages.sparkSession)
     files.prepare(directory)
     revisits = written(revisits_of(pages, min_bytes, page_id, html), "warc-revisits")
     kind = pages.schema[page_id].dataType
     rows = pages.select(
-        F.col(page_id).alias("page_id"),
+        F.col(f"`{page_id}`").alias("page_id"),
+        F.when(F.col(f"`{page_id}`").isNull(), F.xxhash64(F.col(f"`{url}`"), F.col(f"`{html}`"))).otherwise(0).alias("spread"),
         F.lit(1).alias("step"),
-        F.col(url).alias("url"),
-        F.col(html).alias("html"),
+        F.col(f"`{url}`").alias("url"),
+        F.col(f"`{html}`").alias("html"),
         F.lit(None).cast("string").alias("sha1"),
         F.lit(None).cast(kind).alias("refers_to"),
     ).unionByName(
         revisits.select(
             "page_id",
+            F.lit(0).cast("long").alias("spread"),
             F.lit(0).alias("step"),
             F.lit(None).cast("string").alias("url"),
             F.lit(None).cast("string").alias("html"),
@@ -135,7 +142,7 @@ def write_archives(
         part = TaskContext.get().partitionId()
         fs = files.open_fs(directory)[0]
         out, temp, size, records, rolled = None, "", 0, 0, 0
-        current, known, n = object(), {}, 0
+        current, spread, known, n = object(), 0, {}, 0
 
         def close() -> pa.RecordBatch:
             nonlocal out, size, records, rolled
@@ -148,8 +155,8 @@ def write_archives(
 
         for batch in batches:
             for row in batch.to_pylist():
-                if row["page_id"] != current:
-                    current, known, n = row["page_id"], {}, 0
+                if (row["page_id"], row["spread"]) != (current, spread):
+                    current, spread, known, n = row["page_id"], row["spread"], {}, 0
                 if row["step"] == 0:
                     known[row["sha1"]] = row["refers_to"]
                     continue
@@ -160,7 +167,7 @@ def write_archives(
                     refers_to = known.get(sha1)
                     known.setdefault(sha1, current)
                 packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                raw = packer.compress(record(current, row["url"], payload, refers_to, n, date)) + packer.flush()
+                raw = packer.compress(record(current, row["url"], payload, refers_to, n, date, spread)) + packer.flush()
                 n += 1
                 if out is None:
                     temp = files.temporary(directory)
@@ -174,8 +181,8 @@ def write_archives(
             yield close()
 
     found = (
-        rows.repartitionByRange("page_id")
-        .sortWithinPartitions("page_id", "step", "url", "html")
+        rows.repartitionByRange("page_id", "spread")
+        .sortWithinPartitions("page_id", "spread", "step", "url", "html")
         .mapInArrow(run, "temp string, part long, number long, records long, bytes long")
         .collect()
     )
@@ -269,4 +276,4 @@ def read_archives(spark, directory: str) -> DataFrame:
             yield out()
 
     rows = [(f["name"],) for f in listed]
-    return spark.createDataFrame(rows, "name string").repartition(len(rows), "name").mapInArrow(run, schema)
+    return files.listed(spark, rows, "name string").mapInArrow(run, schema)

@@ -307,13 +307,18 @@ def test_differencing():
 
 
 def test_packing(spark, docs, empty):
-    rows = packing.pack(docs, windows=2).collect()
-    want = Counter()
-    for r in docs.collect():
+    long_texts = spark.createDataFrame([(900 + i, " ".join(make_texts(40, i)[:40])) for i in range(12)], "doc_id long, text string")
+    df = docs.select("doc_id", "text", F.lit(1).alias("start"), F.lit(2).alias("a.b")).unionByName(
+        long_texts.selectExpr("doc_id", "text", "1 as start", "2 as `a.b`")
+    ).repartition(2)
+    rows = packing.pack(df, windows=4).collect()
+    want, total = Counter(), 0
+    for r in df.collect():
         want[r["doc_id"], tuple(ids_of(r["text"]) + [0])] += 1
+        total += len(ids_of(r["text"])) + 1
     parts, windows = {}, {}
     for r in rows:
-        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        ids = tuple(np.frombuffer(r["ids"], "<u4").tolist())
         assert len(ids) == r["length"] > 0
         parts.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], ids))
         windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -323,18 +328,29 @@ def test_packing(spark, docs, empty):
             assert offset == at
             at += length
         assert at <= 1024
-    got = Counter()
+    # Every id of every row lies in one piece, repeated rows included.
     for (doc, n), pieces in parts.items():
-        times = sum(len(p[1]) for p in pieces) // n
-        for start in {p[0] for p in pieces}:
-            assert len({tuple(p[1]) for p in pieces if p[0] == start}) >= 1
-        ids = sum((p[1] for p in sorted(pieces)[::times]), [])
-        if times == 1:
-            assert len(ids) == n
-            got[doc, tuple(ids)] += 1
-    assert all(want[k] == 1 for k in got) and len(got) >= len(want) - 1
-    assert sum(r["length"] for r in rows) == sum(len(k[1]) * v for k, v in want.items())
-    assert packing.pack(empty).count() == 0
+        texts = {t: k for (d, t), k in want.items() if d == doc and len(t) == n}
+        cells, expected = Counter(), Counter()
+        for start, ids in pieces:
+            cells.update((start + i, x) for i, x in enumerate(ids))
+        for t, k in texts.items():
+            expected.update({(i, x): k for i, x in enumerate(t)})
+        assert cells == expected
+    assert sum(r["length"] for r in rows) == total
+    tasks = df.rdd.getNumPartitions()
+    assert len(windows) <= total / 1024 * 1.05 + 2 * tasks
+    assert packing.pack(empty).count() == 0 and packing.pack(df.limit(0)).count() == 0
+
+
+def test_window_count_rises():
+    rng = random.Random(11)
+    for sizes in ([700] * 9, [513] * 5, [1000, 30, 30, 900, 200, 124], [rng.randint(300, 800) for _ in range(60)], [1024] * 3, [1]):
+        slots = packing.deal(sizes, 1024)
+        assert sorted(i for s in slots for i in s) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in s) <= 1024 for s in slots)
+        assert len(slots) >= -(-sum(sizes) // 1024)
+    assert len(packing.deal([700] * 9, 1024)) == 9 > -(-6300 // 1024)
 
 
 # --- archives --------------------------------------------------------------------------------------------
@@ -344,7 +360,7 @@ def test_archives(spark):
     rng = random.Random(4)
     bodies = ["<p>" + " ".join(rng.choices(WORDS, k=300)) + "</p>" for _ in range(6)] + ["", None]
     rows = [(i, f"http://h/{i}" if i % 5 else None, bodies[i % 8] if i % 3 else f"own {i} é") for i in range(60)]
-    rows += [rows[1], (None, "x", bodies[1]), (61, "u v\n", bodies[0])]
+    rows += [rows[1], (None, "x", bodies[1]), (None, "x", bodies[1]), (None, None, None), (None, "y", "z"), (61, "u v\n", bodies[0])]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     where = new_path(spark, "warc")
     listed = warc.write_archives(pages, where, roll_bytes=2000)
@@ -365,6 +381,14 @@ def test_archives(spark):
     warc.write_archives(pages, other, roll_bytes=2000)
     read = lambda d: [files.open_fs(files.join(d, f["name"]))[0].open_input_stream(files.open_fs(files.join(d, f["name"]))[1], compression=None).read() for f in files.manifest(d)]
     assert read(where) == read(other)
+    ids = [r["headers"]["warc-record-id"] for d in [where] for f in files.manifest(d) for r in warc.parse(files.open_fs(files.join(d, f["name"]))[0].open_input_stream(files.open_fs(files.join(d, f["name"]))[1], compression=None))]
+    assert len(ids) == len(set(ids)) == len(rows)
+    with pytest.raises(TypeError):
+        warc.write_archives(pages.withColumn("page_id", F.col("page_id").cast("string")), new_path(spark, "warc"))
+    odd = pages.select(F.col("page_id").alias("a.b"), "url", "html", F.lit(1).alias("step"), F.lit(2).alias("spread"), F.lit(3).alias("refers_to"))
+    elsewhere = new_path(spark, "warc")
+    warc.write_archives(odd, elsewhere, page_id="a.b")
+    assert warc.read_archives(spark, elsewhere).count() == len(rows)
     nothing = new_path(spark, "warc")
     assert warc.write_archives(pages.limit(0), nothing) == [] and warc.read_archives(spark, nothing).count() == 0
 
@@ -403,6 +427,13 @@ def test_token_files(spark, docs, empty):
     flat = sum(ids, [])
     for i in (0, 1, 899, 900, len(flat) // 2, len(flat) - 1):
         assert directcodes.token_at(spark, where, i) == flat[i]
+    with pytest.raises(TypeError):
+        directcodes.write_files(docs.withColumn("doc_id", F.col("doc_id").cast("string")), new_path(spark, "ids"))
+    some = [(None, "a"), (None, "b"), (-(1 << 63), "c"), (0, "d"), (None, None), (0, "d")]
+    least = new_path(spark, "ids")
+    directcodes.write_files(spark.createDataFrame(some, "`a.b` long, text string"), least, doc_id="a.b")
+    got = directcodes.read_files(spark, least).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, None, -(1 << 63), 0, 0]
     nothing = new_path(spark, "ids")
     assert directcodes.write_files(empty, nothing) == [] and directcodes.read_files(spark, nothing).count() == 0
 
