@@ -256,14 +256,34 @@ hosts as (
     row_number() over (partition by rid order by length(suffix || prefix) desc, length(suffix) desc, verdict) k
   from q join rules on (host = suffix or ends_with(host, '.' || suffix)) and starts_with(path, prefix)),
 tags as (
-  select case when has then host || tail end a,
-    unnest(list_filter(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>'),
-      lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical|\bhttp-equiv\s*=\s*["'']?refresh'))) tag
+  select host, path, tail, unnest(list_filter(regexp_extract_all(html, '{TAG}'), lambda t: regexp_matches(t, '{LINKS}'))) tag
   from q where has),
+targets as (
+  select host, path, tail, case when regexp_matches(tag, '(?i)^<link') then regexp_extract(tag, '{HREF}', 1)
+    else regexp_extract(tag, '{REFRESH}', 1) end t from tags),
+parts as (
+  select host, path, tail, t, regexp_extract(t, '^([^?#]*)', 1) tpath, regexp_extract(t, '^[^?#]*([^#]*)', 1) tquery,
+    regexp_extract(t, '://(.*)$', 1, 's') absolute, coalesce(nullif(regexp_extract(path, '^(.*/)', 1, 's'), ''), '/') folder
+  from targets where t <> '' and not starts_with(t, '#')),
+kinds as (
+  select *, case when regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*://') then absolute
+                 when regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*:') then null
+                 when starts_with(t, '//') then substr(t, 3) end rest,
+    case when regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*:') or starts_with(t, '//') or starts_with(t, '?') then null
+         when starts_with(t, '/') then tpath else folder || tpath end walk
+  from parts),
+walked as (
+  select *, string_split(substr(walk, 2), '/') steps from kinds),
 e as (
-  select a, translate(regexp_extract(t, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-    || regexp_extract(t, '^[^/?#]*([^#]*)', 1) b
-  from (select a, regexp_extract(tag, '(?i)(?:\bhref\s*=\s*["'']?|\burl\s*=\s*["'']?)[a-z]+://([^"''\s>]+)', 1) t from tags) where t <> ''),
+  select host || tail a, case
+    when rest is not null then translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+      || regexp_extract(rest, '^[^/?#]*([^#]*)', 1)
+    when starts_with(t, '?') then host || path || tquery
+    when walk is not null then host || '/' || array_to_string(
+      list_reduce([[]::varchar[]] || list_transform(steps, lambda x: [x]),
+        lambda a, x: case when x[1] = '..' then a[1:greatest(len(a) - 1, 0)] when x[1] = '.' then a else a || x end)
+      || case when steps[-1] in ('.', '..') then [''] else []::varchar[] end, '/') || tquery end b
+  from walked),
 both_ways as (select a, b from e where a <> b union select b, a from e where a <> b),
 reach(a, b) as (select a, a from both_ways union select r.a, w.b from reach r join both_ways w on r.b = w.a),
 nodes as (
@@ -280,6 +300,9 @@ from q left join hosts h on h.rid = q.rid and h.k = 1
 left join spread s on q.has and s.node = q.host || q.tail
 """
 
+for _name in ("TAG", "LINKS", "HREF", "REFRESH"):
+    _OP8 = _OP8.replace("{" + _name + "}", getattr(urlfilter, _name).replace("'", "''"))
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": _OP1,
     "op5_warc": _OP5,

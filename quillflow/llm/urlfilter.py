@@ -17,6 +17,18 @@ from .components import connected_components
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+# Tags with an address, of any length, and where it stands in them. An attribute's
+# name stands behind white space, a quote or a slash.
+TAG = r"(?i)<(?:link|meta)\b[^>]*>"
+_NAME = r"(?i)[\s\"'/]"
+LINKS = (
+    _NAME + r"(?:rel\s*=\s*(?:\"(?:[^\">]*[^\w\">-])?canonical[\s\">]|'(?:[^'>]*[^\w'>-])?canonical[\s'>]|canonical[\s/>])"
+    r"|http-equiv\s*=\s*[\"']?\s*refresh)"
+)
+HREF = _NAME + r"href\s*=\s*[\"']?\s*([^\"'\s>]+)"
+REFRESH = r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased."""
     found = F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://([^/?#]*)", 1)
@@ -67,10 +79,8 @@ def links_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     """(a, b): nodes joined by a canonical link or a meta refresh; relative addresses are
     resolved against the page's url."""
     page, text = F.col(f"`{url}`"), F.col(f"`{html}`")
-    tags = F.regexp_extract_all(text, F.lit("(?i)<(?:link|meta)\\b[^>]*+>"), F.lit(0))
-    tags = F.filter(tags, lambda t: t.rlike("(?i)\\brel\\s*=\\s*[\"']?canonical|\\bhttp-equiv\\s*=\\s*[\"']?refresh"))
-    address = lambda t, name: F.regexp_extract(t, f"(?i){name}\\s*=\\s*[\"']?\\s*([^\"'\\s>]+)", 1)
-    target = lambda t: F.when(t.rlike("(?i)^<link"), address(t, "(?<![\\w-])href")).otherwise(address(t, "\\burl"))
+    tags = F.filter(F.regexp_extract_all(text, F.lit(TAG), F.lit(0)), lambda t: t.rlike(LINKS))
+    target = lambda t: F.when(t.rlike("(?i)^<link"), F.regexp_extract(t, HREF, 1)).otherwise(F.regexp_extract(t, REFRESH, 1))
     return (
         pages.where(page.contains("://") & text.rlike("(?i)canonical|http-equiv"))
         .select(page.alias("page"), F.explode(tags).alias("tag"))

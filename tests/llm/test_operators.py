@@ -21,6 +21,7 @@ from quillflow.llm import (
     licences,
     packing,
     quality,
+    queries,
     rollup,
     simhash,
     urlfilter,
@@ -526,6 +527,46 @@ def test_url_links(spark):
     assert sorted(map(tuple, urlfilter.links_of(df).collect())) == sorted(want)
 
 
+def test_url_rows_of_sql(spark):
+    """The registered SQL and the query over one table of made links."""
+    import duckdb
+
+    link = lambda t, rel='rel="canonical"': f'<p><link {rel} href="{t}"></p>'
+    rows = [("http://a.com/en/1", None), ("http://x.io/1", link("http://A.com/en/1#f")), ("http://x.io/2", link("/1")), ("http://x.io/3", link("2"))]
+    rows += [("http://y.io/d/1", link("../d/./2")), ("http://y.io/d/2", link("//b.com/en/5")), ("http://y.io/d/3?q", link("?q=2")), ("http://y.io/d/3?q=2", link("http://b.com/en/5"))]
+    rows += [("http://z.io/1", link("http://a.com/en/1", 'rel="alternate canonical"')), ("http://z.io/2", '<link data-href="http://q.io/" rel=canonical href="/1">')]
+    rows += [("http://z.io/3", link("http://a.com/en/1", 'rel="canonical-not"')), ("http://z.io/4", link("http://a.com/en/1", 'data-rel="canonical"'))]
+    rows += [("http://w.io/1", f'<link title="{"x" * 9000}" rel="canonical" href="http://a.com/en/9">'), ("http://w.io/2", "<meta http-equiv='Refresh' content='3; URL=/1'>")]
+    rows += [("http://v.io/1", link("mailto:a@b.c")), ("http://v.io/2", link("#top")), ("http://v.io/3", link("http://ok.example.com/en/7")), ("http://v.io/4", link("http://a.com/en/77") + link("/3"))]
+    rows += [(f"http://c.io/{i}", link(str(i + 1))) for i in range(30)] + [("http://c.io/30", link("http://a.com/en/30"))]
+    rows += [(f"http://h{i}.io/", link("http://hub.org/es/1")) for i in range(40)]
+    rows += [(None, link("http://a.com/en/1")), ("no scheme", link("/1")), ("http://a.net/de/1", ""), ("http://b.example.net/de/88", "x"), rows[1]]
+    where = new_path(spark, "pages")
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(f"{where}/pages.parquet")
+    got = queries.op8_url_filters(spark, where)
+    found = Counter(map(tuple, got.collect()))
+    db = duckdb.connect()
+    db.sql(f"create view pages as select * from '{where.removeprefix('file://')}/pages.parquet/*.parquet'")
+    want = db.sql(queries.ORACLES["op8_url_filters"])
+    assert found == Counter(want.select(*got.columns).fetchall())
+    verdicts = {r["page_id"]: r["verdict"] for r in got.collect()}
+    blocked = {rows[i][0] for i, v in verdicts.items() if v == "block"}
+    assert {"http://x.io/3", "http://y.io/d/1", "http://y.io/d/3?q", "http://z.io/1", "http://z.io/2", "http://w.io/2", "http://c.io/0", "http://h7.io/"} <= blocked
+    assert not {"http://z.io/3", "http://z.io/4", "http://v.io/1", "http://v.io/2", "http://v.io/3", "http://v.io/4", "no scheme"} & blocked
+
+
+def test_url_hub(spark):
+    """A hub of 100,000 aliases, a chain, empty rules and a page of many megabytes."""
+    n = 100_000
+    pages = spark.range(0, n, 1, 8).selectExpr("id as page_id", "concat('http://h', id, '.io/') as url", "'<link rel=canonical href=http://hub.org/es/1>' as html")
+    far = spark.createDataFrame([(n, "http://far.io/", "<p>" + "x " * 2_000_000 + '</p><link rel="canonical" href="http://h5.io/">')], pages.schema)
+    rules = spark.createDataFrame([("org", "/es/", "block")], "host string, path string, verdict string")
+    got = urlfilter.judge(pages.unionByName(far), rules, keep=["page_id"])
+    assert {(r["verdict"], r["count"]) for r in got.groupBy("verdict").count().collect()} == {("block", n + 1)}
+    assert urlfilter.judge(far, rules.limit(0), keep=["page_id"]).collect()[0]["verdict"] == "allow"
+
+
 # --- classifier -------------------------------------------------------------------------------------------------
 
 
