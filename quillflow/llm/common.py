@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.shared import new_path, scratch, shared_dir, spread, written  # noqa: F401
 
@@ -33,6 +35,16 @@ def words_of(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def mapped(df: DataFrame, keep: list[str], inputs: list[Column], run: Callable, outputs: StructType) -> DataFrame:
+    """``mapInArrow`` over the columns ``keep`` and the inputs behind them; ``run`` gives back
+    the first and the outputs. Inside columns are numbered, as names with dots don't pass."""
+    ship(df.sparkSession)
+    kept = [F.col(f"`{c}`").alias(f"kept {i}") for i, c in enumerate(keep)]
+    source = df.select(*kept, *[c.alias(f"input {i}") for i, c in enumerate(inputs)])
+    schema = StructType([*df.select(*kept).schema.fields, *outputs.fields])
+    return source.mapInArrow(run, schema).toDF(*keep, *outputs.fieldNames())
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` is so called."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, ship, written
+from .common import free_name, mapped, ship, written
 
 SHINGLE = 3
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # of a bitmap: 128 KB to 32 MB
@@ -180,11 +180,8 @@ def scan(docs: DataFrame, windows: DataFrame, text: str, keep: list[str], names:
                 [*batch.schema.names[:at], names["row"], names["n_words"], names["runs"]],
             )
 
-    columns = [F.col(f"`{c}`") for c in keep]
-    schema = (
-        docs.select(*columns).schema.add(names["row"], "long").add(names["n_words"], "long").add(names["runs"], RUNS)
-    )
-    return docs.select(*columns, F.col(f"`{text}`").alias("quillflow text")).mapInArrow(run, schema)
+    outputs = T.StructType().add(names["row"], "long").add(names["n_words"], "long").add(names["runs"], RUNS)
+    return mapped(docs, keep, [F.col(f"`{text}`")], run, outputs)
 
 
 def match(runs: DataFrame, windows: DataFrame) -> DataFrame:

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import free_name, ship
+from .common import free_name, mapped, ship
 
 BUCKETS = 1 << 14
 BINS = 16
@@ -184,10 +185,10 @@ def train(
                 ["id", "label", "buckets", "weights", "stats"],
             )
 
+    texts = docs.select(key.alias("id"), F.col(f"`{text}`").alias("text"), meta.alias("meta")).where("text is not null")
     rows = (
-        docs.join(F.broadcast(chosen), key == F.col("labelled"))  # max_rows rows of 12 bytes
-        .where(F.col(f"`{text}`").isNotNull())
-        .select(key.cast("string").alias("id"), "quality_label", F.col(f"`{text}`"), meta)
+        texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled"))  # max_rows rows of 12 bytes
+        .select(F.col("id").cast("string").alias("id"), "quality_label", "text", "meta")
         .mapInArrow(run, "id string, label int, buckets binary, weights binary, stats array<double>")
         .groupBy("id")  # of rows that share an id, the one with the least hash
         .agg(F.min_by(F.struct("label", "buckets", "weights", "stats"), F.xxhash64("buckets", "weights")).alias("r"))
@@ -217,7 +218,6 @@ def score(
     Null and empty texts are scored as texts without words; a null length counts as 0;
     repeated rows come back repeated; an empty table gives no rows.
     """
-    ship(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
     name = free_name(kept, name)
@@ -238,7 +238,4 @@ def score(
             )
 
     meta = F.col(f"`{n_chars}`").cast("long") if n_chars else F.lit(None).cast("long")
-    source = docs.select(
-        *[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("quillflow text"), meta.alias("quillflow size")
-    )
-    return source.mapInArrow(run, kept.schema.add(name, "double"))
+    return mapped(docs, keep, [F.col(f"`{text}`"), meta], run, StructType().add(name, "double"))

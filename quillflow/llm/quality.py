@@ -9,9 +9,10 @@ left with too few words is rejected. DataFrame functions only.
 A line is above the limit at more than ``min_docs`` documents of its host, one of ``LONG_WORDS``
 words or more already at more than ``min_docs_long``; neither depends on the host's size.
 
-Texts are read once: a table of each row's figures and line hashes is written, and the counting
-and the search for lines above the limit run on hashes alone. Texts are shuffled only where the
-texts without those lines are asked for, once, by a row number and so evenly.
+A table of each row's figures and line hashes is written, and the counting and the search for
+lines above the limit run on hashes alone. Texts are shuffled only where the texts without those
+lines are asked for, once, by host and text hash; hot groups of copies are left to Spark's split of
+skewed joins.
 """
 
 from __future__ import annotations
@@ -74,12 +75,13 @@ def frequent_lines(
     return _above(rows, min_docs, share, min_docs_long)
 
 
-def measured(docs: DataFrame, text: str, host: str, keep: list[str], with_text: bool) -> DataFrame:
-    """One row for each row: its number, the columns kept, host, document (hash of the text),
-    the base rules' figures, line hashes and, if asked for, the text; a written table."""
+def measured(docs: DataFrame, text: str, host: str, keep: list[str]) -> DataFrame:
+    """One row for each row: its number, the columns kept as a struct (if any), host, document
+    (hash of the text), the base rules' figures and line hashes; a written table."""
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns")] if keep else []
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns"),
+        *kept,
         F.col(f"`{host}`").alias("host"),
         F.xxhash64(F.col(f"`{text}`")).alias("document"),
         F.col(f"`{text}`").alias("t"),
@@ -105,7 +107,7 @@ def measured(docs: DataFrame, text: str, host: str, keep: list[str], with_text:
     return written(
         rows.select(
             "row",
-            "kept_columns",
+            *(["kept_columns"] if keep else []),
             "host",
             "document",
             F.size("words").cast("long").alias("n_words"),
@@ -114,7 +116,6 @@ def measured(docs: DataFrame, text: str, host: str, keep: list[str], with_text:
             (F.size("plain") - F.size(F.array_distinct("plain"))).cast("long").alias("n_dup_lines"),
             F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
             "lines",
-            *(["t"] if with_text else []),
         ),
         "quality-rows",
     )
@@ -147,7 +148,7 @@ def assess(
         "n_removed_lines", "n_words_left", *(["clean_text"] if with_text else []), "kept",
     ]
     out = {n: free_name(kept, n) for n in names}
-    rows = measured(docs, text, host, keep, with_text)
+    rows = measured(docs, text, host, [] if with_text else keep)
     found = written(_above(rows, min_docs, share, min_docs_long), "frequent-lines")
     found = found.select(F.col("host").alias("of"), F.col("line_hash").alias("hash"))
     hits = (
@@ -161,10 +162,8 @@ def assess(
             *([F.collect_set("hash").alias("frequent")] if with_text else []),
         )
     )
-    # With texts the plan, and so the disk used by a byte of text, is the same at every size.
-    rows = rows.drop("lines").join(hits.hint("shuffle_hash") if with_text else hits, F.col("row") == F.col("hit"), "left")
+    rows = rows.drop("lines").join(hits, F.col("row") == F.col("hit"), "left")
     removed = F.coalesce("n_removed", F.lit(0))
-    is_frequent = lambda x: F.array_contains("frequent", F.xxhash64(normalised(x)))
     rows = rows.withColumns(
         {
             "n_removed_lines": removed.cast("long"),
@@ -174,7 +173,18 @@ def assess(
     )
     depleted = (F.col("n_removed_lines") > 0) & (F.col("n_words_left") < min_words_left)
     rows = rows.withColumn("kept", ~F.col("base_failed") & ~depleted)
-    if with_text:
+    if with_text:  # all figures are those of a host's text; the plan is the same at every size
+        of_text = [c for c in rows.columns if c not in ("row", "hit", "host", "document")]
+        figures = rows.groupBy("host", "document").agg(*[F.first(c).alias(c) for c in of_text])
+        texts = docs.select(
+            F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns"),
+            F.col(f"`{host}`").alias("h"),
+            F.xxhash64(F.col(f"`{text}`")).alias("d"),
+            F.col(f"`{text}`").alias("t"),
+        )
+        same_text = F.col("h").eqNullSafe(F.col("host")) & (F.col("d") == F.col("document"))
+        rows = texts.join(figures.hint("shuffle_hash"), same_text)
+        is_frequent = lambda x: F.array_contains("frequent", F.xxhash64(normalised(x)))
         left = F.filter(F.split("t", "\n"), lambda x: ~(x.rlike(WORD) & is_frequent(x)))
         rows = rows.withColumn("clean_text", F.when(F.col("frequent").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("t")))
     return rows.select("kept_columns.*", *[F.col(x).alias(out[x]) for x in names])

@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import bpe
-from .common import WORD, ship
+from .common import WORD, mapped
 
 KEYS = ["source", "lang", "tokenizer"]
 COUNTS = ["n_tokens", "n_revised"]
@@ -38,7 +39,6 @@ def bpe_counts(
     With a ``revision`` of the text there is n_revised too, counted in the same pass over the
     texts (only where the two differ). Null and empty texts have no tokens.
     """
-    ship(docs.sparkSession)
     path = tokenizer or bpe.default_path()
     at, twice = len(keep), revision is not None
 
@@ -60,18 +60,12 @@ def bpe_counts(
                 [*batch.schema.names[:at], "tokenizer", *COUNTS[: len(counts)]],
             )
 
-    columns = [F.col(f"`{c}`") for c in keep]
     t = F.col(f"`{text}`")
-    schema = docs.select(*columns).schema.add("tokenizer", "string").add("n_tokens", "long")
-    rows = docs.select(*columns, t.alias("quillflow text"))
-    if twice:
-        schema = schema.add("n_revised", "long")
-        rows = docs.select(*columns, t.alias("quillflow text"), revision.alias("quillflow new"))
-        differs = ~F.col("quillflow text").eqNullSafe(F.col("quillflow new"))
-        rows = rows.select(
-            *columns, "quillflow text", F.when(differs, F.col("quillflow new")).alias("quillflow new"), differs.alias("quillflow differs")
-        )
-    return rows.mapInArrow(run, schema)
+    outputs = StructType().add("tokenizer", "string").add("n_tokens", "long")
+    if not twice:
+        return mapped(docs, list(keep), [t], run, outputs)
+    differs = ~t.eqNullSafe(revision)
+    return mapped(docs, list(keep), [t, F.when(differs, revision), differs], run, outputs.add("n_revised", "long"))
 
 
 def word_counts(

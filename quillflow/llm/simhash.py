@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, scratch, ship, written
+from .common import free_name, mapped, scratch, ship, written
 from .components import connected_components
 from .neighbours import forest, sizes_of
 
@@ -52,7 +52,6 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 def with_fingerprint(docs: DataFrame, words: int = 4, text: str = "text", name: str = "fp", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) and the fingerprint as a signed 64-bit ``name``."""
-    ship(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     at = len(keep)
 
@@ -63,9 +62,7 @@ def with_fingerprint(docs: DataFrame, words: int = 4, text: str = "text", name:
                 [*batch.columns[:at], pa.array(fps.view(np.int64))], [*batch.schema.names[:at], name]
             )
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("quillflow text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(name, "long")
-    return source.mapInArrow(run, schema)
+    return mapped(docs, keep, [F.col(f"`{text}`")], run, T.StructType().add(name, "long"))
 
 
 class Forest:

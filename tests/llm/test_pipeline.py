@@ -43,6 +43,51 @@ def test_stages(spark):
     assert tokens == Counter({r["doc_id"]: len(ids_of(r["text"])) + 1 for r in kept["benchmark decontamination"].collect()})
 
 
+ODD = ["score", "_score", "fp", "row", "runs", "n_hit", "items", "kept", "kept_columns", "clean_text", "id", "stay", "a.b", "labelled", "t", "host"]
+
+
+def odd_rows(spark):
+    docs = table(spark, SF, "documents")
+    first = docs.orderBy("doc_id").limit(3)
+    rows = [(None, None, None, None, None), (None, "", "en", "s", 0), (9001, None, "en", "s", None), (9002, " \n ", "en", None, 3), (None, "ä " * 40, "de", None, 80), (9003, "w " * 40000, "en", "s", 80000)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    changed = first.withColumn("text", F.concat("text", F.lit(" and more")))  # ties of ids
+    every = docs.unionByName(odd).unionByName(odd).unionByName(first).unionByName(changed)
+    return every.select("*", *[F.lit(i).alias(n) for i, n in enumerate(ODD)])
+
+
+def test_stages_of_odd_rows(spark):
+    docs = written(odd_rows(spark), "odd")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, SF), "odd-stage")
+        texts = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+        if name == "packing":
+            assert out.agg(F.sum("length")).first()[0] == sum(n * (len(ids_of(t)) + 1) for (_, t), n in texts.items())
+            continue
+        assert out.columns == columns
+        found = Counter((r["doc_id"], r["text"]) for r in out.collect())
+        for (d, t), n in found.items():
+            before = texts.get((d, t), 0)
+            if name == "quality rules" and not before:
+                before = sum(k for (e, u), k in texts.items() if e == d and u and set(t.split("\n")) < set(u.split("\n")))
+            assert n <= before and (name == "SimHash near-dedup" or n == before), (name, d)
+        if name == "quality rules":
+            assert all(len((t or "").split()) >= 20 for _, t in found)
+        if name == "SimHash near-dedup":
+            judged = [(d, t) for (d, t) in texts]
+            groups = similar_groups([t for _, t in judged])
+            best = {}
+            for g, (d, t) in zip(groups, judged):
+                best.setdefault(g, []).append((d is None, d or 0))
+            assert sorted((d is None, d or 0) for d, _ in found.elements()) == sorted(min(v) for v in best.values())
+        if name == "benchmark decontamination":
+            items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
+            assert found == Counter({k: n for k, n in texts.items() if not contaminated(k[1], items, 10)[1]})
+        nothing = stage(spark, docs.limit(0), SF)
+        assert nothing.count() == 0
+
+
 def test_registered():
     names = __spark_entry__.queries()
     for n in range(1, 11):
