@@ -131,9 +131,19 @@ _VOLUME = "coalesce({}, {}, {}, case when regexp_matches(t, '\\d+\\(\\d+\\)') th
     _re("[Vv]ol[.]?\\s*(\\d+)"), _re("[Vv]olume\\s*(\\d+)"), _re("v[.]\\s*(\\d+)"), _re("(\\d+)\\((\\d+)\\)", 1), _re("(\\d+)\\((\\d+)\\)", 2)
 )
 _column("ref_02_year", citation.year_stated, _YEAR)
-_column("ref_02_year_anywhere", citation.year_anywhere, None)
-_column("ref_03_authors", citation.authors, None)
-_column("ref_04_title", citation.title, None)
+#: Of a citation by construction, as the rules read its forms.
+_AUTHORS = "a1 || ', ' || i1 || '.' || case when ref_id % 4 = 0 then '' else ', Perez, ' || i2 || '.' end"
+_TITLE = "case when ref_id % 5 in (0, 2) then 'Observations on the ' || seg || ' catch of stock ' || a1 end"
+_PIECES = f"with pieces as ({corpus.PIECES}) "
+
+
+def _constructed(name: str, make, sql: str) -> None:
+    _register(name, lambda s, d: corpus.citations(s, d).select("ref_id", make(F.col("text")).alias("value")), _PIECES + f"select ref_id, {sql} as value from pieces")
+
+
+_constructed("ref_02_year_anywhere", citation.year_anywhere, "yr::int")
+_constructed("ref_03_authors", citation.authors, _AUTHORS)
+_constructed("ref_04_title", citation.title, _TITLE)
 _column("ref_06_pages", citation.pages, _PAGES)
 _column("ref_07_volume", citation.volume, _VOLUME)
 _column(
@@ -188,7 +198,11 @@ _column("prd_02_section", lambda c: predicates.is_section(F.concat(F.when(F.col(
 _column("prd_03_reference_section", lambda c: predicates.is_reference_section(F.concat(F.when(F.col("ref_id") % 2 == 0, "Works  cited ").otherwise(""), c)), "ref_id % 2 = 0")
 _column("prd_04_invalid_phrase", lambda c: predicates.has_invalid_phrase(F.concat(c, F.when(F.col("ref_id") % 2 == 0, " we appreciate").otherwise(""))), "ref_id % 2 = 0")
 _column("prd_05_excluded_title", lambda c: predicates.is_excluded_title(F.concat(F.when(F.col("ref_id") % 2 == 0, "abstract ").otherwise(""), c)), "ref_id % 2 = 0")
-_column("prd_06_is_reference", predicates.is_reference, None)
+_constructed(
+    "prd_06_is_reference",
+    lambda c: predicates.is_reference(F.when(F.col("ref_id") % 3 == 0, F.substring(c, 1, 40)).when(F.col("ref_id") % 3 == 1, F.regexp_replace(c, "[0-9]", "")).otherwise(c)),
+    "ref_id % 3 = 2 and ref_id % 5 <> 4",  # of the last form nothing stands behind the year
+)
 _column("prd_07_accepted", predicates.is_accepted_split, "length(t) >= 50 and regexp_matches(t, '\\b(19\\d{2}|20[0-2]\\d)\\b')")
 _column("prd_08_is_abstract", lambda c: predicates.is_abstract(c), None, "articles")
 _column("prd_15_only_numbers", lambda c: predicates.only_numbers(c) | predicates.only_short_upper(c) | predicates.has_concatenated_words(c), "regexp_matches(t, '^\\d+$') or regexp_matches(t, '^[A-Z\\s]{1,30}$') or regexp_matches(t, '[a-z][A-Z]')")
@@ -203,7 +217,7 @@ def prd_12_upload_limits(spark, sf_dir):
     return aggregate.upload_limits(files, "cust")
 
 
-_register("prd_10_minimal", prd_10_minimal)
+_register("prd_10_minimal", prd_10_minimal, _PIECES + "select count(*) n from pieces")
 _register(
     "prd_12_upload_limits",
     prd_12_upload_limits,
@@ -293,7 +307,11 @@ def _blobs(spark, sf_dir):
     return c.groupBy("doc").agg(F.count("*").alias("n"), F.concat(F.lit("Words before. REFERENCES "), joined, F.lit(" FUNDING none")).alias("text"))
 
 
-_register("spl_01_section", lambda s, d: _blobs(s, d).select("doc", split.reference_section(F.col("text")).alias("value")))
+_register(
+    "spl_01_section",
+    lambda s, d: _blobs(s, d).select("doc", rx.strip(split.reference_section(F.col("text"))).alias("value")),
+    _WITH + f", b as (select {_DOC.replace('/', '//')} doc, string_agg({_strip('t')}, ' ' order by ref_id) || ' FUNDING none' t from cites group by 1) select doc, {_strip(_text_spacing_sql('t'))} as value from b",
+)
 _register(
     "spl_02_end_sections",
     lambda s, d: corpus.citations(s, d).select("ref_id", split.without_end_sections(F.concat("text", F.lit(" Funding x. Acknowledgments y"))).alias("value")),
@@ -418,9 +436,45 @@ _register(
     lambda s, d: _enriched(s, d, "reference").select("ref_id", "doi", "enriched", "publicista_editorial", "keywords"),
     _WITH + f"select c.ref_id, c.doi, w.w is not null enriched, case when w.w is not null then 'Sea Press' end publicista_editorial, case when w.w is not null then 'fish, ' || p.seg end keywords from {_DOIS} c left join {_FIRST_WORK} w on c.doi = w.doi left join pieces p on p.ref_id = w.w",
 )
-_register("mrg_03_title", lambda s, d: _enriched(s, d, "reference", True).select("ref_id", "titulo_original", "autores", "ano"))
-_register("mrg_08_pdf_reference", lambda s, d: _enriched(s, d, "pdf_reference").select("ref_id", "ano", "titulo_original", "tipo_documento"))
-_register("mrg_09_update", lambda s, d: _enriched(s, d, "update").select("ref_id", "ano", "titulo_original", "peer_reviewed"))
+_MERGED = (
+    _WITH + f", merged as (select p.*, w.w, q.a1 wa, q.i1 wi, q.seg wseg, q.yr wyr from pieces p join {_DOIS} c using (ref_id) "
+    f"left join {_FIRST_WORK} w on c.doi = w.doi left join pieces q on q.ref_id = w.w), "
+    "m as (select ref_id, w, coalesce(wyr, yr)::int ano, "
+    f"case when w is not null then 'Observations on the ' || wseg || ' catch of stock ' || wa || ' revisited' else {_TITLE} end titulo_original, "
+    f"case when w is not null then wa || ', ' || wi || '.M., Perez, A.' else {_AUTHORS} end autores from merged) "
+)
+_ARTICLE_TYPE = f"'{P.ARTICLE}'"
+_register(
+    "mrg_03_title",
+    lambda s, d: _enriched(s, d, "reference", True).select("ref_id", "titulo_original", "autores", "ano"),
+    _MERGED + "select ref_id, titulo_original, autores, ano from m",
+)
+_register(
+    "mrg_08_pdf_reference",
+    lambda s, d: _enriched(s, d, "pdf_reference").select("ref_id", "ano", "titulo_original", "tipo_documento"),
+    _MERGED + f"select ref_id, ano, titulo_original, case when w is not null then case when w % 4 = 0 then {_ARTICLE_TYPE} else '{P.BOOK}' end when ref_id % 5 in (0, 2) then {_ARTICLE_TYPE} end tipo_documento from m",
+)
+_register(
+    "mrg_09_update",
+    lambda s, d: _enriched(s, d, "update").select("ref_id", "ano", "titulo_original", "peer_reviewed"),
+    _MERGED + "select ref_id, ano, titulo_original, case when w % 4 = 0 then 'Sí' end peer_reviewed from m",
+)
+
+
+def src_17_title_author(spark, sf_dir):
+    """Works by title and author; half the records spell the author in another way."""
+    p = corpus.pieces(spark, sf_dir)
+    title = F.expr("'Observations on the ' || seg || ' catch of stock ' || a1")
+    works = p.select(F.expr("'10.' || reg || '/' || lpad(cast(ref_id as string), 9, '0')").alias("doi"), title.alias("titulo_original"), F.expr("a1 || ', ' || i1 || '.'").alias("autores"))
+    records = p.select("ref_id", F.upper(title).alias("titulo_original"), F.expr("a1 || ', ' || i1 || case when ref_id % 2 = 0 then '.' else '' end").alias("autores"))
+    return merge.title_author_match(records, works)
+
+
+_register(
+    "src_17_title_author",
+    src_17_title_author,
+    _PIECES + "select ref_id, work_doi from pieces join (select seg, i1, min('10.' || reg || '/' || lpad(ref_id::varchar, 9, '0')) work_doi from pieces group by 1, 2) using (seg, i1)",
+)
 
 
 def mrg_10_document(spark, sf_dir):
@@ -479,6 +533,115 @@ _register(
 )
 _register("agg_04_ratio", lambda s, d: corpus.citations(s, d).groupBy("cust").agg(aggregate.ratio(F.col("ref_id") % 2 == 0)), _WITH + "select cust, avg((ref_id % 2 = 0)::int) ratio from cites group by 1")
 
+# --- rules of headers, models and whole reference jobs --------------------------------------------------
+
+
+def mrg_14_header(spark, sf_dir):
+    """TEI headers over extractions, each with fields missing in turn."""
+    df = corpus.pieces(spark, sf_dir).select(
+        "ref_id",
+        F.expr("'Own ' || seg").alias("titulo_original"),
+        F.expr("case when ref_id % 5 <> 0 then a1 end").alias("autores"),
+        F.expr("case when ref_id % 2 = 0 then 'Own abstract' end").alias("resumen_abstract"),
+        F.expr("case when ref_id % 3 = 0 then '10.1/own' end").alias("doi"),
+        F.expr("case when ref_id % 7 <> 0 then cast(yr as int) end").alias("ano"),
+        F.expr(
+            "named_struct('title', case when ref_id % 2 = 0 then 'Head ' || seg end, 'authors', case when ref_id % 3 = 0 then '' else 'Perez, ' || i2 end, "
+            "'year', 1900, 'doi', '10.2/head', 'abstract', case when ref_id % 4 = 0 then 'Head abstract' end)"
+        ).alias("header"),
+    )
+    return merge.merge_header(df).drop("header")
+
+
+_register(
+    "mrg_14_header",
+    mrg_14_header,
+    _PIECES + "select ref_id, case when ref_id % 2 = 0 then 'Head ' || seg else 'Own ' || seg end titulo_original, "
+    "case when ref_id % 3 <> 0 then 'Perez, ' || i2 when ref_id % 5 <> 0 then a1 end autores, "
+    "case when ref_id % 4 = 0 then 'Head abstract' when ref_id % 2 = 0 then 'Own abstract' end resumen_abstract, "
+    "case when ref_id % 3 = 0 then '10.1/own' else '10.2/head' end doi, case when ref_id % 7 <> 0 then yr::int else 1900 end ano from pieces",
+)
+
+
+def _with_model(spark, sf_dir):
+    """Extractions and a model's answers: longer, shorter, missing, not numbers."""
+    return corpus.pieces(spark, sf_dir).select(
+        "ref_id",
+        F.expr("case ref_id % 5 when 0 then null when 1 then 'ab' else 'A title of the ' || seg end").alias("titulo_original"),
+        F.expr("case when ref_id % 2 = 0 then a1 end").alias("autores"),
+        F.expr("case when ref_id % 3 = 0 then 1990 end").alias("ano"),
+        F.expr("case when ref_id % 3 = 1 then '10.1/own' end").alias("doi"),
+        F.expr("'own type'").alias("tipo_documento"),
+        F.expr(f"case ref_id % 3 when 0 then '{P.THESIS}' when 1 then '{P.BOOK}' else '{P.ARTICLE}' end").alias("kind"),
+        F.expr(
+            "case when ref_id % 4 = 3 then cast(map() as map<string,string>) else map('titulo_original', 'A title of the ' || seg || "
+            "case when ref_id % 2 = 0 then ' with many more words' else '' end, 'autores', 'Perez, ' || i2, 'ano', case when ref_id % 4 = 1 then 'unknown' else yr end, 'doi', '10.2/model') end"
+        ).alias("llm"),
+    )
+
+
+_FIELDS = ["titulo_original", "autores", "ano"]
+_MODEL = (
+    _PIECES + ", x as (select *, case ref_id % 5 when 0 then null when 1 then 'ab' else 'A title of the ' || seg end own_title, "
+    "case when ref_id % 2 = 0 then a1 end own_authors, case when ref_id % 3 = 0 then 1990 end own_year, ref_id % 4 <> 3 there, "
+    "case when ref_id % 4 <> 3 then 'A title of the ' || seg || case when ref_id % 2 = 0 then ' with many more words' else '' end end title, "
+    "case when ref_id % 4 <> 3 then 'Perez, ' || i2 end authors, case when ref_id % 4 in (0, 2) then yr::int end model_year from pieces) "
+)
+_register(
+    "mrg_15_llm_exclusive",
+    lambda s, d: merge.llm_exclusive(_with_model(s, d), "llm", "doi", "kind", {P.THESIS: True, P.BOOK: True}, _FIELDS).select("ref_id", *_FIELDS, "doi", "tipo_documento", "by_llm"),
+    _MODEL + ", y as (select *, there and ref_id % 3 in (0, 1) by_llm from x) select ref_id, case when by_llm then title else own_title end titulo_original, "
+    "case when by_llm then authors else own_authors end autores, case when by_llm then model_year else own_year end ano, "
+    "case when by_llm and ref_id % 3 <> 1 then '10.2/model' when ref_id % 3 = 1 then '10.1/own' end doi, "
+    f"case when by_llm then case ref_id % 3 when 0 then '{P.THESIS}' else '{P.BOOK}' end else 'own type' end tipo_documento, by_llm from y",
+)
+_register(
+    "mrg_16_llm_complement",
+    lambda s, d: merge.llm_complement(_with_model(s, d), "llm", F.when(F.col("ref_id") % 11 == 0, 1950), _FIELDS).select("ref_id", *_FIELDS),
+    _MODEL + "select ref_id, case when own_title is null then title when title is not null and (length(title) > 1.2 * length(own_title) or length(own_title) < 3) then title else own_title end titulo_original, "
+    "case when own_authors is null then authors when authors is not null and (length(authors) > 1.2 * length(own_authors) or length(own_authors) < 3) then authors else own_authors end autores, "
+    "coalesce(case when ref_id % 11 = 0 then 1950 end, model_year, own_year)::int ano from x",
+)
+
+
+def str_07_references(spark, sf_dir):
+    """Documents of references to records: split, parsed, those without title and authors gone."""
+    c = corpus.pieces(spark, sf_dir).select("ref_id", F.expr("(ref_id div 100) * 4 + ref_id % 4").alias("doc"), F.expr(_YEAR_FIRST).alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref_id", "text"))), lambda s: rx.strip(s["text"])), " ")
+    blobs = c.groupBy("doc").agg(F.concat(F.lit("Words before. REFERENCES "), joined, F.lit(" FUNDING none")).alias("text"))
+    found = pipelines.references_of_documents(blobs, "doc", "text", AS_OF, compat=False)
+    return found.select("doc", F.col("pos").cast("int").alias("pos"), "ano", "paginas", "autores")
+
+
+_register(
+    "str_07_references",
+    str_07_references,
+    _PIECES + f"select (ref_id // 100) * 4 + ref_id % 4 doc, (row_number() over (partition by (ref_id // 100) * 4 + ref_id % 4 order by ref_id) - 1)::int pos, yr::int ano, p1 || '-' || p2 paginas, {_AUTHORS} autores from pieces",
+)
+_constructed("ref_05_journal", lambda c: citation.journal(c, citation.title(c)), "case when ref_id % 5 in (0, 2) then 'J. Mar. Syst' end")
+
+
+def jsn_03_container(spark, sf_dir):
+    """Volume, issue, page, ISBN or ISSN and open access of records, stated or not."""
+    record = F.expr(
+        "to_json(named_struct('volume', case when ref_id % 2 = 0 then p1 end, 'issue', case when ref_id % 3 = 0 then p2 end, 'page', p1 || '-' || p2, "
+        "'container-title', case when ref_id % 5 <> 0 then array('Sea  News', 'Other') end, 'ISBN', case when ref_id % 4 = 0 then array('978-' || reg, '2') end, "
+        "'ISSN', case when ref_id % 2 = 0 then array('0717-' || reg) end, 'license', case ref_id % 3 when 0 then array(named_struct('URL', 'http://x')) when 1 then cast(array() as array<struct<URL:string>>) end))"
+    )
+    m = works.mapped(record)
+    return corpus.pieces(spark, sf_dir).select("ref_id", m.alias("w")).select(
+        "ref_id", "w.volumen_edicion", "w.numero_articulo_capitulo_informe", "w.paginas", "w.isbn_issn", "w.acceso_abierto", "w.lugar_publicacion_entrega", "w.tipo_documento", "w.peer_reviewed"
+    )
+
+
+_register(
+    "jsn_03_container",
+    jsn_03_container,
+    _PIECES + "select ref_id, case when ref_id % 2 = 0 then p1 end volumen_edicion, case when ref_id % 3 = 0 then p2 end numero_articulo_capitulo_informe, p1 || '-' || p2 paginas, "
+    "case when ref_id % 4 = 0 then '978-' || reg when ref_id % 2 = 0 then '0717-' || reg end isbn_issn, case when ref_id % 3 = 0 then 'Sí' end acceso_abierto, "
+    f"case when ref_id % 5 <> 0 then 'Sea News' end lugar_publicacion_entrega, case when ref_id % 5 <> 0 then '{P.ARTICLE}' end tipo_documento, case when ref_id % 5 <> 0 then 'Sí' end peer_reviewed from pieces",
+)
+
 # --- jobs --------------------------------------------------------------------------------------------------------
 
 
