@@ -25,6 +25,10 @@ AUTHOR_LABELS = [
     r"Coordinador",
     r"Director",
 ]
+# Parts of the labels in letters that have no other case forms than their own two: a text without
+# the part has no such label, and the whole text need not be searched by the label's expression.
+AUTHOR_PARTS = ["author", "autor", "equ", "equ", "gador", "gador", "pon", "coord", "rector"]
+ABSTRACT_PARTS = ["tract", "umen", "ummary"]
 SECTION_END = r"\n\n|\nAbstract|\nSummary|\nKeywords|^Abstract|^Summary|\nResumen"
 AUTHOR_LINES = [
     rf"^{_NAME}(?:\s+{_NAME})?,\s*[A-Z]\.",
@@ -94,14 +98,18 @@ def title(meta_title: Column, first_page: Column) -> Column:
 
 def authors_section(text: Column) -> Column:
     """Authors behind a label such as ``Authors:``, ten lines at most."""
+    return normalize.text(rx.let(F.struct(text.alias("t"), F.lower(text).alias("low")), _behind_labels))
+
+
+def _behind_labels(s: Column) -> Column:
     tiers = []
-    for k, label in enumerate(AUTHOR_LABELS):
+    for k, (label, part) in enumerate(zip(AUTHOR_LABELS, AUTHOR_PARTS)):
         end = SECTION_END if k < 2 else SECTION_END + r"|\nIntroducción"
-        t = rx.strip(rx.first(text, rf"{label}[:\s]+(.+?)(?:{end})", 1, "imsu"))
+        t = F.when(s["low"].contains(part), rx.strip(rx.first(s["t"], rf"{label}[:\s]+(.+?)(?:{end})", 1, "imsu")))
         t = F.array_join(F.slice(F.split(t, "\n"), 1, 10), "\n")
         t = rx.let(t, lambda x: F.when(~rx.has(x, NO_AUTHOR, "iu"), normalize.one_space(x)))
         tiers.append(rx.let(t, lambda x: F.when((F.length(x) > 5) & ~F.lower(x).startswith("abstract"), x)))
-    return normalize.text(F.coalesce(*tiers))
+    return F.coalesce(*tiers)
 
 
 def authors_lines(text: Column) -> Column:
@@ -124,12 +132,16 @@ def authors(text: Column) -> Column:
 
 def abstract(text: Column) -> Column:
     """The first labelled abstract that is none of a footer; long ones are cut."""
+    return normalize.text(rx.let(F.struct(text.alias("t"), F.lower(text).alias("low")), _labelled_abstract))
+
+
+def _labelled_abstract(s: Column) -> Column:
     tiers = []
-    for p in ABSTRACTS:
-        found = normalize.one_space(rx.first(text, p, 1, "imsu"))
+    for p, part in zip(ABSTRACTS, ABSTRACT_PARTS):
+        found = normalize.one_space(F.when(s["low"].contains(part), rx.first(s["t"], p, 1, "imsu")))
         cut = rx.let(found, lambda x: F.when(predicates.is_abstract(x), normalize.truncated(x)))
         tiers.append(rx.let(cut, lambda x: F.when((F.length(x) > 50) & (F.length(x) <= 5020), x)))
-    return normalize.text(F.coalesce(*tiers))
+    return F.coalesce(*tiers)
 
 
 def keywords(text: Column) -> Column:

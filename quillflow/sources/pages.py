@@ -106,7 +106,3 @@ def without_blank_items(c: Column) -> Column:
 def explode_references(df: DataFrame, column: str, key: str) -> DataFrame:
     """(key, pos, reference) of an array of references, blank ones left out."""
     return df.select(key, F.posexplode(without_blank_items(F.col(column))).alias("pos", "reference"))
-
-
-def zero_reference_message(text: Column, n: Column) -> Column:
-    return predicates.zero_reference_message(text, n)
