@@ -148,8 +148,8 @@ _column("ref_06_pages", citation.pages, _PAGES)
 _column("ref_07_volume", citation.volume, _VOLUME)
 _column(
     "ref_08_book_title",
-    lambda c: citation.book_title(F.concat(c, F.lit(" In: Smith, A. (Eds.), The great book of coasts pp. 1-2"))),
-    "'The great book of coasts'",
+    lambda c: citation.book_title(F.concat(c, F.when(F.col("ref_id") % 3 == 0, "").otherwise(F.concat(F.lit(" In: Smith, A. (Eds.), The great book of "), F.substring_index(F.substring_index(c, " catch", 1), " ", -1), F.lit(" pp. 1-2"))))),
+    "case when ref_id % 3 <> 0 then 'The great book of ' || regexp_extract(t, ' ([a-z]+) catch', 1) end",
 )
 _column("ref_09_chapter", citation.is_chapter, "regexp_matches(t, '(?i)\\bIn:\\s*')")
 
@@ -223,7 +223,14 @@ _register(
     prd_12_upload_limits,
     _WITH + "select cust, count(*) n_files, sum(length(t) * 10000)::bigint n_bytes, count(*) <= 10 and sum(length(t) * 10000) <= 52428800 and max(length(t) * 10000) <= 10485760 ok from cites group by 1",
 )
-_column("prd_13_zero_references", lambda c: predicates.zero_reference_message(c, F.lit(0)), "'no references section'")
+_column(
+    "prd_13_zero_references",
+    lambda c: predicates.zero_reference_message(
+        F.when(F.col("ref_id") % 4 == 1, c).when(F.col("ref_id") % 4 == 2, F.concat(F.lit("References "), F.regexp_replace(c, "[0-9]", ""))).when(F.col("ref_id") % 4 == 3, F.concat(F.lit("References "), c)),
+        F.when(F.col("ref_id") % 5 == 0, 3).otherwise(0),
+    ),
+    "case when ref_id % 5 <> 0 then case ref_id % 4 when 0 then 'no text' when 1 then 'no references section' when 2 then 'no years' else 'no reference accepted' end end",
+)
 _column("prd_14_llm_eligible", lambda c: predicates.llm_eligible(fulltext.kind(c), {P.REPORT: True, P.BOOK: True}), "ref_id % 4 in (0, 2)", "articles")
 
 # --- full text --------------------------------------------------------------------------------------
@@ -241,7 +248,11 @@ _article_query("pdf_03_title", lambda c: fulltext.title(F.lit(None).cast("string
 _article_query("pdf_05_authors", fulltext.authors_lines, "a1 || ', ' || i1 || '., Perez, ' || i2")
 _article_query("pdf_06_abstract", fulltext.abstract, "'We describe the ' || seg || ' catch of stock ' || a1 || ' over several seasons and compare it with the catch of other stocks in the same waters.'")
 _article_query("pdf_07_keywords", fulltext.keywords, "seg || ', catch, stock ' || a1")
-_article_query("pdf_08_journal", fulltext.journal, "'Invest. Mar., Valpara' || chr(237) || 'so'")
+_article_query(
+    "pdf_08_journal",
+    lambda c: fulltext.journal(F.when(F.col("ref_id") % 2 == 0, c).otherwise(F.replace(c, F.lit("Invest. Mar."), F.lit("Rev. Biol. Sur")))),
+    "case when ref_id % 2 = 0 then 'Invest. Mar.' else 'Rev. Biol. Sur' end || ', Valpara' || chr(237) || 'so'",
+)
 _article_query("pdf_09_pages", fulltext.pages, "p1 || '-' || p2")
 _article_query("pdf_10_volume", fulltext.volume, "cast(ref_id % 97 + 1 as varchar)")
 _article_query("pdf_11_year", lambda c: fulltext.year_from_header(c, AS_OF), "yr::int")
@@ -267,21 +278,28 @@ _register("src_09_whole_text", lambda s, d: _paged(s, d).select("ref_id", pages.
 _register("src_10_first_page", lambda s, d: _paged(s, d).select("ref_id", pages.first_page(F.col("pages")).alias("value")), _WITH + "select ref_id, t as value from cites")
 _register("src_11_first_pages", lambda s, d: _paged(s, d).select("ref_id", pages.first_pages(F.col("pages"), 3).alias("value")), _WITH + "select ref_id, '--- PÁGINA 1 ---' || chr(10) || t || chr(10) || '--- PÁGINA 3 ---' || chr(10) || 'end' || chr(10) as value from cites")
 _column("src_07_plausible_line", lambda c: pages.plausible_line(F.concat(F.lit("short\n"), c, F.lit("\nmore"))), "trim(t)")
-_column("src_08_is_multiple", lambda c: pages.is_multiple(F.concat(c, F.lit("\nmore"))), "true")
+_column(
+    "src_08_is_multiple",
+    lambda c: pages.is_multiple(F.when(F.col("ref_id") % 3 == 0, c).when(F.col("ref_id") % 3 == 1, F.concat(c, F.lit("\nmore"))).otherwise("no year\nmore")),
+    "ref_id % 3 = 1",
+)
 _column("src_21_llm_input", lambda c: pages.llm_input(c), "case when length(t) > 10000 then substr(t, 1, 10000) || chr(10) || '... [truncado]' when length(t) >= 100 then t end")
 
 
 def src_12_column_text(spark, sf_dir):
-    """Two columns of 30 words: odd numbers stand left, even ones right, from bottom to top."""
-    n = F.sequence(F.lit(1), F.lit(60))
-    word = lambda i: F.struct(F.when(i % 2 == 1, 10.0).otherwise(90.0).alias("x0"), (-i).cast("double").alias("top"), F.concat(F.lit("w"), i.cast("string")).alias("text"))
+    """Pages of two columns of 30 words (odd numbers left, even ones right, from bottom to top),
+    of one column, and with too few words."""
+    form = F.col("ref_id") % 3
+    n = F.sequence(F.lit(1), F.when(form == 2, 50).otherwise(60))
+    word = lambda i: F.struct(F.when((i % 2 == 1) | (form == 1), 10.0).otherwise(90.0).alias("x0"), (-i).cast("double").alias("top"), F.concat(F.lit("w"), i.cast("string")).alias("text"))
     return corpus.citations(spark, sf_dir).select("ref_id", pages.column_text(F.transform(n, word), F.lit(100.0)).alias("value"))
 
 
 _register(
     "src_12_column_text",
     src_12_column_text,
-    _WITH + "select ref_id, (select string_agg('w' || i, ' ' order by i desc) from range(1, 60, 2) r(i)) || chr(10) || (select string_agg('w' || i, ' ' order by i desc) from range(2, 61, 2) r(i)) as value from cites",
+    _WITH + "select ref_id, case ref_id % 3 when 0 then (select string_agg('w' || i, ' ' order by i desc) from range(1, 60, 2) r(i)) || chr(10) || (select string_agg('w' || i, ' ' order by i desc) from range(2, 61, 2) r(i)) "
+    "when 1 then (select string_agg('w' || i, ' ' order by i desc) from range(1, 61) r(i)) end as value from cites",
 )
 _register(
     "src_06_explode_references",
@@ -412,8 +430,11 @@ _register(
 )
 _register(
     "jsn_09_llm",
-    lambda s, d: corpus.pieces(s, d).select("ref_id", works.llm_fields(F.expr("'Here: {\"autores\": \"' || a1 || '\", \"doi\": null, \"keywords\": \"null\"} end'")).alias("m")).select("ref_id", F.col("m")["autores"].alias("autores"), F.col("m")["keywords"].alias("keywords")),
-    _WITH + "select ref_id, a1 autores, null::varchar keywords from pieces",
+    lambda s, d: corpus.pieces(s, d).select("ref_id", works.llm_fields(F.expr(
+        "case ref_id % 4 when 0 then 'Here: {\"autores\": \"' || a1 || '\", \"doi\": null, \"keywords\": \"null\"} end' when 1 then 'There is none.' "
+        "when 2 then '{\"autores\": \"\", \"keywords\": \"' || seg || '\"}' else '{\"autores\": broken' end"
+    )).alias("m")).select("ref_id", F.try_element_at("m", F.lit("autores")).alias("autores"), F.try_element_at("m", F.lit("keywords")).alias("keywords")),
+    _WITH + "select ref_id, case when ref_id % 4 = 0 then a1 end autores, case when ref_id % 4 = 2 then seg end keywords from pieces",
 )
 _register(
     "nrm_13_authors",
