@@ -11,7 +11,7 @@ from ..functions import citation, extract, fulltext, normalize, predicates, rx,
 from ..functions import patterns as P
 from ..operators import aggregate, merge, relational, split
 from ..sources import corpus, pages, sinks
-from ..sources.schema import DOCUMENT
+from ..sources.schema import DOCUMENT, EXPORT_NAMES
 from ..streaming import jobs
 from . import pipelines
 
@@ -538,10 +538,18 @@ _register(
 _register("rel_08_count", lambda s, d: relational.count_rows(documents=_store(s, d)), _WITH + f"select 'documents' as name, count(*) n from {_STORE}")
 _register("rel_14_without_blank", lambda s, d: relational.without_blank(corpus.citations(s, d).select("ref_id", F.when(F.col("ref_id") % 2 == 0, " \n").otherwise(F.col("text")).alias("t")), "t"), _WITH + "select ref_id, t from cites where ref_id % 2 = 1")
 _register("rel_15_partitioned", lambda s, d: relational.partitioned(_store(s, d), F.col("ano") > 1995)[1], _WITH + f"select * from {_STORE} where not ano > 1995")
-_register("rel_16_export", lambda s, d: relational.export_frame(_store(s, d)).select(F.col("`N° doc`").alias("n"), F.col("`Autor(es)`").alias("a"), F.col("`Año`").alias("y"), F.col("DOI").alias("d")), _WITH + f"select numero_doc n, autores a, ano y, null::varchar d from {_STORE}")
+_register(
+    "rel_16_export",
+    lambda s, d: relational.export_frame(_store(s, d)).toDF(*[f"c{i}" for i in range(len(EXPORT_NAMES))]),
+    _WITH + "select " + ", ".join(f"{c if c in ('numero_doc', 'autores', 'ano') else 'null::varchar'} c{i}" for i, c in enumerate(EXPORT_NAMES)) + f" from {_STORE}",
+)
 _register("rel_17_aligned", lambda s, d: relational.aligned(_store(s, d)), _WITH + "select (ref_id + 1)::int numero_doc, a1 || ', ' || i1 || '.' autores, yr::int ano, " + ", ".join(f"null::varchar {n}" for n in DOCUMENT.fieldNames()[3:]) + " from pieces")
 _register("snk_05_sheet", lambda s, d: sinks.sheet_frame(_store(s, d)).select(F.col("`N° doc`").alias("n"), F.col("`Autor(es)`").alias("a"), F.col("DOI").alias("d")), _WITH + f"select numero_doc n, autores a, '' d from {_STORE}")
-_register("snk_06_json", lambda s, d: sinks.json_objects(_store(s, d)).select(F.get_json_object("value", "$.numero_doc").cast("int").alias("n"), F.get_json_object("value", "$.autores").alias("a")), _WITH + f"select numero_doc n, autores a from {_STORE}")
+_register(
+    "snk_06_json",
+    lambda s, d: sinks.json_objects(_store(s, d)),
+    _WITH + "select '{\"numero_doc\":' || numero_doc || ',\"autores\":\"' || autores || '\",\"ano\":' || ano || '" + "".join(f',\"{n}\":null' for n in DOCUMENT.fieldNames()[3:]) + f"}}' as value from {_STORE}",
+)
 _register(
     "agg_01_batch_summary",
     lambda s, d: aggregate.batch_summary(corpus.citations(s, d), F.col("ref_id") % 7 != 0, F.col("ref_id") % 5 == 0, "cust"),

@@ -305,3 +305,32 @@ def test_title_author_match(spark):
     )
     got = {r["ref_id"]: r["work_doi"] for r in merge.title_author_match(records, works).collect()}
     assert got == {1: "10.1/a", 2: "10.1/c", 3: "10.1/d", 6: "10.1/a"}
+
+
+def test_small_tables(spark, tmp_path):
+    jobs_ = spark.createDataFrame([("a", 1), ("b", 7), ("c", None)], "job_id string, document_id int")
+    docs = spark.createDataFrame([(1, "x" * 300, "Perez, J."), (2, "10.1/x", None)], "numero_doc int, doi string, autores string")
+    assert [r["job_id"] for r in relational.unreferenced(jobs_, docs).collect()] == ["b"]
+    assert relational.cleared(docs).count() == 0 and relational.cleared(docs).columns == docs.columns
+    wide = relational.aligned(docs)
+    found = [tuple(r) for r in relational.length_violations(wide).collect()]
+    assert found == [(1, "doi", 300)]
+    names = spark.createDataFrame([("a.pdf",), ("B.PDF",), ("c.txt",), (None,)], "n string")
+    assert [r[0] for r in pages.pdf_names(names, "n").collect()] == ["a.pdf"]
+    assert {r[0] for r in pages.pdf_names(names, "n", ignore_case=True).collect()} == {"a.pdf", "B.PDF"}
+    messages = spark.createDataFrame([("k1", "f1"), ("k2", "f2")], "file_key string, filename string")
+    made = jobs.new_jobs(messages).collect()
+    assert len({r["job_id"] for r in made}) == 2 and {(r["status"], r["progress"], r["job_type"]) for r in made} == {("pending", 0, "pdf")}
+    sinks.append(docs.withColumn("keywords", F.lit("k")), str(tmp_path / "narrow"), narrow=True)
+    assert {r["keywords"] for r in spark.read.parquet(str(tmp_path / "narrow")).collect()} == {None}
+    sinks.write_csv(docs, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
+    assert len(back.columns) == 20 and back.count() == 2
+    try:
+        import openpyxl
+    except ImportError:
+        with pytest.raises(RuntimeError):
+            sinks.excel_file(docs, str(tmp_path / "x.xlsx"))
+    else:
+        sinks.excel_file(docs, str(tmp_path / "x.xlsx"))
+        assert openpyxl.load_workbook(tmp_path / "x.xlsx")["Documentos"].max_row == 3
