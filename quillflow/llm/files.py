@@ -12,6 +12,7 @@ import json
 import posixpath
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +41,14 @@ def commit(directory: str, files: list[dict]) -> list[dict]:
     Files already renamed by an earlier, broken commit are left as they are.
     """
     fs, base = open_fs(directory)
-    for f in files:
+
+    def move(f: dict) -> None:
         source, target = open_fs(f["temp"])[1], f"{base}/{f['name']}"
         if fs.get_file_info(source).type != pafs.FileType.NotFound:
             fs.move(source, target)
+
+    with ThreadPoolExecutor(32) as pool:
+        list(pool.map(move, files))
     listed = [{k: v for k, v in f.items() if k != "temp"} for f in files]
     with fs.open_output_stream(f"{base}/_temporary/manifest.json") as out:
         out.write(json.dumps(listed).encode())
