@@ -163,15 +163,19 @@ def _fields_by_construction() -> str:
     doi = "case when ref_id % 3 = 0 then '10.' || reg || '/jms.' || yr || '.' || p1 when ref_id % 3 = 1 then '10.' || reg || '/jms' || p2 end"
     link = "case when ref_id % 3 = 1 then 'https://doi.org/10.' || reg || '/jms' || p2 end"
     volume = "case when ref_id % 2 = 0 then cast(ref_id % 97 + 1 as varchar) || '(' || cast(ref_id % 6 + 1 as varchar) || ')' end"
-    return _WITH + f"select ref_id, {doi} doi, yr::int ano, {link} link, p1 || '-' || p2 paginas, {volume} volumen_edicion from pieces"
+    article = f"case when ref_id % 5 in (0, 2) then '{P.ARTICLE}' end"
+    return (
+        _WITH + f"select ref_id, {doi} doi, yr::int ano, {link} link, p1 || '-' || p2 paginas, {volume} volumen_edicion, null::varchar isbn_issn, {_AUTHORS} autores, "
+        f"{_TITLE} titulo_original, {article} tipo_documento, case when ref_id % 5 in (0, 2) then 'J. Mar. Syst' end lugar_publicacion_entrega from pieces"
+    )
 
 
 def ref_01_parse_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ref_01_parse(spark, sf_dir).select("ref_id", "doi", "ano", "link", "paginas", "volumen_edicion")
 
 
-_register("ref_01_parse", ref_01_parse)
-_register("ref_01_parse_core", ref_01_parse_core, _fields_by_construction())
+_register("ref_01_parse", ref_01_parse, _fields_by_construction())
+_register("ref_01_parse_core", ref_01_parse_core, "select ref_id, doi, ano, link, paginas, volumen_edicion from (" + _fields_by_construction() + ")")
 
 
 def agg_03_citations_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +208,7 @@ _constructed(
     "ref_id % 3 = 2 and ref_id % 5 <> 4",  # of the last form nothing stands behind the year
 )
 _column("prd_07_accepted", predicates.is_accepted_split, "length(t) >= 50 and regexp_matches(t, '\\b(19\\d{2}|20[0-2]\\d)\\b')")
-_column("prd_08_is_abstract", lambda c: predicates.is_abstract(c), None, "articles")
+_column("prd_08_is_abstract", lambda c: predicates.is_abstract(c), "ref_id % 3 <> 0", "articles")  # the others hold a link
 _column("prd_15_only_numbers", lambda c: predicates.only_numbers(c) | predicates.only_short_upper(c) | predicates.has_concatenated_words(c), "regexp_matches(t, '^\\d+$') or regexp_matches(t, '^[A-Z\\s]{1,30}$') or regexp_matches(t, '[a-z][A-Z]')")
 
 
@@ -264,7 +268,16 @@ def pdf_01_extract(spark, sf_dir):
     return pipelines.extract_documents(df, "pages", AS_OF).drop("pages")
 
 
-_register("pdf_01_extract", pdf_01_extract)
+_register(
+    "pdf_01_extract",
+    pdf_01_extract,
+    _PIECES + "select ref_id, case when ref_id % 3 = 0 then '10.' || reg || '/inv.' || p1 || '.mar' end doi, yr::int ano, '0717' || cast(1000 + ref_id % 9000 as varchar(4)) isbn_issn, "
+    "'Invest. Mar., Valpara' || chr(237) || 'so, ' || cast(ref_id % 97 + 1 as varchar) || ': ' || p1 || '-' || p2 || ', ' || yr || ' Observations on the ' || seg || ' catch of stock ' || a1 || ' in coastal waters' titulo_original, "
+    "a1 || ', ' || i1 || '., Perez, ' || i2 autores, "
+    "'We describe the ' || seg || ' catch of stock ' || a1 || ' over several seasons and compare it with the catch of other stocks in the same waters.' resumen_abstract, "
+    "seg || ', catch, stock ' || a1 keywords, 'Invest. Mar., Valpara' || chr(237) || 'so' lugar_publicacion_entrega, p1 || '-' || p2 paginas, cast(ref_id % 97 + 1 as varchar) volumen_edicion, "
+    f"case ref_id % 4 when 0 then '{P.REPORT}' when 1 then '{P.THESIS}' when 2 then '{P.BOOK}' else '{P.ARTICLE}' end tipo_documento from pieces",
+)
 
 # --- sources -----------------------------------------------------------------------------------------
 
