@@ -194,25 +194,26 @@ def match(runs: DataFrame, windows: DataFrame) -> DataFrame:
     often = at.groupBy("shingle").agg(F.sum("n").alias("often"))
     prefix = (
         texts.select("window", F.size("words").alias("size"), F.posexplode("shingles").alias("offset", "shingle"))
-        .join(often, "shingle", "left")
+        .join(often.hint("merge"), "shingle", "left")
         .groupBy("window", "size")
         .agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "shingle", "offset")).alias("p"))
         .where("p.often > 0")
         .select("window", "size", "p.shingle", "p.offset")
     )
-    # Ids and places first, words for what is left; the runs' side grows with the documents.
+    # Ids and places first, words for what is left. Both sides grow, with the documents or with
+    # the benchmark, so none is broadcast.
     placed = (
-        at.join(prefix, "shingle")
+        at.join(prefix.hint("merge"), "shingle")
         .select("run", "window", "run_words", "size", (F.col("pos") - F.col("offset")).alias("start"))
         .where("start >= 0 and start + size <= run_words")
     )
     held = (
-        placed.join(texts.select("window", F.col("words").alias("wanted")), "window")
+        placed.join(texts.select("window", F.col("words").alias("wanted")).hint("merge"), "window")
         .join(runs.select("run", "words").hint("merge"), "run")
         .where("slice(words, start + 1, size(wanted)) = wanted")
     )
     return (
-        held.join(items, "window")
+        held.join(items.hint("merge"), "window")
         .groupBy("run")
         .agg(
             F.collect_set(F.struct("start", F.expr("start + size(wanted) as end"))).alias("spans"),
