@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    conversations,
     decontaminate,
     directcodes,
     factorization,
     licences,
     packing,
     quality,
+    resampling,
     rollup,
+    secrets,
     simhash,
     urlfilter,
     warc,
@@ -131,6 +135,41 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        *[secrets.n_of(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+        "n_live",
+        "n_example",
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every original conversation after damage and repair; without rows after damage zeros, an
+    empty audit and the hash of nothing."""
+    stated = table(spark, sf_dir, "conversations")
+    audits, repaired = conversations.repair(conversations.damage(stated))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    nothing = [F.lit(0).cast("long").alias(c) for c in counts]
+    rows = (
+        stated.select(F.col("conv_id").alias("conv"), *nothing, F.lit("").alias("audit")).distinct()
+        .unionByName(audits)
+        .unionByName(conversations.digests(repaired), allowMissingColumns=True)
+    )
+    none = hashlib.sha256(b"").hexdigest()
+    return rows.groupBy(F.col("conv").alias("conv_id")).agg(
+        *[F.max(c).alias(c) for c in [*counts, "audit"]], F.coalesce(F.max("repaired_sha256"), F.lit(none)).alias("repaired_sha256")
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resampling.resample(docs, target, keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -144,6 +183,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filters,
         op9_quality_classifier,
         op10_simhash,
+        op11_secret_scan,
+        op12_conversation_repair,
+        op13_importance_resampling,
     )
 }
 
