@@ -17,8 +17,14 @@ def _text(xml: Column, path: str) -> Column:
     return rx.empty_to_null(rx.strip(F.xpath_string(xml, F.lit(path))))
 
 
-def _first(xml: Column, *paths: str) -> Column:
-    return F.coalesce(*[_text(xml, p) for p in paths])
+def _own_text(xml: Column, path: str) -> Column:
+    """The text with which the first element of a path begins, before any child of it."""
+    return _text(xml, f"({path})[1]/node()[1][self::text()]")
+
+
+def _either(xml: Column, path: str, other: str) -> Column:
+    """The text of the first element of a path, of the other path only where there is none."""
+    return F.when(F.xpath_boolean(xml, F.lit(path)), _own_text(xml, path)).otherwise(_own_text(xml, other))
 
 
 def _authors(xml: Column) -> Column:
@@ -27,29 +33,39 @@ def _authors(xml: Column) -> Column:
     names = F.transform(
         people,
         lambda a: F.concat(
-            _text(a, "//persName//surname"),
-            F.coalesce(F.concat(F.lit(", "), _text(a, "//persName//forename")), F.lit("")),
+            _own_text(a, "(//persName)[1]//surname"),
+            F.coalesce(F.concat(F.lit(", "), _own_text(a, "(//persName)[1]//forename")), F.lit("")),
         ),
     )
     return rx.empty_to_null(F.array_join(F.filter(names, lambda n: n.isNotNull()), ", "))
 
 
 def _year(xml: Column) -> Column:
-    stated = F.coalesce(_text(xml, "(//date/@when)[1]"), _text(xml, "(//date)[1]"))
+    """Of the first date alone: its attribute, else its text."""
+    stated = F.coalesce(rx.empty_to_null(F.xpath_string(xml, F.lit("(//date)[1]/@when"))), rx.empty_to_null(F.xpath_string(xml, F.lit("(//date)[1]/node()[1][self::text()]"))))
     return F.substring(stated, 1, 4).try_cast("int")
 
 
-def structured(xml: Column) -> Column:
-    """One ``biblStruct`` element as a struct; null if nothing is in it."""
-    span = rx.empty_to_null(F.concat_ws("-", _text(xml, '(//biblScope[@unit="page"]/@from)[1]'), _text(xml, '(//biblScope[@unit="page"]/@to)[1]')))
+def structured(xml: Column, compat: bool = True) -> Column:
+    """One ``biblStruct`` element as a struct; null if nothing is in it.
+
+    Journal, volume and pages are those of the first ``monogr``; without a journal title its
+    first title counts. Pages are the texts of all page scopes, joined; without ``compat`` the
+    attributes ``from`` and ``to`` stand in where no scope has a text.
+    """
+    volume, page = ('(//monogr)[1]//biblScope[@unit="{}"]'.format(u) for u in ("volume", "page"))
+    texts = F.filter(F.xpath(xml, F.lit(f"{page}/node()[1][self::text()]")), lambda t: t != "")
+    pages = rx.empty_to_null(F.array_join(F.transform(texts, rx.strip), "-"))
+    if not compat:
+        pages = F.coalesce(pages, rx.empty_to_null(F.concat_ws("-", _text(xml, f"({page}/@from)[1]"), _text(xml, f"({page}/@to)[1]"))))
     return F.struct(
         _authors(xml).alias("authors"),
         _year(xml).alias("year"),
-        _first(xml, '(//title[@level="a"])[1]', "(//title)[1]").alias("title"),
-        _first(xml, '(//title[@level="j"])[1]').alias("journal"),
-        _first(xml, '(//biblScope[@unit="volume"])[1]').alias("volume"),
-        F.coalesce(rx.empty_to_null(F.array_join(F.xpath(xml, F.lit('//biblScope[@unit="page"]/text()')), "-")), span).alias("pages"),
-        _first(xml, '(//idno[@type="DOI"])[1]').alias("doi"),
+        _either(xml, '//title[@level="a"]', "//title").alias("title"),
+        _either(xml, '(//monogr)[1]//title[@level="j"]', "(//monogr)[1]//title").alias("journal"),
+        _own_text(xml, volume).alias("volume"),
+        pages.alias("pages"),
+        _own_text(xml, '//idno[@type="DOI"]').alias("doi"),
         F.lit(None).cast("string").alias("raw_text"),
     )
 
@@ -69,9 +85,9 @@ def _has_content(s: Column) -> Column:
     return F.coalesce(*[s[n].cast("string") for n in ("authors", "year", "title", "journal", "volume", "pages", "doi", "raw_text")]).isNotNull()
 
 
-def references(xml: Column) -> Column:
+def references(xml: Column, compat: bool = True) -> Column:
     """All ``biblStruct`` elements, then all ``bibl`` elements, in order, as structs."""
-    bodies = F.transform(rx.every(xml, r"(<biblStruct\b.*?</biblStruct>)", 1, "s"), structured)
+    bodies = F.transform(rx.every(xml, r"(<biblStruct\b.*?</biblStruct>)", 1, "s"), lambda x: structured(x, compat))
     plain = F.transform(rx.every(xml, r"(<bibl\b(?!Struct).*?</bibl>)", 1, "s"), raw)
     return F.filter(F.concat(bodies, plain), _has_content)
 
@@ -102,9 +118,9 @@ def header(xml: Column) -> Column:
     """Title, authors, year, doi and abstract of a document header."""
     body = rx.first(xml, r"(<abstract\b.*?</abstract>)", 1, "s")
     return F.struct(
-        _first(xml, '(//title[@type="main"])[1]', "(//title)[1]").alias("title"),
+        _either(xml, '//title[@type="main"]', "//title").alias("title"),
         _authors(xml).alias("authors"),
         _year(xml).alias("year"),
-        _first(xml, '(//idno[@type="DOI"])[1]').alias("doi"),
+        _own_text(xml, '//idno[@type="DOI"]').alias("doi"),
         _text(body, "string(/abstract)").alias("abstract"),
     )

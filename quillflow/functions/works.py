@@ -90,13 +90,17 @@ def open_access(record: Column) -> Column:
 
 
 def abstract(record: Column) -> Column:
-    stated = _get(record, "$.abstract")
-    value = F.when(stated.startswith("{"), F.get_json_object(stated, "$.value")).otherwise(stated)
-    return rx.empty_to_null(normalize.without_tags(F.coalesce(value, _get(record, "$.abstracts[0].value"))))
+    """The stated abstract, of an object its value or else its text; only where none is stated
+    the first of a list. Without tags, normalised."""
+    stated = F.get_json_object(record, "$.abstract")
+    within = F.coalesce(_get(stated, "$.value"), _get(stated, "$.text"))
+    value = F.when(stated.startswith("{"), within).otherwise(stated)
+    value = F.when(stated.isNull(), F.get_json_object(record, "$.abstracts[0].value")).otherwise(value)
+    return normalize.text(normalize.without_tags(value))
 
 
 def keywords(record: Column) -> Column:
-    return rx.empty_to_null(F.array_join(F.from_json(_get(record, "$.subject"), "array<string>"), ", "))
+    return normalize.text(F.array_join(F.from_json(_get(record, "$.subject"), "array<string>"), ", "))
 
 
 def mapped(record: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import predicates, rx
+from ..functions import normalize, predicates, rx
 
 PRIORITY = [
     "doi",
@@ -25,9 +25,19 @@ PRIORITY = [
     "peer_reviewed",
     "acceso_abierto",
 ]
-PDF_PRIORITY = [f for f in PRIORITY if f not in ("peer_reviewed", "acceso_abierto")]
+PDF_PRIORITY = [
+    "lugar_publicacion_entrega",
+    "publicista_editorial",
+    "volumen_edicion",
+    "isbn_issn",
+    "link",
+    "peer_reviewed",
+    "acceso_abierto",
+    "resumen_abstract",
+    "keywords",
+]
 ALWAYS_SET = ["idioma", "tipo_documento", "peer_reviewed", "acceso_abierto"]
-CRITICAL = ["titulo_original", "autores", "resumen_abstract", "keywords", "lugar_publicacion_entrega"]
+CRITICAL = ["lugar_publicacion_entrega", "volumen_edicion", "paginas", "keywords", "tipo_documento"]
 TITLE_KEY = 200
 
 
@@ -114,7 +124,8 @@ def merge_reference(df: DataFrame, work: str = "work") -> DataFrame:
 
 
 def merge_pdf_reference(df: DataFrame, work: str = "work") -> DataFrame:
-    """A reference of a PDF: nine fields external first; an external year always wins."""
+    """A reference of a PDF: nine fields external first, title and authors by their rules; an
+    external year always wins; DOI, pages, issue and type stay the parsed ones."""
     x = lambda f: F.col(f"{work}.{f}")
     values = {f: prefer(x(f), _field(df, f)) for f in PDF_PRIORITY}
     values["titulo_original"] = title_rule(_field(df, "titulo_original"), x("titulo_original"))
@@ -158,23 +169,23 @@ def merge_document(df: DataFrame, work: str = "work", by_doi: bool = True, keep_
             },
         )
     values = {f: F.when(matched, x(f)).otherwise(_field(df, f)) for f in fields}
-    for f in ("resumen_abstract", "keywords"):
+    for f in ("doi", "resumen_abstract", "keywords"):
         values[f] = F.when(matched, prefer(x(f), _field(df, f))).otherwise(_field(df, f))
     if keep_extracted_doi:
-        values["doi"] = prefer(_field(df, "doi"), x("doi"))
+        values["doi"] = F.when(matched, prefer(_field(df, "doi"), x("doi"))).otherwise(_field(df, "doi"))
     return _assign(df, values)
 
 
 def merge_header(df: DataFrame, header: str = "header") -> DataFrame:
-    """A TEI header below the extraction: title, authors and abstract of the header first;
-    DOI and year of the extraction first."""
+    """A TEI header below the extraction: title, authors and abstract of the header first, title
+    and abstract normalised; DOI and year of the extraction first."""
     h = lambda f: F.col(f"{header}.{f}")
     return _assign(
         df,
         {
-            "titulo_original": prefer(h("title"), _field(df, "titulo_original")),
+            "titulo_original": prefer(normalize.text(h("title")), _field(df, "titulo_original")),
             "autores": prefer(h("authors"), _field(df, "autores")),
-            "resumen_abstract": prefer(h("abstract"), _field(df, "resumen_abstract")),
+            "resumen_abstract": prefer(normalize.text(h("abstract")), _field(df, "resumen_abstract")),
             "doi": prefer(_field(df, "doi"), h("doi")),
             "ano": F.coalesce(_field(df, "ano"), h("year")),
         },
@@ -195,23 +206,30 @@ def llm_exclusive(df: DataFrame, llm: str, doi: str, kind: str, enabled: dict[st
 
 
 def llm_complement(df: DataFrame, llm: str, header_year: Column, fields: list[str]) -> DataFrame:
-    """The model's answer beside the extraction: fills empty fields; the running head's year
-    wins over its year; its abstract wins if the other is none or a tenth shorter; its critical
-    fields win if a fifth longer or the other is under three characters."""
+    """The model's answer beside the extraction, field by field.
+
+    What the model leaves out stays; an empty field takes the model's value. Where both are
+    there: the year is that of the running head, else the model's; its abstract, cut to the
+    limit, wins if it is one and the own is none or over a tenth shorter; journal, volume, pages,
+    keywords and type win if over a fifth longer, or if the own is under three characters and not
+    over a fifth longer; all other fields stay.
+    """
     values = {}
     for f in fields:
         a, b = _field(df, f), F.try_element_at(F.col(llm), F.lit(f))
+        b = b.try_cast("int") if f == "ano" else b
         if f == "ano":
-            values[f] = F.coalesce(header_year, b.try_cast("int"), a)
-            continue
-        filled = prefer(a, b)
-        if f == "resumen_abstract":
-            better = predicates.is_abstract(b) & (~predicates.is_abstract(a) | (F.length(b) > 1.1 * F.length(a)))
-            filled = F.when(present(a) & better, b).otherwise(filled)
+            better = F.coalesce(header_year, b)
+        elif f == "resumen_abstract":
+            cut = normalize.truncated(b)
+            longer = F.length(cut) > 1.1 * F.length(a)
+            better = F.when(predicates.is_abstract(b) & (~predicates.is_abstract(a) | longer), cut).otherwise(a)
         elif f in CRITICAL:
-            better = present(b) & ((F.length(b) > 1.2 * F.length(a)) | (F.length(a) < 3))
-            filled = F.when(present(a) & better, b).otherwise(filled)
-        values[f] = filled
+            longer, shorter = F.length(b) > 1.2 * F.length(a), F.length(a) > 1.2 * F.length(b)
+            better = F.when(longer | (~shorter & (F.length(a) < 3)), b).otherwise(a)
+        else:
+            better = a
+        values[f] = F.when(~present(b), a).when(~present(a), b).otherwise(better)
     return _assign(df, values)
 
 

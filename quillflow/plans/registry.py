@@ -13,7 +13,7 @@ from ..operators import aggregate, merge, relational, split
 from ..sources import corpus, pages, sinks
 from ..sources.schema import DOCUMENT, EXPORT_NAMES
 from ..streaming import jobs
-from . import pipelines
+from . import pipelines, rules
 
 AS_OF = 2026
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,7 +486,7 @@ _register(
 _register(
     "mrg_08_pdf_reference",
     lambda s, d: _enriched(s, d, "pdf_reference").select("ref_id", "ano", "titulo_original", "tipo_documento"),
-    _MERGED + f"select ref_id, ano, titulo_original, case when w is not null then case when w % 4 = 0 then {_ARTICLE_TYPE} else '{P.BOOK}' end when ref_id % 5 in (0, 2) then {_ARTICLE_TYPE} end tipo_documento from m",
+    _MERGED + f"select ref_id, ano, titulo_original, case when ref_id % 5 in (0, 2) then {_ARTICLE_TYPE} end tipo_documento from m",
 )
 _register(
     "mrg_09_update",
@@ -588,8 +588,8 @@ def mrg_14_header(spark, sf_dir):
         F.expr("case when ref_id % 3 = 0 then '10.1/own' end").alias("doi"),
         F.expr("case when ref_id % 7 <> 0 then cast(yr as int) end").alias("ano"),
         F.expr(
-            "named_struct('title', case when ref_id % 2 = 0 then 'Head ' || seg end, 'authors', case when ref_id % 3 = 0 then '' else 'Perez, ' || i2 end, "
-            "'year', 1900, 'doi', '10.2/head', 'abstract', case when ref_id % 4 = 0 then 'Head abstract' end)"
+            "named_struct('title', case when ref_id % 2 = 0 then '  Head  ' || seg end, 'authors', case when ref_id % 3 = 0 then '' else 'Perez, ' || i2 end, "
+            "'year', 1900, 'doi', '10.2/head', 'abstract', case when ref_id % 4 = 0 then '#_#x0048ead   abstract ' end)"
         ).alias("header"),
     )
     return merge.merge_header(df).drop("header")
@@ -640,9 +640,8 @@ _register(
 _register(
     "mrg_16_llm_complement",
     lambda s, d: merge.llm_complement(_with_model(s, d), "llm", F.when(F.col("ref_id") % 11 == 0, 1950), _FIELDS).select("ref_id", *_FIELDS),
-    _MODEL + "select ref_id, case when own_title is null then title when title is not null and (length(title) > 1.2 * length(own_title) or length(own_title) < 3) then title else own_title end titulo_original, "
-    "case when own_authors is null then authors when authors is not null and (length(authors) > 1.2 * length(own_authors) or length(own_authors) < 3) then authors else own_authors end autores, "
-    "coalesce(case when ref_id % 11 = 0 then 1950 end, model_year, own_year)::int ano from x",
+    _MODEL + "select ref_id, coalesce(own_title, title) titulo_original, coalesce(own_authors, authors) autores, "
+    "(case when model_year is null then own_year when own_year is null then model_year when ref_id % 11 = 0 then 1950 else model_year end)::int ano from x",
 )
 
 
@@ -731,8 +730,8 @@ _register(
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | rules.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | rules.SQL
