@@ -124,7 +124,7 @@ def scan(
 
     holders = ownership(candidates, "value", own, repo)
     live = (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories) & F.col("random")
-    marked = candidates.join(holders, "value").select("row", "kind", "start", "end", live.alias("live"))
+    marked = candidates.join(holders.hint("merge"), "value").select("row", "kind", "start", "end", live.alias("live"))
     at = Window.partitionBy("row").orderBy("start", "kind")
     is_base = F.col("kind") != OWNED
     before = F.max(F.when(is_base, F.col("end"))).over(at.rowsBetween(Window.unboundedPreceding, -1))
@@ -141,7 +141,7 @@ def scan(
     no_spans = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     values = {"base": no_spans, "spans": no_spans, "n_live": F.lit(0).cast("long"), "n_example": F.lit(0).cast("long")}
     bare = slim.where(F.size("found") == 0).select(*kept, *[v.alias(n) for n, v in values.items()])
-    hit = slim.where(F.size("found") > 0).join(results, "row", "left").select(*kept, *[F.coalesce(F.col(n), v).alias(n) for n, v in values.items()])
+    hit = slim.where(F.size("found") > 0).join(results.hint("merge"), "row", "left").select(*kept, *[F.coalesce(F.col(n), v).alias(n) for n, v in values.items()])
     out = bare.unionByName(hit)
     labels = []
     for n in values:
