@@ -233,8 +233,6 @@ def _named(docs: DataFrame, keep: list[str], rows: DataFrame, names: list[str])
 
 BANDS, ROWS = 16, 5  # a pair of similarity 0.8 shares a band with probability 0.998
 WEIGHT = 1_000_000  # shingles of one task's shard
-#: At similarity 0.8 a bit differs with probability 0.15: this is 5 deviations above the mean.
-FAR_BITS = 24
 _SEEDS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
 _CHUNK = 8192  # shingles hashed anew at a time
 
@@ -270,7 +268,7 @@ def bands_of(distinct: np.ndarray) -> np.ndarray:
 
 def with_shingle_sets(keyed: DataFrame, words: int) -> DataFrame:
     """id, kept_columns and class (hash of the set of shingles), fp, n (its size), bands and
-    payload (fp and the shingles' low 32 bits) of each row of (id, kept_columns, t)."""
+    payload (the shingles' different low 32 bits) of each row of (id, kept_columns, t)."""
     ship(keyed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,8 +281,8 @@ def with_shingle_sets(keyed: DataFrame, words: int) -> DataFrame:
                     s = np.unique(h)
                     label = np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)
                     fp = np.uint64(majority(h) if len(h) else 0)
-                    payload = fp.tobytes() + s.astype("<u4").tobytes()
-                    out.append((label, fp.view(np.int64), len(s), bands_of(s).view(np.int64), payload))
+                    short = np.unique(s.astype("<u4"))
+                    out.append((label, fp.view(np.int64), len(short), bands_of(s).view(np.int64), short.tobytes()))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
                 made = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *made], [*part.schema.names[:2], *names])
@@ -296,9 +294,9 @@ def with_shingle_sets(keyed: DataFrame, words: int) -> DataFrame:
 
 def _set_search(similarity: float, items: np.ndarray, payloads: list, labels: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of at least the similarity: those that share one of the rarest shingles that such
-    a pair must share, fit in size and in fingerprint, and whose sets then are that alike."""
-    fps = np.array([int.from_bytes(p[:8], "little") for p in payloads], np.uint64)
-    sets = [np.frombuffer(p, np.uint32, offset=8) for p in payloads]
+    a pair must share and fit in size, and whose sets then are that alike. Fingerprints rule none
+    out: they count repeats, so one repeated phrase moves them far while the sets stay alike."""
+    sets = [np.frombuffer(p, np.uint32) for p in payloads]
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -320,7 +318,6 @@ def _set_search(similarity: float, items: np.ndarray, payloads: list, labels: np
         other = np.unique(np.concatenate(near))
         other = other[(other > v) & (label[other] != label[v]) & (left[other] | left[v])]
         other = other[(sizes[other] >= need[v]) & (need[other] <= sizes[v])]
-        other = other[np.bitwise_count(fps[other] ^ fps[v]) <= FAR_BITS]
         for o in other.tolist():
             if label[o] == label[v]:
                 continue

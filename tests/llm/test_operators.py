@@ -770,6 +770,21 @@ def test_similar_documents(spark, limit):
     assert [first[got[i]] for i in range(len(texts))] == want
 
 
+def test_repeated_phrases(spark):
+    """A phrase sixty times over moves the fingerprint, not the set of shingles: no pair is lost."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(40):
+        text = " ".join(f"w{rng.randrange(5000)}" for _ in range(80))
+        phrase = " ".join(f"p{i}x{k}" for k in range(5))
+        rows += [(2 * i, text), (2 * i + 1, f"{text} " + " ".join([phrase] * 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    assert [r["doc_id"] for r in simhash.keep_one(df).orderBy("doc_id").collect()] == [2 * i for i in range(40)]
+
+
+
 def test_keep_one(spark, docs, empty):
     rows = docs.collect()
     groups = similar_groups([r["text"] for r in rows])
