@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fulltext, tei, works
 from ..functions import patterns as P
-from ..operators import merge
+from ..operators import merge, search
 from ..sources import corpus
+from ..sources.shared import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -298,3 +299,55 @@ _register(
     lambda s, d: _pieces(s, d, value=fulltext.title(F.expr(_META), F.expr(corpus.ARTICLE))),
     f"select ref_id, case when ref_id % 4 = 3 then {_META} else {_PAGE_TITLE} end as value" + _FROM,
 )
+
+
+# --- search by title and authors --------------------------------------------------------------------
+
+#: A work of each part, and a record that asks for it: as it stands, in another order, cut, misspelt.
+_WORK_TITLE = "'Catalogue of the ' || p_name || ' in ' || lower(p_type) || ' make, size s' || p_size || ', lot k' || (p_partkey % 997)"
+_WORK_AUTHORS = "'Maker' || substr(p_brand, 7) || ', B., Perez' || (p_partkey % 7) || ', A.'"
+_ASKED_TITLE = (
+    f"case p_partkey % 5 when 0 then upper({_WORK_TITLE}) when 1 then 'Lot k' || (p_partkey % 997) || '; ' || lower(p_type) || ' make (' || p_name || '): catalogue' "
+    "when 2 then 'The ' || p_name || ' in ' || lower(p_type) when 3 then 'Catalogue of the ' || p_name || 'x in ' || lower(p_type) || ' make, size s' || p_size "
+    "else 'Something else about ' || p_name || ' altogether' end"
+)
+_ASKED_AUTHORS = "case when p_partkey % 4 = 0 then null else 'Maker' || substr(p_brand, 7) end"
+
+
+def src_17_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet"))
+    records = part.selectExpr("p_partkey", f"{_ASKED_TITLE} as titulo_original", f"{_ASKED_AUTHORS} as autores")
+    held = part.selectExpr("'10.5/' || lpad(cast(p_partkey as string), 9, '0') as doi", f"{_WORK_TITLE} as titulo_original", f"{_WORK_AUTHORS} as autores")
+    return search.search_works(records, held, hot=100).select("p_partkey", "work_doi", "score", "mass")
+
+
+def _terms_sql(title: str, authors: str) -> str:
+    words = lambda c: f"list_filter(regexp_split_to_array(lower(substr(coalesce({c}, ''), 1, 200)), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    return (
+        f"list_sort(list_distinct(list_transform({words(title)}, lambda w: 't' || w) || "
+        f"list_transform(list_filter({words(authors)}, lambda w: length(w) > 1), lambda w: 'a' || w)))"
+    )
+
+
+_register(
+    "src_17_search",
+    src_17_search,
+    f"""
+with w as (select terms, min(doi) doi from (
+  select {_terms_sql(_WORK_TITLE, _WORK_AUTHORS)} terms, '10.5/' || lpad(p_partkey::varchar, 9, '0') doi from part) group by 1),
+q as (select p_partkey, {_terms_sql(_ASKED_TITLE, _ASKED_AUTHORS)} terms from part),
+df as (select term, count(*) n from (select unnest(terms) term from w) group by 1),
+weight as (
+  select term, floor(case when starts_with(term, 'a') then 500 else 1000 end * ln(1 + (select count(*) from w)::double / greatest(coalesce(n, 1), 1)))::bigint g
+  from (select distinct unnest(terms) term from q union select unnest(terms) from w) left join df using (term)),
+wm as (select doi, terms, sum(g)::bigint m from (select doi, terms, unnest(terms) term from w) join weight using (term) group by 1, 2),
+qs as (select terms, sum(g)::bigint mass from (select terms, unnest(terms) term from (select distinct terms from q)) join weight using (term) group by 1),
+pairs as (
+  select a.terms, b.doi, b.wterms, sum(g)::bigint score
+  from (select terms, unnest(terms) term from qs) a join (select doi, terms wterms, unnest(terms) term from w) b using (term) join weight using (term) group by 1, 2, 3),
+best as (
+  select p.terms, p.doi, score, mass, row_number() over (partition by p.terms order by score desc, wm.m, p.doi) k
+  from pairs p join qs on p.terms = qs.terms join wm on wm.doi = p.doi and wm.terms = p.wterms where 100 * score >= 50 * mass)
+select p_partkey, doi work_doi, score, mass from q left join best on q.terms = best.terms and k = 1
+""",
+)
