@@ -15,7 +15,8 @@ from ..functions import fulltext, tei, works
 from ..functions import patterns as P
 from ..operators import merge, search
 from ..sources import corpus
-from ..sources.shared import spread
+from ..sources.shared import new_path, spread
+from ..streaming import keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -351,3 +352,54 @@ best as (
 select p_partkey, doi work_doi, score, mass from q left join best on q.terms = best.terms and k = 1
 """,
 )
+
+
+# --- job states of a stream -----------------------------------------------------------------------
+
+#: Every event as one of its user's job, in no order of states.
+_JOB_EVENTS = [
+    "cast(user_id as string) as job_id",
+    "ts as event_time",
+    "case event_id % 5 when 0 then 'pending' when 1 then 'processing' when 2 then 'analyzing' when 3 then 'completed' else 'failed' end as status",
+    "case when event_id % 3 = 0 then cast(event_id % 90 as int) end as progress",
+    "case when event_id % 5 = 4 and event_id % 2 = 0 then 'broken ' || event_id end as error",
+    "case when event_id % 5 = 3 then cast(event_id as int) end as document_id",
+]
+
+
+def str_03_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream, and the last state of each job that the stream gave."""
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).selectExpr(*_JOB_EVENTS)
+    out = new_path(spark, "job-states")
+    stream = keyed.job_states(events, kept_s=3650 * keyed.DAY, stalled_s=3650 * keyed.DAY)
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.where("not gone").drop("gone").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", new_path(spark, "job-states")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.parquet(out)
+    last = F.max_by(F.struct(*[c for c in rows.columns if c not in ("job_id", "batch")]), "batch")
+    states = rows.groupBy("job_id").agg(last.alias("s")).select("job_id", "s.*")
+    return states.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "completed_at")})
+
+
+_register(
+    "str_03_stream_states",
+    str_03_stream_states,
+    f"""
+with e as (select *, {", ".join(_JOB_EVENTS)}, event_id % 5 + 1 n,
+    case when event_id % 3 = 0 then event_id % 90 else -1 end p from events),
+o as (select *, case status when 'completed' then 100 when 'failed' then 0 when 'processing' then coalesce(progress, 10)
+    when 'analyzing' then coalesce(progress, 40) else coalesce(progress, 0) end shown,
+    row_number() over (partition by job_id order by event_time desc, n desc, p desc) k,
+    row_number() over (partition by job_id, error is null order by event_time desc, n desc, p desc) ke,
+    row_number() over (partition by job_id, document_id is null order by event_time desc, n desc, p desc) kd from e)
+select job_id, max(status) filter (k = 1) status, max(shown) filter (k = 1)::int progress,
+  coalesce(max(event_time) filter (status = 'processing'), min(event_time) filter (status = 'analyzing')) started_at,
+  max(event_time) filter (status in ('completed', 'failed')) completed_at,
+  max(error) filter (ke = 1) error, max(document_id) filter (kd = 1)::int document_id
+from o group by 1
+""",
+)

@@ -87,10 +87,10 @@ def job_status(jobs: DataFrame, documents: DataFrame | None = None) -> DataFrame
 
 def job_stream(events: DataFrame) -> DataFrame:
     """The same states from a stream of events, one row for each job that a micro-batch changes
-    (output mode update). It is the batch aggregation: a job's state is one row of values, late
-    events are weighed by their time, and events that come twice change nothing.
-    """
-    return job_table(events)
+    (output mode update); ``keyed.job_states`` says which events are late and when state ends."""
+    from .keyed import job_states
+
+    return job_states(events).where("not gone").drop("gone")
 
 
 def read_inbox(spark: SparkSession, inbox: str, per_batch: int = 1000) -> DataFrame:
@@ -111,18 +111,15 @@ def routed(attempts: DataFrame, most: int = MOST_ATTEMPTS) -> tuple[DataFrame, D
     return latest.where(F.col("attempt") < most), latest.where(F.col("attempt") >= most)
 
 
-def work(messages: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
+def work(messages: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, remembered: str = "14 days"):
     """Runs ``handle`` on every micro-batch and keeps its rows under the batch's number, so a
-    batch that runs again replaces its rows. A job counts once: the ids of earlier batches are
-    kept beside the checkpoint, and messages delivered again are left out."""
-    kept = f"{checkpoint}-jobs"
+    batch that runs again replaces its rows. A job counts once: the query's state remembers its
+    id for as long as the queue keeps messages. ``keyed.work_leased`` hands out again what is
+    not acknowledged."""
+    received = messages.withColumn("received_at", F.current_timestamp()).withWatermark("received_at", remembered)
+    fresh = received.dropDuplicatesWithinWatermark(["job_id"]).drop("received_at")
 
     def batch(df: DataFrame, number: int) -> None:
-        fresh = df.dropDuplicates(["job_id"])
-        if number:
-            done = df.sparkSession.read.schema("job_id string, batch long").parquet(kept).where(F.col("batch") < number)
-            fresh = fresh.join(done, "job_id", "left_anti")
-        fresh.select("job_id").write.mode("overwrite").parquet(f"{kept}/batch={number}")
-        handle(fresh).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        handle(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
