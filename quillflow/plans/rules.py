@@ -370,7 +370,8 @@ _JOB_EVENTS = [
 def str_03_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, and the last state of each job that the stream gave."""
     path = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).selectExpr(*_JOB_EVENTS)
+    stored = f"{sf_dir}/events.parque[t]"  # a stream takes a single file only by a pattern
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(stored).selectExpr(*_JOB_EVENTS)
     out = new_path(spark, "job-states")
     stream = keyed.job_states(events, kept_s=3650 * keyed.DAY, stalled_s=3650 * keyed.DAY)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,11 +34,49 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package also where it is not installed."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def _fs(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+def publish(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a finished folder to a name that no other has taken; False, and the folder left
+    where it is, if another writer came first. Readers see all of a folder or nothing of it."""
+    fs, final = _fs(spark, target)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if fs.exists(final):
+        return False
+    done = bool(fs.rename(path(source), final))
+    nested = path(f"{target}/{source.rstrip('/').rsplit('/', 1)[1]}")
+    if fs.exists(nested):  # the other's folder came between, and the rename went below it
+        fs.rename(nested, path(source))
+        return False
+    return done
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    fs, jpath = _fs(spark, path)
+    fs.delete(jpath, True)
+
+
+def folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the folders ``name=<number>`` below a path, in order."""
+    fs, jpath = _fs(spark, path)
+    if not fs.exists(jpath):
+        return []
+    found = [str(s.getPath().getName()) for s in fs.listStatus(jpath)]
+    return sorted(int(f.split("=", 1)[1]) for f in found if f.startswith(f"{name}=") and f.split("=", 1)[1].isdigit())
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, deleted when the JVM ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

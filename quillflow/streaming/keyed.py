@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..sources.schema import JOB_STATES, MESSAGE
+from ..sources.schema import JOB_STATES
+from ..sources.shared import ship
 from .jobs import MOST_ATTEMPTS, progress_of
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -32,6 +33,7 @@ _JOB_VALUE = (
 
 
 def with_state_store(spark: SparkSession) -> None:
+    ship(spark)
     if spark.conf.get(_PROVIDER, "").rsplit(".", 1)[-1] in ("", "HDFSBackedStateStoreProvider"):
         spark.conf.set(_PROVIDER, _ROCKS)
 
@@ -222,5 +224,3 @@ def work_leased(
     given = deliveries(messages, said, visible_s, most)
     return given.writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
-
-__all__ = ["DELIVERY", "JOB_ROW", "MESSAGE", "JobStates", "Lease", "deliveries", "job_states", "with_state_store", "work_leased"]
