@@ -20,6 +20,7 @@ from . import (
     rollup,
     secrets,
     simhash,
+    url_sql,
     urlfilter,
     warc,
 )
@@ -118,6 +119,13 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter over all pages with made links of every kind, as the table itself has none."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    linked = table(spark, sf_dir, "pages").selectExpr("page_id", f"{url_sql.LINKED_URL} as url", f"{url_sql.LINKED_HTML} as html")
+    return urlfilter.judge(linked, rules, keep=["page_id"])
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = factorization.train(docs, table(spark, sf_dir, "labels"))
@@ -186,6 +194,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op11_secret_scan,
         op12_conversation_repair,
         op13_importance_resampling,
+        url_aliases,
     )
 }
 
@@ -280,74 +289,10 @@ select doc_id, len(w)::bigint n_words, coalesce(hit.n, 0)::bigint n_hit, coalesc
 from d left join hit using (rid) left join it using (rid)
 """
 
-_OP8 = r"""
-with recursive p as (
-  select row_number() over () rid, page_id, html,
-    case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end rest
-  from pages),
-q as (
-  select rid, page_id, html,
-    translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
-    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') path,
-    coalesce(regexp_extract(rest, '^[^/?#]*([^#]*)', 1), '') tail, rest is not null has
-  from p),
-rules(suffix, prefix, verdict) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'),
-  ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
-hosts as (
-  select rid, suffix || prefix as rule, verdict,
-    row_number() over (partition by rid order by length(suffix || prefix) desc, length(suffix) desc, verdict) k
-  from q join rules on (host = suffix or ends_with(host, '.' || suffix)) and starts_with(path, prefix)),
-tags as (
-  select host, path, tail, unnest(list_filter(regexp_extract_all(html, '{TAG}'), lambda t: regexp_matches(t, '{LINKS}'))) tag
-  from q where has),
-targets as (
-  select host, path, tail, case when regexp_matches(tag, '(?i)^<link') then regexp_extract(tag, '{HREF}', 1)
-    else regexp_extract(tag, '{REFRESH}', 1) end t from tags),
-parts as (
-  select host, path, tail, t, regexp_extract(t, '^([^?#]*)', 1) tpath, regexp_extract(t, '^[^?#]*([^#]*)', 1) tquery,
-    regexp_extract(t, '://(.*)$', 1, 's') absolute, coalesce(nullif(regexp_extract(path, '^(.*/)', 1, 's'), ''), '/') folder
-  from targets where t <> '' and not starts_with(t, '#')),
-kinds as (
-  select *, case when regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*://') then absolute
-                 when regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*:') then null
-                 when starts_with(t, '//') then substr(t, 3) end rest,
-    case when regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*:') or starts_with(t, '//') or starts_with(t, '?') then null
-         when starts_with(t, '/') then tpath else folder || tpath end walk
-  from parts),
-walked as (
-  select *, string_split(substr(walk, 2), '/') steps from kinds),
-e as (
-  select host || tail a, case
-    when rest is not null then translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-      || regexp_extract(rest, '^[^/?#]*([^#]*)', 1)
-    when starts_with(t, '?') then host || path || tquery
-    when walk is not null then host || '/' || array_to_string(
-      list_reduce([[]::varchar[]] || list_transform(steps, lambda x: [x]),
-        lambda a, x: case when x[1] = '..' then a[1:greatest(len(a) - 1, 0)] when x[1] = '.' then a else a || x end)
-      || case when steps[-1] in ('.', '..') then [''] else []::varchar[] end, '/') || tquery end b
-  from walked),
-both_ways as (select a, b from e where a <> b union select b, a from e where a <> b),
-reach(a, b) as (select a, a from both_ways union select r.a, w.b from reach r join both_ways w on r.b = w.a),
-nodes as (
-  select distinct b node, regexp_extract(b, '^([^/?#]*)', 1) host, regexp_extract(b, '^[^/?#]*([^?#]*)', 1) path from reach),
-decided as (
-  select node, verdict, row_number() over (partition by node order by length(suffix || prefix) desc, length(suffix) desc, verdict) k
-  from nodes join rules on (host = suffix or ends_with(host, '.' || suffix)) and starts_with(path, prefix)),
-spread as (
-  select r.a node from reach r join decided x on r.b = x.node and x.k = 1
-  group by 1 having bool_or(x.verdict = 'block') and not bool_or(x.verdict = 'allow'))
-select page_id, host, path, h.rule,
-  coalesce(h.verdict, case when has and s.node is not null then 'block' end, 'allow') verdict
-from q left join hosts h on h.rid = q.rid and h.k = 1
-left join spread s on q.has and s.node = q.host || q.tail
-"""
-
-for _name in ("TAG", "LINKS", "HREF", "REFRESH"):
-    _OP8 = _OP8.replace("{" + _name + "}", getattr(urlfilter, _name).replace("'", "''"))
-
 ORACLES: dict[str, str] = {
     "op1_quality_rules": _OP1,
     "op5_warc": _OP5,
     "op7_decontamination": _OP7,
-    "op8_url_filters": _OP8,
+    "op8_url_filters": url_sql.judged(),
+    "url_aliases": url_sql.judged(url_sql.LINKED_PAGES),
 }

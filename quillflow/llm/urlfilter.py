@@ -11,22 +11,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rx
 from .common import free_name, written
 from .components import connected_components
 
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-# Tags with an address, of any length, and where it stands in them. An attribute's
-# name stands behind white space, a quote or a slash.
-TAG = r"(?i)<(?:link|meta)\b[^>]*>"
-_NAME = r"(?i)[\s\"'/]"
-LINKS = (
-    _NAME + r"(?:rel\s*=\s*(?:\"(?:[^\">]*[^\w\">-])?canonical[\s\">]|'(?:[^'>]*[^\w'>-])?canonical[\s'>]|canonical[\s/>])"
-    r"|http-equiv\s*=\s*[\"']?\s*refresh)"
-)
-HREF = _NAME + r"href\s*=\s*[\"']?\s*([^\"'\s>]+)"
-REFRESH = r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
+# Fixed values of HTML: what holds no tags, tags with an address (a quoted ``>`` is no end), and
+# attributes with a value. Loops are possessive, so tags may have any length.
+NO_TAGS = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)"
+TAG = r"""(?i)<(?:link|meta|base)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+ATTRIBUTE = r"""([^\s"'>/=]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|amp|lt|gt|quot|apos);"
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+REFRESH = r"(?is)^[^;,]*[;,]\s*url\s*=\s*[\"']?\s*([^\"'\s]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -39,11 +38,22 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def scheme_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^(.*?)://", 1))
+
+
+def _site_of(url: Column) -> Column:
+    """The host without the port that its scheme implies."""
+    port = F.when(scheme_of(url) == "http", ":80").when(scheme_of(url) == "https", ":443")
+    host = host_of(url)
+    return F.when(host.endswith(port), F.substr(host, F.lit(1), F.length(host) - F.length(port))).otherwise(host)
+
+
 def node_of(url: Column) -> Column:
-    """What stands for a url in the graph: host, path and query; the scheme and fragment go.
-    Null where there is no ``://``."""
+    """What stands for a url in the graph: host, path and query; the scheme, its own port and the
+    fragment go. Null where there is no ``://``."""
     rest = F.regexp_extract(url, "(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(host_of(url), rest))
+    return F.when(url.contains("://"), F.concat(_site_of(url), rest))
 
 
 def _without_dots(path: Column) -> Column:
@@ -68,24 +78,63 @@ def resolved_node(page: Column, target: Column) -> Column:
         F.when(target.rlike("^(?:$|#)"), None)
         .when(target.rlike("(?i)^[a-z][a-z0-9+.-]*://"), node_of(target))
         .when(target.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None)
-        .when(target.startswith("//"), node_of(F.concat(F.lit("x:"), target)))
-        .when(target.startswith("/"), F.concat(host_of(page), _without_dots(path), query))
-        .when(target.startswith("?"), F.concat(host_of(page), path_of(page), query))
-        .otherwise(F.concat(host_of(page), _without_dots(F.concat(folder, path)), query))
+        .when(target.startswith("//"), node_of(F.concat(scheme_of(page), F.lit(":"), target)))
+        .when(target.startswith("/"), F.concat(_site_of(page), _without_dots(path), query))
+        .when(target.startswith("?"), F.concat(_site_of(page), path_of(page), query))
+        .otherwise(F.concat(_site_of(page), _without_dots(F.concat(folder, path)), query))
     )
 
 
+def decoded(text: Column) -> Column:
+    """A text with its character references as characters; those of no character stay."""
+    return rx.let(text, lambda t: F.when(t.rlike(ENTITY), _decoded(t)).otherwise(t))
+
+
+def _decoded(text: Column) -> Column:
+    named = F.create_map(*[F.lit(x) for k, v in NAMED.items() for x in (f"&{k};", v)])
+
+    def numbered(e: Column) -> Column:
+        digits = F.regexp_extract(e, "^&#[xX]?([0-9A-Fa-f]+);$", 1)
+        return F.when(e.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+
+    def one(e: Column) -> Column:
+        valid = lambda n: n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        character = lambda n: F.when(valid(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(e)
+        return F.when(e.startswith("&#"), rx.let(numbered(e), character)).otherwise(F.try_element_at(named, e))
+
+    parts, found = F.split(text, ENTITY, -1), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    return F.array_join(F.zip_with(parts, F.transform(found, one), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of this name, without quotes and outer spaces."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
+    at = (F.array_position(names, name) - 1).cast("int")
+    value = F.get(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)), at)
+    return F.regexp_replace(decoded(F.regexp_replace(value, r"(?s)^([\"'])(.*)\1$", "$2")), r"^\s+|\s+$", "")
+
+
 def links_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): nodes joined by a canonical link or a meta refresh; relative addresses are
-    resolved against the page's url."""
-    page, text = F.col(f"`{url}`"), F.col(f"`{html}`")
-    tags = F.filter(F.regexp_extract_all(text, F.lit(TAG), F.lit(0)), lambda t: t.rlike(LINKS))
-    target = lambda t: F.when(t.rlike("(?i)^<link"), F.regexp_extract(t, HREF, 1)).otherwise(F.regexp_extract(t, REFRESH, 1))
+    """(a, b): nodes joined by a canonical link or a meta refresh.
+
+    Tags in comments and scripts don't count, character references in addresses are decoded, and
+    relative addresses are resolved against the page's first ``base`` with an address, or else
+    its url.
+    """
+    page, text, tag = F.col(f"`{url}`"), F.col(f"`{html}`"), F.col("tag")
+    tags = F.regexp_extract_all(F.regexp_replace(text, NO_TAGS, ""), F.lit(TAG), F.lit(0))
+    is_link, is_meta = tag.rlike("(?i)^<link"), tag.rlike("(?i)^<meta")
+    canonical = is_link & F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+    refresh = is_meta & (F.lower(_attribute(tag, "http-equiv")) == "refresh")
+    target = F.when(canonical, _attribute(tag, "href")).when(refresh, F.regexp_extract(_attribute(tag, "content"), REFRESH, 1))
+    ground = F.get(F.filter("tags", lambda t: t.rlike(r"(?i)^<base\b.*\bhref\s*=")), F.lit(0))
+    url_of = lambda node: F.concat(scheme_of(F.col("page")), F.lit("://"), node)
+    based = rx.let(_attribute(ground, "href"), lambda h: url_of(resolved_node(F.col("page"), h)))
     return (
         pages.where(page.contains("://") & text.rlike("(?i)canonical|http-equiv"))
-        .select(page.alias("page"), F.explode(tags).alias("tag"))
-        .select("page", target(F.col("tag")).alias("target"))
-        .select(node_of(F.col("page")).alias("a"), resolved_node(F.col("page"), F.col("target")).alias("b"))
+        .select(page.alias("page"), tags.alias("tags"))
+        .select("page", F.when(ground.isNotNull(), based).alias("based"), F.explode("tags").alias("tag"))
+        .select(node_of(F.col("page")).alias("a"), rx.let(target, lambda t: resolved_node(F.coalesce("based", "page"), t)).alias("b"))
         .where("a != b")
     )
 
@@ -94,7 +143,8 @@ def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, path, rule, decision) of those places that a rule fits; the longest wins.
 
     Of rules of equal length that with the longer host wins, of equal rules allow. Hosts are
-    walked label by label, so each place meets only rules of its own suffixes.
+    walked label by label and paths at the lengths of their suffix's rules, so each place meets
+    only rules that fit it, however many a host has.
     """
     known = rules.select(
         F.lower("host").alias("suffix"),
@@ -105,11 +155,14 @@ def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
+    lengths = known.groupBy("suffix").agg(F.collect_set(F.length("prefix")).alias("lengths"))
     fits = (
         places.where("host != ''")
         .select("host", "path", F.explode(suffixes).alias("suffix"))
-        .join(known, "suffix")
-        .where(F.col("path").startswith(F.col("prefix")))
+        .join(lengths, "suffix")
+        .select("host", "path", "suffix", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+        .withColumn("prefix", F.substr("path", F.lit(1), F.col("n")))
+        .join(known, ["suffix", "prefix"])
         .withColumn("rule", F.concat("suffix", "prefix"))
     )
     best = F.max(

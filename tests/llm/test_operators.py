@@ -527,6 +527,38 @@ def test_url_links(spark):
     assert sorted(map(tuple, urlfilter.links_of(df).collect())) == sorted(want)
 
 
+def test_url_links_of_html(spark):
+    """Entities, base, quoted marks, comments, scripts and ports, as a browser reads them."""
+    link = '<link rel="canonical" href="{}">'
+    cases = {
+        "http://a.io/1": (link.format("http://b.info/q?a=1&amp;b=2"), "b.info/q?a=1&b=2"),
+        "http://a.io/2": (link.format("/q?x=&#233;&#x2F;&lt;&bogus;&#1114112;"), "a.io/q?x=\u00e9/<&bogus;&"),
+        "http://a.io/d/3": ('<BASE target=x><base href="http://B.org:80/e/f"><base href="/no">' + link.format("g?h"), "b.org/e/g?h"),
+        "http://a.io/d/4": ("<base href='../up/'>" + link.format("x"), "a.io/up/x"),
+        "http://a.io/5": ('<link title="a>b" rel="x canonical" data-href="/no" href=" /yes ">', "a.io/yes"),
+        "http://a.io/6": ("<!-- " + link.format("/no") + " -->" + link.format("/six"), "a.io/six"),
+        "http://a.io/7": ("<script>'" + link.format("/no") + "'</script><!-- " + link.format("/no"), None),
+        "https://a.io:443/8": (link.format("//c.io:443/x"), "c.io/x"),
+        "http://a.io:80/9": (link.format("https://c.io:80/x"), "c.io:80/x"),
+        "http://a.io/10": ('<meta content="5; url=/ten" HTTP-EQUIV=refresh><meta name=refresh content="0;url=/no">', "a.io/ten"),
+        "http://a.io/11": ("<link rel=canonical href=/eleven title='" + "y" * 200_000 + "'>", "a.io/eleven"),
+        "http://a.io/12": ("<link rel=canonical><link href=/no><link rel='canonicalx' href='/no'>", None),
+    }
+    df = spark.createDataFrame([(u, h) for u, (h, _) in cases.items()], "url string, html string")
+    node = lambda u: u.split("://")[1].replace("a.io:443/", "a.io/").replace("a.io:80/", "a.io/")
+    want = {node(u): b for u, (_, b) in cases.items() if b is not None}
+    want["a.io/2"] = "a.io/q?x=\u00e9/<&bogus;&"
+    assert {r["a"]: r["b"] for r in urlfilter.links_of(df).collect()} == want
+
+
+def test_rules_of_one_host(spark):
+    """Many rules of a host: each place meets those that fit, the longest wins."""
+    rules = spark.range(20_000).selectExpr("'hot.com' as host", "concat('/p', id) as path", "if(id % 2 = 0, 'block', 'allow') as verdict")
+    places = spark.createDataFrame([("a.hot.com", "/p12/x"), ("hot.com", "/p"), ("hot.com", "/p19999"), ("cold.com", "/p1")], "host string, path string")
+    got = {(r["host"], r["path"]): (r["rule"], r["decision"]) for r in urlfilter.match_rules(places, rules).collect()}
+    assert got == {("a.hot.com", "/p12/x"): ("hot.com/p12", "block"), ("hot.com", "/p19999"): ("hot.com/p19999", "allow")}
+
+
 def test_url_rows_of_sql(spark):
     """The registered SQL and the query over one table of made links."""
     import duckdb
