@@ -68,20 +68,26 @@ def _without_dots(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(walked, "/"))
 
 
-def resolved_node(page: Column, target: Column) -> Column:
-    """The node of an address in a page, resolved against the page's url; null for an address
-    that is blank, a fragment or of a scheme without ``://``."""
-    path, query = F.regexp_extract(target, "^([^?#]*)", 1), F.regexp_extract(target, "^[^?#]*([^#]*)", 1)
-    folder = F.regexp_extract(path_of(page), "(?s)^(.*/)", 1)
+def place_of(url: Column) -> Column:
+    """What addresses are resolved against: scheme, host without its scheme's port, and path."""
+    return F.struct(scheme_of(url).alias("scheme"), _site_of(url).alias("site"), path_of(url).alias("path"))
+
+
+def resolved_node(place: Column, target: Column) -> Column:
+    """The node of an address, resolved against a place; null for an address that is blank, a
+    fragment or of a scheme without ``://``."""
+    site, path = place["site"], F.regexp_extract(target, "^([^?#]*)", 1)
+    query = F.regexp_extract(target, "^[^?#]*([^#]*)", 1)
+    folder = F.regexp_replace(place["path"], r"(?s)[^/]*\z", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    walked = F.when(target.startswith("/"), path).otherwise(F.concat(folder, path))
+    absolute = F.when(target.startswith("//"), F.concat(place["scheme"], F.lit(":"), target)).otherwise(target)
     return (
         F.when(target.rlike("^(?:$|#)"), None)
-        .when(target.rlike("(?i)^[a-z][a-z0-9+.-]*://"), node_of(target))
+        .when(target.rlike("(?i)^(?:[a-z][a-z0-9+.-]*:)?//"), rx.let(absolute, node_of))
         .when(target.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None)
-        .when(target.startswith("//"), node_of(F.concat(scheme_of(page), F.lit(":"), target)))
-        .when(target.startswith("/"), F.concat(_site_of(page), _without_dots(path), query))
-        .when(target.startswith("?"), F.concat(_site_of(page), path_of(page), query))
-        .otherwise(F.concat(_site_of(page), _without_dots(F.concat(folder, path)), query))
+        .when(target.startswith("?"), F.concat(site, place["path"], query))
+        .otherwise(F.concat(site, rx.let(walked, _without_dots), query))
     )
 
 
@@ -128,13 +134,16 @@ def links_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     refresh = is_meta & (F.lower(_attribute(tag, "http-equiv")) == "refresh")
     target = F.when(canonical, _attribute(tag, "href")).when(refresh, F.regexp_extract(_attribute(tag, "content"), REFRESH, 1))
     ground = F.get(F.filter("tags", lambda t: t.rlike(r"(?i)^<base\b.*\bhref\s*=")), F.lit(0))
-    url_of = lambda node: F.concat(scheme_of(F.col("page")), F.lit("://"), node)
-    based = rx.let(_attribute(ground, "href"), lambda h: url_of(resolved_node(F.col("page"), h)))
+    place = F.col("place")
+    based = rx.let(_attribute(ground, "href"), lambda h: F.concat(place["scheme"], F.lit("://"), resolved_node(place, h)))
+    stated = F.filter(F.array(target), lambda t: t.isNotNull())
     return (
         pages.where(page.contains("://") & text.rlike("(?i)canonical|http-equiv"))
-        .select(page.alias("page"), tags.alias("tags"))
-        .select("page", F.when(ground.isNotNull(), based).alias("based"), F.explode("tags").alias("tag"))
-        .select(node_of(F.col("page")).alias("a"), rx.let(target, lambda t: resolved_node(F.coalesce("based", "page"), t)).alias("b"))
+        .select(node_of(page).alias("a"), place_of(page).alias("place"), tags.alias("tags"))
+        .select("a", "place", F.when(ground.isNotNull(), based).alias("based"), F.explode("tags").alias("tag"))
+        .select("a", F.when(F.col("based").isNull(), place).otherwise(rx.let(F.col("based"), place_of)).alias("place"), F.explode(stated).alias("target"))
+        # exploded, so that the address is not resolved once more for each condition on it
+        .select("a", F.explode(F.array(resolved_node(F.col("place"), F.col("target")))).alias("b"))
         .where("a != b")
     )
 
