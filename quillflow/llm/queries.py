@@ -289,7 +289,99 @@ select doc_id, len(w)::bigint n_words, coalesce(hit.n, 0)::bigint n_hit, coalesc
 from d left join hit using (rid) left join it using (rid)
 """
 
+_OP11 = r"""
+with d as (select row_number() over () rid, doc_id, source, lang, coalesce(text, '') text from documents),
+k(kind, name, least, grp) as (values (0, 'assign', 6, 2), (1, 'access', 1, 0), (2, 'hex', 1, 0), (3, 'owned', 20, 0)),
+cut as (
+  select rid, kind, name, least, source, lang, text, whole, vals, string_split_regex(text, pattern) gaps
+  from (
+    select d.*, k.*, case kind when 0 then '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'
+        when 1 then 'AKIA[A-Z0-9]{16,}' when 2 then '[0-9a-f]{24,}' else '[A-Za-z0-9+/_=-]+' end pattern,
+      case kind when 0 then regexp_extract_all(text, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')
+        when 1 then regexp_extract_all(text, 'AKIA[A-Z0-9]{16,}') when 2 then regexp_extract_all(text, '[0-9a-f]{24,}')
+        else regexp_extract_all(text, '[A-Za-z0-9+/_=-]+') end whole,
+      case kind when 0 then regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)
+        when 1 then regexp_extract_all(text, 'AKIA[A-Z0-9]{16,}') when 2 then regexp_extract_all(text, '[0-9a-f]{24,}')
+        else regexp_extract_all(text, '[A-Za-z0-9+/_=-]+') end vals
+    from d cross join k
+    where case kind when 3 then regexp_matches(text, '[A-Za-z0-9+/_=-]{20}') else true end)
+  where len(whole) > 0),
+each as (
+  select rid, kind, name, least, source, lang, text, generate_subscripts(whole, 1) i, unnest(whole) w, unnest(vals) v, unnest(gaps[1:len(whole)]) g from cut),
+placed as (
+  select *, sum(length(g) + length(w)) over (partition by rid, kind order by i)::bigint stop from each),
+spans as (
+  select *, stop - length(w) start from placed where length(v) >= least),
+candidates as (
+  select rid, kind, name, source, lang, v, start, stop,
+    len(list_distinct(string_split(v, ''))) >= 8 and (kind < 3 or ((regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]'))
+      or 4 * length(regexp_replace(v, '[^0-9]', '', 'g')) >= length(v)) and length(regexp_replace(v, '[^/]', '', 'g')) <= 2) drawn
+  from spans
+  where kind < 3 or (regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')
+    and not regexp_matches(substr(text, greatest(start - 1, 1), least(start, 2)), '^[A-Za-z0-9][.]$')
+    and not regexp_matches(substr(text, stop + 1, 2), '^[.][A-Za-z0-9]$'))),
+holders as (
+  select v, sum(r) n_repositories, count(*) n_owners from (
+    select v, source, count(*) r from (select distinct v, source, lang from candidates) group by v, source) group by v),
+marked as (
+  select c.*, n_owners <= 2 and n_repositories <= 4 and drawn live from candidates c join holders using (v)),
+kept as (
+  select * from marked m where kind < 3 or not exists (
+    select 1 from marked b where b.rid = m.rid and b.kind < 3 and b.start < m.stop and m.start < b.stop)),
+said as (
+  select rid, count(*) filter (kind = 0) n_assign, count(*) filter (kind = 1) n_access, count(*) filter (kind = 2) n_hex,
+    string_agg(name || ':' || start || ':' || stop, ',' order by start, kind) filter (kind < 3) base,
+    string_agg(name || ':' || start || ':' || stop, ',' order by start, kind) filter (kind < 3 or live) spans,
+    count(*) filter (live) n_live, count(*) filter (not live) n_example
+  from kept group by 1)
+select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex,
+  sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(n_live, 0) n_live, coalesce(n_example, 0) n_example
+from d left join said using (rid)
+"""
+
+#: The checksum of a word's bytes: eight shifts for each bit pattern, from the polynomial alone.
+_OP13 = r"""
+with crc(t) as (
+  select list(list_reduce(list_prepend(b::ubigint, range(8)::ubigint[]), lambda c, _: case when c % 2 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) order by b)
+  from range(256) r(b)),
+d as (
+  select row_number() over () rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') w from documents),
+b as (
+  select list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') w from benchmark),
+dw as (select rid, unnest(w) word from d),
+bw as (select unnest(w) word from b),
+hashed as (
+  select word, xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint,
+      list_transform(range(1, length(hex(encode(word))) + 1, 2), lambda j:
+        (16 * (strpos('0123456789ABCDEF', substr(hex(encode(word)), j, 1)) - 1) + strpos('0123456789ABCDEF', substr(hex(encode(word)), j + 1, 1)) - 1)::ubigint)),
+      lambda c, x: xor(c >> 8, t[((xor(c, x) & 255) + 1)::bigint]))) % 10000 bucket
+  from (select word from dw union select word from bw), crc),
+n as (
+  select bucket, sum(s)::bigint s, sum(t)::bigint t from (
+    select bucket, count(*) s, 0 t from dw join hashed using (word) group by 1
+    union all select bucket, 0, count(*) from bw join hashed using (word) group by 1) group by 1),
+gain as (
+  select bucket, floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000) / ((s + 1)::double * (sum(t) over () + 10000))))::bigint g from n),
+weighed as (select rid, sum(g)::bigint weight from dw join hashed using (word) join gain using (bucket) group by 1),
+scored as (
+  select rid, doc_id, len(w)::bigint n_features, coalesce(weight, 0)::bigint weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint score
+  from (select *, list_reduce(list_transform(range(1, 9), lambda j: (strpos('0123456789abcdef', substr(sha256('2024:' || coalesce(doc_id::varchar, '')), j, 1)) - 1)::bigint),
+    lambda a, x: 16 * a + x)::double h from d) left join weighed using (rid)),
+drawn as (
+  select rid, row_number() over (order by score desc, doc_id) r from scored where n_features >= 20)
+select doc_id, n_features, weight, score,
+  case when r <= (select count(*) * 10 // 100 from drawn) then r end::bigint as "rank"
+from scored left join drawn using (rid)
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_secret_scan": _OP11,
+    "op13_importance_resampling": _OP13,
     "op1_quality_rules": _OP1,
     "op5_warc": _OP5,
     "op7_decontamination": _OP7,
