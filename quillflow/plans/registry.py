@@ -431,10 +431,10 @@ def jsn_01_works(spark, sf_dir):
 
 _WORKS = (
     "select ref_id, a1 || ', ' || i1 || '.M., Perez, A.' autores, yr::int ano, 'Observations on the ' || seg || ' catch of stock ' || a1 || ' revisited' titulo_original, "
-    "'10.' || reg || case when ref_id % 3 = 0 then '/jms.' || yr || '.' || p1 else '/jms' || p2 end doi, "
+    f"{corpus.WORK_DOI} doi, "
     "case when ref_id % 4 = 0 then 'Journal of Marine Systems' end lugar_publicacion_entrega, 'Sea Press' publicista_editorial, "
     f"case when ref_id % 4 = 0 then '{P.ARTICLE}' else '{P.BOOK}' end tipo_documento, case when ref_id % 4 = 0 then 'Sí' end peer_reviewed, "
-    f"'On catches' resumen_abstract, 'fish, ' || seg keywords from pieces where {corpus.WORK_FILTER}"
+    f"'On catches' resumen_abstract, 'fish, ' || seg keywords from pieces"
 )
 _register(
     "jsn_01_works",
@@ -545,8 +545,8 @@ _register("rel_03_by_id", lambda s, d: relational.by_key(_store(s, d), "id", 77)
 _register("rel_06_largest", lambda s, d: relational.largest(_store(s, d)), _WITH + f"select max(numero_doc) numero_doc from {_STORE}")
 _register(
     "rel_07_numbers",
-    lambda s, d: relational.assign_numbers(corpus.pieces(s, d).select("ref_id"), _store(s, d).where("id < 1000"), ["ref_id"]),
-    _WITH + f"select ref_id, ((select max(numero_doc) from {_STORE} where id < 1000) + row_number() over (order by ref_id))::int numero_doc from pieces",
+    lambda s, d: relational.assign_numbers(corpus.pieces(s, d).select("ref_id"), _store(s, d), ["ref_id"]),
+    _WITH + f"select ref_id, ((select max(numero_doc) from {_STORE}) + row_number() over (order by ref_id))::int numero_doc from pieces",
 )
 _register("rel_08_count", lambda s, d: relational.count_rows(documents=_store(s, d)), _WITH + f"select 'documents' as name, count(*) n from {_STORE}")
 _register("rel_14_without_blank", lambda s, d: relational.without_blank(corpus.citations(s, d).select("ref_id", F.when(F.col("ref_id") % 2 == 0, " \n").otherwise(F.col("text")).alias("t")), "t"), _WITH + "select ref_id, t from cites where ref_id % 2 = 1")

@@ -45,8 +45,11 @@ ARTICLE = """
         when ref_id % 4 = 2 then 'A book of the publisher' else 'The journal of the region, Vol. 3' end
 || chr(10) || 'ISSN 0717-' || cast(1000 + ref_id % 9000 as varchar(4)) || case when ref_id % 3 = 0 then chr(10) || 'https://doi.org/10.' || reg || '/inv.' || p1 || '.mar' else '' end
 """
-#: External records exist for these citations.
+#: External records have the DOI of these citations; all others have one that no citation states.
 WORK_FILTER = "ref_id % 3 <> 2 and ref_id % 2 = 0"
+WORK_DOI = f"""
+'10.' || reg || case when not ({WORK_FILTER}) then '/other' || ref_id when ref_id % 3 = 0 then '/jms.' || yr || '.' || p1 else '/jms' || p2 end
+"""
 
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +80,9 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doi, record): external metadata as JSON for a part of the citations."""
-    p = pieces(spark, sf_dir).where(WORK_FILTER)
-    doi = F.expr("'10.' || reg || case when ref_id % 3 = 0 then '/jms.' || yr || '.' || p1 else '/jms' || p2 end")
+    """(ref_id, doi, record): external metadata as JSON, one for each citation."""
+    p = pieces(spark, sf_dir)
+    doi = F.expr(WORK_DOI)
     part = F.array(F.array(F.col("yr").cast("int")))
     record = F.to_json(
         F.struct(
