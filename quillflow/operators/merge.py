@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize, predicates, rx
+from ..sources import layouts
 
 PRIORITY = [
     "doi",
@@ -82,7 +83,7 @@ def with_work(records: DataFrame, works: DataFrame, by_title: bool = True, name:
 
     ``works`` has the columns of ``works.mapped``. DOI first; records without a hit look up
     their title (over 10 characters). Of several works with one key that with the smallest
-    DOI is taken. Works are made one per key before the joins, so no join multiplies records,
+    DOI, then title, is taken. Works are made one per key before the joins, so no join multiplies records,
     and records without a key don't take part in it.
     """
     work = F.struct(*[F.col(c) for c in works.columns])
@@ -90,7 +91,7 @@ def with_work(records: DataFrame, works: DataFrame, by_title: bool = True, name:
 
     def one_per(key: str) -> DataFrame:
         return keyed.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{name} {key}")).agg(
-            F.min_by(name, F.coalesce("k", F.lit(""))).alias(f"{name} by {key}")
+            F.min_by(name, F.struct(F.coalesce(F.col(f"{name}.doi"), F.lit("")), f"{name}.titulo_original")).alias(f"{name} by {key}")
         )
 
     found = records.join(one_per("k"), doi_key(F.col("doi")) == F.col(f"{name} k"), "left")
@@ -103,6 +104,20 @@ def with_work(records: DataFrame, works: DataFrame, by_title: bool = True, name:
     return found.select(*records.columns, chosen.alias(name))
 
 
+def store_works(works: DataFrame, table: str, buckets: int = 64) -> None:
+    """External works (``works.mapped``) as a table in buckets of their DOI key, one per key, the
+    one with the smallest DOI; those without DOI go."""
+    layouts.write_bucketed(works.withColumn("doi_key", doi_key(F.col("doi"))), table, "doi_key", buckets, least="doi")
+
+
+def with_stored_work(records: DataFrame, table: str, name: str = "work") -> DataFrame:
+    """As ``with_work`` by DOI alone, from a table of ``store_works``: no work is shuffled."""
+    found = layouts.with_stored(records, table, "doi_key", doi_key(F.col("doi")), "stored work")
+    kept = [c for c in records.sparkSession.table(table).columns if c != "doi_key"]
+    row = F.struct(*[F.col(f"`stored work`.`{c}`").alias(c) for c in kept])
+    return found.withColumn(name, F.when(F.col("stored work").isNotNull(), row)).drop("stored work")
+
+
 def _field(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("int" if name == "ano" else "string")
 
