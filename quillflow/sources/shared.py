@@ -106,7 +106,13 @@ def written(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables beyond this are never dealt anew: their scan is cut by ``maxPartitionBytes`` alone.
+SPREAD_BYTES = 4 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A table's scan, dealt to all cores where its files fill fewer partitions than those."""
+    """A small table's scan, dealt to all cores where its files fill fewer partitions than those."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() > SPREAD_BYTES:
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
