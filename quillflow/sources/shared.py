@@ -113,6 +113,6 @@ SPREAD_BYTES = 4 << 30
 def spread(df: DataFrame) -> DataFrame:
     """A small table's scan, dealt to all cores where its files fill fewer partitions than those."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() > SPREAD_BYTES:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
         return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
