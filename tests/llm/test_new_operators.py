@@ -340,3 +340,31 @@ def test_new_digests_are_stated_ones(spark, tmp_path):
     out = queries.op13_importance_resampling(spark, str(tmp_path))
     assert out.columns == ["doc_id", "n_features", "weight", "score", "rank"]
     assert [kind for name, kind in out.dtypes if name != "doc_id"] == ["bigint"] * 4
+
+
+# --- quality rules over a table on which they act --------------------------------------------------
+
+
+def test_depleted_documents_of_sql(spark, tmp_path):
+    """The registered SQL and the query over hosts whose frames are most of their documents."""
+    import duckdb
+
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    frame, passage = "Site menu 12 home about contact press jobs help terms more of it all", words(40)
+    rows = [(i, f"{frame}\n{words(8)}", "thin") for i in range(60)]  # 8 words are left of 22
+    rows += [(100 + i, f"{frame.upper()}\n{words(30)}", "full") for i in range(60)]
+    rows += [(200 + i, f"{frame}\n{words(8)}", "few") for i in range(20)]
+    rows += [(300 + i, f"{passage}\n{words(25)}", "passages") for i in range(4)] + [(310 + i, rows[0][1], "thin") for i in range(60)]
+    rows += [(400, None, "thin"), (401, f"{frame}\n{words(8)}", None), (402, "", None), (403, f"{frame} {words(9)}", "thin")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_quality_rules(spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.sql(queries.ORACLES["op1_quality_rules"])
+    found = got.collect()
+    assert Counter(map(tuple, found)) == Counter(want.select(*got.columns).fetchall())
+    kept = {r["doc_id"]: r["kept"] for r in found}
+    assert not any(kept[i] for i in range(60)) and not any(r["base_failed"] for r in found if r["doc_id"] < 60)
+    assert all(kept[i] for i in range(100, 160)) and all(kept[i] for i in range(200, 220)) and all(kept[300 + i] for i in range(4))
