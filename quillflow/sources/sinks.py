@@ -1,22 +1,23 @@
 """Where tables go: the store, exports, inboxes.
 
-Exports are Spark writes, one part for each partition. A single file with a byte order mark or
-a spreadsheet is for small selections: those writers check the row count first.
+Exports are Spark writes, one part for each partition. A single CSV or JSON file is put together
+from such parts; a spreadsheet, whose format holds few rows, is written by the driver.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize
 from ..operators.relational import aligned, export_frame
 from .schema import DOCUMENT, NARROW
+from .shared import new_path
 
 BOM = "﻿"
-MOST_ROWS = 1_000_000
 
 
 def append(df: DataFrame, path: str, narrow: bool = False) -> None:
@@ -46,26 +47,66 @@ def _checked(df: DataFrame, most: int) -> DataFrame:
     return df
 
 
-def csv_file(df: DataFrame, file: str, most: int = MOST_ROWS) -> None:
-    """One CSV file with a byte order mark, row by row through the driver."""
-    import csv
+def _assembled(parts: DataFrame, file: str, head: str, between: str, tail: str) -> None:
+    """One file of the lines of ``parts`` in order, with ``between`` between them.
+
+    Lines are written in parallel by Spark, one part for each sorted range, and the parts' bytes
+    are then copied one behind the other under a temporary name, which is renamed last: the
+    driver's JVM holds one buffer, and no row leaves the executors.
+    """
+    spark = parts.sparkSession
+    folder = new_path(spark, "export")
+    parts.write.option("lineSep", between).text(folder)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    path, temporary = hadoop.fs.Path(file), hadoop.fs.Path(f"{file}.{uuid.uuid4().hex}")
+    source, target = hadoop.fs.Path(folder), path.getFileSystem(conf)
+    fs = source.getFileSystem(conf)
+    found = [f for f in fs.listStatus(source) if f.getPath().getName().startswith("part-") and f.getLen() > 0]
+    found = sorted(found, key=lambda f: f.getPath().getName())
+    out = target.create(temporary, True)
+    try:
+        out.write(bytearray(head.encode()))
+        for i, f in enumerate(found):
+            ends = len(between.encode()) if i == len(found) - 1 else 0  # none behind the last line
+            copied = fs.open(f.getPath())
+            try:
+                part = spark._jvm.org.apache.commons.io.input.BoundedInputStream(copied, f.getLen() - ends)
+                hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+            finally:
+                copied.close()
+        out.write(bytearray((tail if found or tail != between else "").encode()))
+    finally:
+        out.close()
+    target.delete(path, False)
+    target.rename(temporary, path)
+    fs.delete(source, True)
+
+
+def _csv_cell(c: Column) -> Column:
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike('[",\r\n]'), quoted).otherwise(text)
+
+
+def csv_file(df: DataFrame, file: str) -> None:
+    """One CSV file of any size in the documents' order, with headings and a byte order mark."""
+    frame = export_frame(df)
+    head = ",".join(f'"{n}"' if "," in n else n for n in frame.columns)
+    lines = frame.select(F.concat_ws(",", *[_csv_cell(F.col(f"`{c}`")) for c in frame.columns]).alias("value"))
+    _assembled(lines, file, f"{BOM}{head}\n", "\n", "\n")
 
-    frame = _checked(export_frame(df), most)
-    with open(file, "w", encoding="utf-8", newline="") as out:
-        out.write(BOM)
-        writer = csv.writer(out, lineterminator="\n")
-        writer.writerow(frame.columns)
-        writer.writerows(["" if v is None else v for v in r] for r in frame.toLocalIterator())
 
+def json_file(df: DataFrame, file: str) -> None:
+    """One JSON array of any size in the documents' order, indented by two."""
+    rows = aligned(df).orderBy("numero_doc")
+
+    def entry(c: str) -> Column:
+        one = F.to_json(F.struct(F.col(f"`{c}`")), {"ignoreNullFields": "false"})
+        key = len(json.dumps(c, ensure_ascii=False)) + 2  # the brace, the key and the colon
+        return F.concat(F.lit(f"\n    {json.dumps(c, ensure_ascii=False)}: "), F.substr(one, F.lit(key + 1), F.length(one) - key - 1))
 
-def json_file(df: DataFrame, file: str, most: int = MOST_ROWS) -> None:
-    """One JSON array, indented by two, row by row through the driver."""
-    with open(file, "w", encoding="utf-8") as out:
-        out.write("[")
-        for i, r in enumerate(_checked(json_objects(df), most).toLocalIterator()):
-            body = json.dumps(json.loads(r["value"]), ensure_ascii=False, indent=2)
-            out.write(("," if i else "") + "\n  " + body.replace("\n", "\n  "))
-        out.write("\n]")
+    body = F.concat(F.lit("\n  {"), F.concat_ws(",", *[entry(c) for c in rows.columns]), F.lit("\n  }"))
+    _assembled(rows.select(body.alias("value")), file, "[", ",", "\n]")
 
 
 def sheet_frame(df: DataFrame) -> DataFrame:
