@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize, predicates, rx
 from ..sources import layouts
+from ..sources.shared import written
+from . import search
 
 PRIORITY = [
     "doi",
@@ -78,11 +80,12 @@ def year_rule(parsed: Column, external: Column) -> Column:
     return F.when(external.isNotNull() & near, external).otherwise(parsed)
 
 
-def with_work(records: DataFrame, works: DataFrame, by_title: bool = True, name: str = "work") -> DataFrame:
+def with_work(records: DataFrame, works: DataFrame, by_title: bool | str = True, name: str = "work") -> DataFrame:
     """``records`` with a struct ``work`` of the external record, null where none is found.
 
     ``works`` has the columns of ``works.mapped``. DOI first; records without a hit look up
-    their title (over 10 characters). Of several works with one key that with the smallest
+    their title (over 10 characters) by equal keys, or with ``by_title="search"`` by the best
+    work for their title and authors. Of several works with one key that with the smallest
     DOI, then title, is taken. Works are made one per key before the joins, so no join multiplies records,
     and records without a key don't take part in it.
     """
@@ -95,8 +98,17 @@ def with_work(records: DataFrame, works: DataFrame, by_title: bool = True, name:
         )
 
     found = records.join(one_per("k"), doi_key(F.col("doi")) == F.col(f"{name} k"), "left")
-    if by_title:
-        missing = F.col(f"{name} by k").isNull() & (F.length("titulo_original") > 10)
+    missing = F.col(f"{name} by k").isNull() & (F.length("titulo_original") > 10)
+    if by_title == "search":
+        authors = F.col("autores") if "autores" in records.columns else F.lit(None).cast("string")
+        terms = F.when(missing, search.terms_of(F.col("titulo_original"), authors))
+        found = written(found.withColumn(f"{name} terms", terms), "search-records")
+        best = search.best_works(found.select(F.col(f"{name} terms").alias("terms")), works)
+        best = best.select(F.col("terms").alias(f"{name} terms"), doi_key(F.col("work_doi")).alias(f"{name} t"))
+        by_best = one_per("k").toDF(f"{name} t", f"{name} by t")
+        found = found.join(best.join(by_best, f"{name} t"), f"{name} terms", "left")
+        chosen = F.coalesce(F.col(f"{name} by k"), F.col(f"{name} by t"))
+    elif by_title:
         found = found.join(one_per("t"), F.when(missing, title_key(F.col("titulo_original"))) == F.col(f"{name} t"), "left")
         chosen = F.coalesce(F.col(f"{name} by k"), F.col(f"{name} by t"))
     else:

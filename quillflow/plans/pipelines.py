@@ -20,8 +20,8 @@ def map_works(records: DataFrame, column: str = "record") -> DataFrame:
     return records.select(works.mapped(F.col(column)).alias("w")).select("w.*")
 
 
-def enrich(parsed: DataFrame, mapped: DataFrame, policy: str = "reference", by_title: bool = True, compat: bool = True) -> DataFrame:
-    """Parsed records with their works merged by a policy."""
+def enrich(parsed: DataFrame, mapped: DataFrame, policy: str = "reference", by_title: bool | str = True, compat: bool = True) -> DataFrame:
+    """Parsed records with their works merged by a policy; ``by_title`` as in ``merge.with_work``."""
     policies = {
         "reference": merge.merge_reference,
         "pdf_reference": merge.merge_pdf_reference,

@@ -85,6 +85,19 @@ def job_status(jobs: DataFrame, documents: DataFrame | None = None) -> DataFrame
     return out.join(docs, F.col("document_id") == F.col("__n"), "left").drop("__n")
 
 
+def job_documents_stream(events: DataFrame, documents: DataFrame, delay: str = "1 hour", within: str = "1 day") -> DataFrame:
+    """Each event that names a document, with the document, as both arrive (output mode append).
+
+    Both streams have an ``event_time`` and are late by ``delay`` at most. A document counts if it
+    comes within ``within`` of its event, before or after; an event whose document does not comes
+    without one once the watermark is past that, and rows later than the watermark are left out.
+    """
+    own = events.where("document_id is not null").withWatermark("event_time", delay).alias("e")
+    docs = documents.select(*[F.col(f"`{c}`").alias("doc_time" if c == "event_time" else c) for c in documents.columns]).withWatermark("doc_time", delay).alias("d")
+    near = F.expr(f"e.document_id = d.numero_doc and d.doc_time between e.event_time - interval {within} and e.event_time + interval {within}")
+    return own.join(docs, near, "leftOuter")
+
+
 def job_stream(events: DataFrame) -> DataFrame:
     """The same states from a stream of events, one row for each job that a micro-batch changes
     (output mode update); ``keyed.job_states`` says which events are late and when state ends."""

@@ -112,3 +112,35 @@ def test_leases(spark, tmp_path, restart):
         query.stop()
     assert query.exception() is None
     assert sorted((r["job_id"], r["attempt"]) for r in read(spark, paths["out"])) == [("good", 1), ("third", 1)]
+
+
+def test_documents_live(spark, tmp_path):
+    """Events and documents as two streams give the batch view once the watermark has passed."""
+    docs = "numero_doc int, autores string, event_time timestamp"
+    event = lambda job, s, doc: (job, at(s), "completed", None, None, doc)
+    paths = str(tmp_path / "events"), str(tmp_path / "docs")
+
+    def put(rows, schema, path):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(path)
+
+    put([event("a", 0, 1), event("b", 5, 2), event("c", 9, 3), event("d", 9, None)], SCHEMA, paths[0])
+    put([(2, "early", at(1)), (9, "nobody's", at(2))], docs, paths[1])
+    events, documents = (spark.readStream.schema(s).json(p) for s, p in zip((SCHEMA, docs), paths))
+    joined = jobs.job_documents_stream(events, documents, "10 seconds", "1 minute").select("job_id", "autores")
+
+    def step():
+        query = joined.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination(240)
+        assert query.exception() is None
+        return sorted((r["job_id"], r["autores"]) for r in spark.read.schema("job_id string, autores string").parquet(str(tmp_path / "out")).collect())
+
+    assert step() == [("b", "early")]
+    put([(1, "after", at(30))], docs, paths[1])
+    assert step() == [("a", "after"), ("b", "early")]
+    put([event("z", 1000, 77)], SCHEMA, paths[0])
+    put([(88, "far", at(1000))], docs, paths[1])
+    step()
+    put([event("y", 2000, 78)], SCHEMA, paths[0])
+    put([(89, "far", at(2000))], docs, paths[1])
+    final = step()
+    assert [r for r in final if r[0] < "x"] == [("a", "after"), ("b", "early"), ("c", None)]

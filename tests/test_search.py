@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from quillflow.operators import search
+from quillflow.operators import merge, search
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau ñandú 漢字".split()
 
@@ -54,3 +54,14 @@ def test_search(spark, hot, percent):
     assert search.search_works(df.limit(0), held).count() == 0
     alone = search.search_works(df.drop("autores"), held, percent, hot).where("ref_id = 300").collect()[0]
     assert alone["work_doi"] == "10.1/000"
+
+
+def test_works_by_search(spark):
+    """Records without a DOI's work find theirs by a title that is cut, misspelt or reordered."""
+    works = [(f"10.1/W{i}", f"Notes on the {a} of {b} in cold waters", "Perez, J.", "P") for i, (a, b) in enumerate(zip(WORDS[:8], WORDS[8:16]))]
+    held = spark.createDataFrame(works, "doi string, titulo_original string, autores string, publicista_editorial string")
+    rows = [(1, "10.1/w3", "Something else entirely"), (2, None, "NOTES ON THE ALPHA OF IOTA"), (3, "10.9/none", "Cold waters: notes on beta, of kapppa"), (4, None, "gamma"), (5, None, None)]
+    records = spark.createDataFrame(rows, "ref_id long, doi string, titulo_original string")
+    got = {r["ref_id"]: r["work"] and r["work"]["doi"] for r in merge.with_work(records, held, "search").collect()}
+    assert got == {1: "10.1/W3", 2: "10.1/W0", 3: "10.1/W1", 4: None, 5: None}
+    assert {r["work"] and r["work"]["doi"] for r in merge.with_work(records, held).collect()} == {"10.1/W3", None}
