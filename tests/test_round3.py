@@ -17,3 +17,34 @@ def test_first_of_works_with_one_doi(spark):
     assert {r.ref_id: r.work and r.work.titulo_original for r in found.collect()} == {1: "Zulu", 2: "Other", 3: None}
     plain = merge.with_work(records, works.drop("place"), by_title=False).where(F.col("ref_id") == 1).first()
     assert plain.work.titulo_original == "Alpha"
+
+
+def _struct(authors: int, pages: int) -> str:
+    people = "".join(f"<author><persName><forename>{'F' * k}</forename><surname>Name{k}</surname></persName></author>" for k in range(authors))
+    scopes = "".join(f'<biblScope unit="page">{k}</biblScope>' for k in range(pages))
+    return (
+        f'<biblStruct><analytic><title level="m">No</title><title level="a"> On <i>x</i></title>{people}<author>none</author></analytic>'
+        f'<monogr><title/><title level="j"/><imprint><date>2001 AD</date>{scopes}<biblScope unit="volume"> 7 </biblScope></imprint></monogr></biblStruct>'
+    )
+
+
+def test_references_with_few_and_many_authors(spark):
+    """Up to a few authors and one page scope come with the other paths, more by calls of their own."""
+    from quillflow.functions import tei
+
+    for authors, pages in ((0, 0), (1, 1), (2, 2), (3, 3), (4, 1), (9, 6)):
+        df = spark.createDataFrame([(_struct(authors, pages) + "<bibl>a &amp; b</bibl><bibl> plain </bibl><bibl n='1'>c</bibl>",)], "x string")
+        refs = df.select(tei.references(F.col("x")).alias("r")).first().r
+        names = ", ".join(f"Name{k}, {'F' * k}" if k else "Name0" for k in range(authors)) or None
+        first = refs[0]
+        assert (first.authors, first.year, first.title, first.journal, first.volume) == (names, 2001, "On", None, "7")
+        assert first.pages == ("-".join(str(k) for k in range(pages)) or None)
+        assert [r.raw_text for r in refs[1:]] == ["a & b", "plain", "c"]
+
+
+def test_xml_is_read_in_few_passes(spark):
+    """The plan of a reference list parses an element for all fields together, not for each."""
+    from quillflow.functions import tei
+
+    df = spark.createDataFrame([("",)], "x string").select(tei.good_quality(tei.references(F.col("x"))))
+    assert df._jdf.queryExecution().analyzed().toString().count("xpath_") < 12
