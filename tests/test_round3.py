@@ -48,3 +48,14 @@ def test_xml_is_read_in_few_passes(spark):
 
     df = spark.createDataFrame([("",)], "x string").select(tei.good_quality(tei.references(F.col("x"))))
     assert df._jdf.queryExecution().analyzed().toString().count("xpath_") < 12
+
+
+def test_questions_are_not_broadcast(spark):
+    """Questions repeated for each part of a list, and their best works, never go through the driver."""
+    from quillflow.operators import search
+
+    works = spark.createDataFrame([("10.1/a", "The red catch", "Perez, A."), ("10.1/b", "The blue stock", "Diaz, B.")], "doi string, titulo_original string, autores string")
+    records = spark.createDataFrame([(1, "Red catch", "Perez"), (2, "Stock blue", None)], "id int, titulo_original string, autores string")
+    found = search.search_works(records, works, hot=1)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.work_doi for r in found.collect()} == {1: "10.1/a", 2: "10.1/b"}
