@@ -59,3 +59,22 @@ def test_questions_are_not_broadcast(spark):
     found = search.search_works(records, works, hot=1)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.id: r.work_doi for r in found.collect()} == {1: "10.1/a", 2: "10.1/b"}
+
+
+def test_shares_follow_the_size_of_the_source(spark, tmp_path):
+    """A table's derived rows are dealt to as many tasks as its files call for, not left to a join."""
+    from quillflow.sources import corpus, shared
+
+    orders = spark.range(3000).selectExpr("id as o_orderkey", "id % 50 as o_custkey", "timestamp'2001-02-03 04:05:06' as o_orderdate")
+    customer = spark.range(50).selectExpr("id as c_custkey", "cast(id % 25 as int) as c_nationkey", "'BUILDING' as c_mktsegment")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    customer.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    size = sum(f.stat().st_size for f in (tmp_path / "orders.parquet").glob("*.parquet"))
+    before, shared.SHARE_BYTES = shared.SHARE_BYTES, max(1, size // 20)
+    try:
+        dealt = corpus.pieces(spark, str(tmp_path))
+        assert dealt.rdd.getNumPartitions() >= 20
+        counts = [len(p) for p in dealt.select("ref_id").rdd.glom().collect()]
+        assert sum(counts) == 3000 and max(counts) <= 300
+    finally:
+        shared.SHARE_BYTES = before
