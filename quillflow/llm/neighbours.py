@@ -1,6 +1,6 @@
 """Linked pairs within shards, found without ever gathering an unbounded shard in one task.
 
-Members are rows (key, item, weight): items that share a key have to be compared. Shards of one
+Members are rows (key, item, weight): items (longs or binaries) that share a key have to be compared. Shards of one
 item are dropped, and of shards that hold the same items one stays. A shard of at most ``limit`` weight goes to a task whole. A larger one is dealt
 to subshards; its vantage item (the least one) visits each of them, so that what lies in the
 vantage's ball is joined over all subshards. What is then not in the shard's largest component
@@ -24,7 +24,6 @@ from .components import connected_components
 #: Of one task's items, payloads, initial labels and left side (at least one end of a pair is
 #: left): the positions of the ends of a forest's edges.
 Search = Callable[[np.ndarray, list, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-EDGES = "a long, b long"
 
 
 def sizes_of(members: DataFrame) -> DataFrame:
@@ -40,15 +39,17 @@ def _searched(shards: DataFrame, payload: DataFrame | None, search: Search) -> D
     else:
         shards = shards.join(payload.hint("merge"), "item")
     ship(shards.sparkSession)
+    kind = shards.schema["item"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             whole = pa.Table.from_batches(parts).combine_chunks()
             items = whole.column("item").to_numpy()
-            _, labels = np.unique(whole.column("component").to_numpy(), return_inverse=True)
+            labels = pa.concat_arrays(whole.column("component").chunks).dictionary_encode().indices.to_numpy()
             left = whole.column("is_left").to_numpy(zero_copy_only=False)
             a, b = search(items, whole.column("payload").to_pylist(), labels, left)
-            return pa.RecordBatch.from_arrays([pa.array(items[a]), pa.array(items[b])], ["a", "b"])
+            ends = [pa.array(items[e], whole.schema.field("item").type) for e in (a, b)]
+            return pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
         held: list[pa.RecordBatch] = []
         current = None
@@ -71,7 +72,7 @@ def _searched(shards: DataFrame, payload: DataFrame | None, search: Search) -> D
         shards.select("key", "i", "j", "item", "component", "is_left", "payload")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j", "item")
-        .mapInArrow(run, EDGES)
+        .mapInArrow(run, f"a {kind}, b {kind}")
     )
 
 
@@ -79,6 +80,13 @@ def _part(parts, salt: int):
     return F.pmod(F.xxhash64(F.lit(salt), "item"), parts)
 
 
+def plain_forest(members: DataFrame, search: Search) -> DataFrame:
+    """``forest`` for members whose shards are all known to be small; nothing is written but the edges."""
+    zero = F.lit(0).cast("long")
+    shards = members.select("key", zero.alias("i"), zero.alias("j"), "item", F.col("item").alias("component"), F.lit(True).alias("is_left"))
+    return written(_searched(shards, None, search), "shard-edges")
+
+
 def forest(members: DataFrame, search: Search, limit: int, payload: DataFrame | None = None) -> DataFrame:
     """(a, b): a forest that joins just the items that pairs within a shard join.
 

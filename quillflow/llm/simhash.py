@@ -15,13 +15,18 @@ vantage point is a fingerprint of the shard and whose radius is the median dista
 fingerprints within ``max_bits`` of the boundary are compared across it, pairs that the bounds
 rule out are not. Equal fingerprints are one from the start.
 
-For a similarity of shingle sets (``similar_documents``) no radius is both wide enough and
-selective: at 0.8 some 10 of 64 bits differ, often 15. There shards are keyed by least shingle
-hashes, fingerprints only rule out pairs, and links are exact comparisons of the sets.
+For a similarity of shingle sets (``similar_documents``) the same trees stand over wider
+fingerprints, WIDTH bits over the different shingles, so that a repeated phrase does not move
+them. At 0.8 some 39 of 256 bits differ, of unlike texts 128: RADIUS lies between. No set of
+blocks is untouched for sure then, so there are as many trees (each with other bits) as leave
+a pair of that similarity apart in all of them with probability MISS at most; up to FILL
+fingerprints one tree holds all. What the trees link is a candidate, and links are exact
+comparisons of the sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import repeat
@@ -35,10 +40,11 @@ from pyspark.sql import types as T
 
 from .common import free_name, mapped, scratch, ship, written
 from .components import connected_components
-from .neighbours import forest, sizes_of
+from .neighbours import forest, plain_forest, sizes_of
 
 SEED = 42
 LEAF = 256  # fingerprints compared all with all
+AT_ONCE = 1 << 16  # distances computed at a time
 SHARD = 8192  # fingerprints in one task's shard
 #: For each byte: its bits in eight lanes of a 64-bit word.
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
@@ -79,14 +85,20 @@ class Forest:
             self.label[self.label == max(a, b)] = min(a, b)
             self.found.append((i, j))
 
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.points[left] ^ self.points[right])
+
     def compare(self, left: np.ndarray, right: np.ndarray) -> None:
         """All of left with all of right, in blocks; only pairs not yet joined matter."""
-        for lo in range(0, len(left), LEAF):
-            part = left[lo : lo + LEAF]
-            near = np.bitwise_count(self.points[part, None] ^ self.points[None, right]) <= self.radius
-            while (open_ := near & (self.label[part][:, None] != self.label[right][None, :])).any():
-                i, j = divmod(int(open_.argmax()), len(right))
-                self.link(part[i], right[j])
+        step = max(1, min(LEAF, AT_ONCE // max(1, len(right))))
+        for lo in range(0, len(left), step):
+            part = left[lo : lo + step]
+            near = self.apart(part[:, None], right[None, :]) <= self.radius
+            near &= self.label[part][:, None] != self.label[right][None, :]
+            for k in np.flatnonzero(near.any(1)):
+                other = right[near[k]]
+                while len(other := other[self.label[other] != self.label[part[k]]]):
+                    self.link(part[k], other[0])
 
     def grow(self, idx: np.ndarray) -> None:
         """Links all pairs among ``idx`` by a vantage-point tree."""
@@ -96,7 +108,7 @@ class Forest:
             if len(idx) <= LEAF:
                 self.compare(idx, idx)
                 continue
-            distance = np.bitwise_count(self.points[idx] ^ self.points[idx[0]]).astype(np.int64)
+            distance = self.apart(idx, idx[0]).astype(np.int64)
             for i in idx[distance <= self.radius]:
                 self.link(i, idx[0])
             limit = int(np.median(distance))
@@ -114,9 +126,10 @@ class Forest:
         """Pairs across a boundary, pruned once more from a vantage point of the left side."""
         if len(left) <= LEAF or len(right) <= LEAF:
             return self.compare(left, right)
-        vantage = self.points[left[0]]
-        d1 = np.bitwise_count(self.points[left] ^ vantage).astype(np.int64)
-        d2 = np.bitwise_count(self.points[right] ^ vantage).astype(np.int64)
+        d1 = self.apart(left, left[0]).astype(np.int64)
+        d2 = self.apart(right, left[0]).astype(np.int64)
+        if max(d1.max() - d2.min(), d2.max() - d1.min()) <= self.radius:  # no ring rules any out
+            return self.compare(left, right)
         for ring in np.unique(d1):
             self.compare(left[d1 == ring], right[np.abs(d2 - ring) <= self.radius])
 
@@ -126,8 +139,27 @@ class Forest:
         return ends[:, 0], ends[:, 1]
 
 
+class WideForest(Forest):
+    """As ``Forest``, over fingerprints of several 64-bit words (a row each)."""
+
+    def __init__(self, points: np.ndarray, radius: int, label: np.ndarray | None = None):
+        super().__init__(points, radius, label)
+        self.lanes = np.ascontiguousarray(points.T)
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        *most, last = (np.bitwise_count(lane[left] ^ lane[right]) for lane in self.lanes)
+        return np.add(sum(most[1:], most[0]), last, dtype=np.uint16)  # three words fit in a byte
+
+
 def _bit_search(radius: int, items: np.ndarray, payloads: list, labels: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    points = Forest(items.view(np.uint64), radius, labels)
+    return _grown(Forest(items.view(np.uint64), radius, labels), items, left)
+
+
+def _print_search(radius: int, items: np.ndarray, payloads: list, labels: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _grown(WideForest(_words(items), radius, labels), items, left)
+
+
+def _grown(points: Forest, items: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if left.all():
         points.grow(np.arange(len(items)))
     else:
@@ -231,10 +263,15 @@ def _named(docs: DataFrame, keep: list[str], rows: DataFrame, names: list[str])
 
 # --- similarity of shingle sets ------------------------------------------------------------------
 
-BANDS, ROWS = 16, 5  # a pair of similarity 0.8 shares a band with probability 0.998
+WIDTH = 256  # bits of a fingerprint of a set
+#: At similarity 0.8 a bit differs with probability 0.1611 at most (14 shingles), for sets of
+#: TINY shingles or fewer 0.1875 (5 and 4 of them); RADIUS is 4.5 deviations above the latter.
+DIFFER, DIFFER_TINY, TINY, RADIUS = 0.1611, 0.1875, 5, 76
+MISS = 0.002  # probability that a pair of similarity 0.8 shares no path of any tree
+FILL = 4096  # most fingerprints, on average, below one path
+PRINTS = 16384  # fingerprints in one task's shard
 WEIGHT = 1_000_000  # shingles of one task's shard
-_SEEDS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
-_CHUNK = 8192  # shingles hashed anew at a time
+_SEEDS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, WIDTH // 64), np.uint64)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -255,20 +292,26 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def bands_of(distinct: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band: the least of ROWS permutations of the shingle hashes."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(distinct), _CHUNK):
-        mixed = (distinct[None, lo : lo + _CHUNK] ^ _SEEDS[0]) * (_SEEDS[1] | np.uint64(1))
-        mixed ^= mixed >> np.uint64(32)
-        least = np.minimum(least, mixed.min(1))
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64)
+def wide_print(distinct: np.ndarray) -> bytes:
+    """SimHash of WIDTH bits of different shingle hashes, each mixed anew for every 64 bits."""
+    mixed = (distinct[:, None] ^ _SEEDS[0]) * (_SEEDS[1] | np.uint64(1))
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    lanes = _LANES[mixed.view(np.uint8)]
+    counts = np.zeros(WIDTH, np.int64)
+    for lo in range(0, len(lanes), 255):
+        counts += lanes[lo : lo + 255].sum(0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(2 * counts > len(distinct), bitorder="little").tobytes()
+
+
+def _words(prints: np.ndarray | list) -> np.ndarray:
+    return np.frombuffer(b"".join(prints), "<u8").reshape(-1, WIDTH // 64)
 
 
 def with_shingle_sets(keyed: DataFrame, words: int) -> DataFrame:
-    """id, kept_columns and class (hash of the set of shingles), fp, n (its size), bands and
-    payload (the shingles' different low 32 bits) of each row of (id, kept_columns, t)."""
+    """id, kept_columns and class (hash of the set of shingles), print (its fingerprint), n (its
+    size) and payload (the shingles' different low 32 bits) of each row of (id, kept_columns, t)."""
     ship(keyed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,25 +320,79 @@ def with_shingle_sets(keyed: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(lo, 512)
                 out: list[tuple] = []
                 for t in part.column(2).to_pylist():
-                    h = shingle_hashes(t, words)
-                    s = np.unique(h)
+                    s = np.unique(shingle_hashes(t, words))
                     label = np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)
-                    fp = np.uint64(majority(h) if len(h) else 0)
                     short = np.unique(s.astype("<u4"))
-                    out.append((label, fp.view(np.int64), len(short), bands_of(s).view(np.int64), short.tobytes()))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                    out.append((label, wide_print(s), len(short), short.tobytes()))
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
                 made = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *made], [*part.schema.names[:2], *names])
 
-    names = ["class", "fp", "n", "bands", "payload"]
-    schema = keyed.select("id", "kept_columns").schema.add("class", "long").add("fp", "long").add("n", "long")
-    return keyed.mapInArrow(run, schema.add("bands", T.ArrayType(T.LongType())).add("payload", "binary"))
+    names = ["class", "print", "n", "payload"]
+    schema = keyed.select("id", "kept_columns").schema.add("class", "long").add("print", "binary")
+    return keyed.mapInArrow(run, schema.add("n", "long").add("payload", "binary"))
+
+
+def n_trees(bits: int, differ: float) -> int:
+    """Trees with paths of ``bits`` bits that leave MISS of the pairs whose bits differ so apart."""
+    if not bits:
+        return 1
+    d = range(WIDTH - bits + 1)
+    chance = np.array([math.comb(WIDTH, k) * differ**k * (1 - differ) ** (WIDTH - k) for k in d])
+    apart = 1 - np.array([math.comb(WIDTH - k, bits) / math.comb(WIDTH, bits) for k in d])
+    n = 1
+    while (chance * apart**n).sum() > MISS:
+        n += 1
+    return n
+
+
+def tree_blocks(n: int, fill: int = FILL) -> tuple[np.ndarray, int]:
+    """The bits on which each tree for ``n`` fingerprints branches, and how many trees are for
+    all sets (the others are for tiny ones)."""
+    bits = max(0, math.ceil(math.log2(max(n, 1) / fill)))
+    trees, rng, blocks = n_trees(bits, DIFFER_TINY), np.random.default_rng(SEED), []
+    while len(blocks) < trees:
+        order = rng.permutation(WIDTH)
+        blocks += [order[k * bits : (k + 1) * bits] for k in range(WIDTH // bits if bits else 1)]
+    return np.array(blocks[:trees], np.int64).reshape(trees, bits), n_trees(bits, DIFFER)
+
+
+def _paths(prints: DataFrame, blocks: np.ndarray, common: int) -> DataFrame:
+    """The rows once for each of their trees, with ``path`` (of the tree and its bits) in front."""
+    ship(prints.sparkSession)
+    at_print, at_tiny = prints.columns.index("print"), prints.columns.index("tiny")
+    powers = 1 << np.arange(blocks.shape[1], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tiny = batch.column(at_tiny)
+            bits = np.unpackbits(_words(batch.column(at_print).to_pylist()).view(np.uint8), axis=1, bitorder="little")
+            for k, block in enumerate(blocks):
+                path = pa.array(k + len(blocks) * (bits[:, block] @ powers))
+                out = pa.RecordBatch.from_arrays([path, *batch.columns], ["path", *batch.schema.names])
+                yield out if k < common else out.filter(tiny)
+
+    return prints.mapInArrow(run, T.StructType([T.StructField("path", T.LongType()), *prints.schema.fields]))
+
+
+def candidates(prints: DataFrame, blocks: np.ndarray, common: int, limit: int = PRINTS) -> DataFrame:
+    """(a, b): a forest that joins the fingerprints (print, tiny) that pairs within RADIUS below
+    one path of one of the trees join."""
+    rows = _paths(prints, blocks, common)
+    members = rows.select(F.col("path").alias("key"), F.col("print").alias("item"), F.lit(1).cast("long").alias("weight"))
+    search = partial(_print_search, RADIUS)
+    large = written(members.groupBy("key").count().where(F.col("count") > limit).select("key"), "simhash-large")
+    if not large.limit(1).count():
+        return plain_forest(members, search)
+    small = plain_forest(members.join(large, "key", "left_anti"), search)
+    return small.unionByName(forest(members.join(large, "key", "left_semi"), search, limit))
 
 
 def _set_search(similarity: float, items: np.ndarray, payloads: list, labels: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of at least the similarity: those that share one of the rarest shingles that such
-    a pair must share and fit in size, and whose sets then are that alike. Fingerprints rule none
-    out: they count repeats, so one repeated phrase moves them far while the sets stay alike."""
+    a pair must share and fit in size, and whose sets then are that alike."""
     sets = [np.frombuffer(p, np.uint32) for p in payloads]
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
@@ -338,29 +435,38 @@ def similar_documents(
     text: str = "text",
     keep: list[str] | None = None,
     limit: int = WEIGHT,
+    fill: int = FILL,
 ) -> DataFrame:
-    """The columns ``keep`` (by default ``doc_id``) of every row, fp (signed 64-bit) and root;
-    rows have one root if links join them.
+    """The columns ``keep`` (by default ``doc_id``) of every row, print (the fingerprint of its
+    set, WIDTH bits) and root; rows have one root if links join them.
 
     Linked are rows whose sets of word shingles (A-Z lower-cased; fewer words: the whole
-    sequence) have at least the similarity, compared exactly on 32-bit hashes. Candidates share
-    one of BANDS bands of least shingle hashes or the fingerprint. Null, empty and blank texts
+    sequence) have at least the similarity, compared exactly on 32-bit hashes. Candidates are what
+    the vantage-point trees over the fingerprints join; in a candidate group of more than
+    ``limit`` shingles, those of it that share a path. Null, empty and blank texts
     are alike; repeated rows come back repeated; an empty table gives no rows; other columns
     are ignored; result columns whose name is taken get underscores in front.
     """
     keep = [doc_id] if keep is None else keep
     rows = written(with_shingle_sets(_kept(docs, doc_id, text, keep), words), "simhash-sets")
-    classes = written(
-        rows.where("n > 0").groupBy(F.col("class").alias("item")).agg(*[F.first(c).alias(c) for c in ("n", "fp", "bands")]),
-        "simhash-bands",
-    )
-    keys = F.concat(F.col("bands"), F.array(F.xxhash64("fp")))
-    members = classes.select(F.explode(keys).alias("key"), "item", F.col("n").alias("weight"))
-    payload = rows.groupBy(F.col("class").alias("item")).agg(F.first("payload").alias("payload"))
+    sets = rows.where("n > 0").groupBy(F.col("class").alias("item"))
+    sets = written(sets.agg(F.first("n").alias("weight"), F.first("print").alias("print")), "simhash-classes")
+    prints = written(sets.groupBy("print").agg((F.min("weight") <= TINY).alias("tiny")), "simhash-prints")
+    blocks, common = tree_blocks(prints.count(), fill)
+    near = connected_components(candidates(prints, blocks, common))
+    group = F.xxhash64(F.coalesce("component", "print"))
+    grouped = sets.join(near, F.col("print") == F.col("node"), "left").select(group.alias("key"), "item", "weight", "print")
+    sizes = grouped.groupBy("key").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).where("n > 1")
+    grouped = written(grouped.join(sizes.select("key", "total"), "key"), "simhash-groups")
+    members = grouped.where(F.col("total") <= limit).select("key", "item", "weight")
+    below = _paths(grouped.where(F.col("total") > limit).withColumn("tiny", F.col("weight") <= TINY), blocks, common)
+    members = members.unionByName(below.select(F.xxhash64("key", "path").alias("key"), "item", "weight"))
+    payload = rows.join(grouped.select("item"), F.col("class") == F.col("item"), "left_semi")
+    payload = written(payload.groupBy(F.col("class").alias("item")).agg(F.first("payload").alias("payload")), "simhash-payload")
     found = connected_components(forest(members, partial(_set_search, similarity), limit, payload))
-    rooted = rows.select("kept_columns", "fp", "class").join(found, F.col("class") == F.col("node"), "left")
+    rooted = rows.select("kept_columns", "print", "class").join(found, F.col("class") == F.col("node"), "left")
     rooted = rooted.withColumn("root", F.coalesce("component", "class"))
-    return _named(docs, keep, rooted, ["fp", "root"])
+    return _named(docs, keep, rooted, ["print", "root"])
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,7 +483,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: s
     names = [free_name(keyed, n) for n in ("id", "row", "stay")]
     with scratch(docs.sparkSession, "simhash"):
         found = similar_documents(keyed, words, similarity, doc_id, text, keep=[doc_id, key])
-        found = found.toDF("id", "row", "fp", "root")
+        found = found.toDF("id", "row", "print", "root")
         rows = written(found.groupBy("root", "id", "row").agg(F.count("*").alias("times")), "simhash-rows")
         stay = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("stays"))
         stays = F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("row") == F.col("stays.row"))

@@ -836,3 +836,112 @@ def test_keep_one(spark, docs, empty):
 def test_digests_are_stated_ones():
     assert warc.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def plain_classes(points, radius):
+    """The least point that links of at most ``radius`` bits reach, for points of any width."""
+    root = {p: p for p in points}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a, b in itertools.combinations(points, 2):
+        if (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count() <= radius:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {p: find(p) for p in points}
+
+
+@pytest.mark.parametrize("limit", [100000, 40])
+def test_candidates_are_what_the_trees_join(spark, limit):
+    rng = random.Random(21)
+    points = [bytes(32), b"\xff" * 32]  # all bits differ
+    for near in (120, 60, 1, 1, 0, 0):
+        centre = rng.getrandbits(256)
+        for _ in range(near + 1):
+            p = centre
+            for b in rng.sample(range(256), rng.randint(0, 90)):
+                p ^= 1 << b
+            points.append(p.to_bytes(32, "little"))
+    points += [rng.randbytes(32) for _ in range(150)]
+    df = spark.createDataFrame([(bytearray(p), False) for p in points], "print binary, tiny boolean").repartition(3)
+    blocks, common = simhash.tree_blocks(len(points))
+    assert blocks.shape == (1, 0) and common == 1
+    edges = [(bytes(r["a"]), bytes(r["b"])) for r in simhash.candidates(df, blocks, common, limit).collect()]
+    root = {p: p for p in points}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {p: find(p) for p in points} == plain_classes(sorted(points), simhash.RADIUS)
+
+
+def test_wide_prints():
+    """A bit of the wide fingerprint is the majority's over the different, mixed hashes; sets of
+    similarity 0.8 lie within the radius and share a path of some tree."""
+    rng = random.Random(2)
+    assert simhash.wide_print(np.zeros(0, np.uint64)) == bytes(32)
+    for n in (1, 4, 300, 700):
+        hashes = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+        own = np.frombuffer(simhash.wide_print(hashes), "<u8")
+        for k, word in enumerate(own.tolist()):
+            mixed = []
+            for h in hashes.tolist():
+                m = (h ^ int(simhash._SEEDS[0][k])) * (int(simhash._SEEDS[1][k]) | 1) & (1 << 64) - 1
+                m = (m ^ m >> 32) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+                mixed.append(m ^ m >> 29)
+            assert word == sum((1 << b) for b in range(64) if 2 * sum(m >> b & 1 for m in mixed) > n)
+    for size, common, tiny in ((5, 4, True), (14, 13, False), (90, 80, False)):
+        other = size if size == 90 else common
+        left, right = [], []
+        for _ in range(1000):
+            hashes = np.array([rng.getrandbits(64) for _ in range(2 * size)], np.uint64)
+            left.append(simhash.wide_print(hashes[:size]))
+            right.append(simhash.wide_print(np.concatenate([hashes[:common], hashes[size : size + other - common]])))
+        a, b = (np.unpackbits(simhash._words(p).view(np.uint8), axis=1, bitorder="little") for p in (left, right))
+        assert ((a != b).sum(1) <= simhash.RADIUS).mean() > 0.999
+        for n in (5_000, 400_000):
+            blocks, every = simhash.tree_blocks(n)
+            used = blocks if tiny else blocks[:every]
+            shared = np.any([(a[:, k] == b[:, k]).all(1) for k in used], axis=0)
+            assert shared.mean() > 0.99 and len(blocks) >= every > 1
+
+
+def test_pairs_that_least_hashes_missed(spark):
+    """Pairs of similarity 0.8 of which none shared a band of least shingle hashes."""
+    rows = []
+    for i in (12, 407, 1585, 2356, 2463, 3639, 5567):
+        rng = random.Random(i)
+        w = [f"w{rng.randrange(5000)}" for _ in range(104)]
+        rows += [(2 * i, " ".join(w[:94])), (2 * i + 1, " ".join(w[:84] + [f"x{k}" for k in range(10)]))]
+    assert similar_groups([t for _, t in rows]) == [k - k % 2 for k in range(14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [d for d, _ in rows[::2]]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 3000])
+def test_similar_documents_below_many_paths(spark, limit):
+    """Paths of several bits: each tree holds a part of the pairs, all trees hold them all."""
+    rng = random.Random(13)
+    texts = make_texts()
+    for n, copies in [(60, 3), (200, 4), (300, 60)] + [(80, 1)] * 60:
+        words = [f"w{rng.randint(0, 4000)}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for _ in range(copies):
+            changed = list(words)
+            for i in rng.sample(range(n), rng.randint(1, max(1, n // 60))):
+                changed[i] = f"v{rng.randint(0, 10**6)}"
+            texts.append(" ".join(changed))
+    want = similar_groups(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert simhash.tree_blocks(200, fill=8)[0].shape[1] == 5
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_documents(df, limit=limit, fill=8).collect()}
+    first = {}
+    for i in range(len(texts)):
+        first.setdefault(got[i], i)
+    assert [first[got[i]] for i in range(len(texts))] == want
