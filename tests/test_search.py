@@ -65,3 +65,22 @@ def test_works_by_search(spark):
     got = {r["ref_id"]: r["work"] and r["work"]["doi"] for r in merge.with_work(records, held, "search").collect()}
     assert got == {1: "10.1/W3", 2: "10.1/W0", 3: "10.1/W1", 4: None, 5: None}
     assert {r["work"] and r["work"]["doi"] for r in merge.with_work(records, held).collect()} == {"10.1/W3", None}
+
+
+def test_questions_that_a_work_holds_whole(spark, monkeypatch):
+    """They are settled on the list of their rarest term, however long; lists in several parts give
+    the same, and only the other questions read the lists of their heavy terms."""
+    rng = random.Random(7)
+    title = lambda: " ".join(rng.sample(WORDS[:12], k=5)) + " lot"
+    works = [(f"10.1/{i:03}", title(), "Perez, J.") for i in range(200)]
+    records = [(i, " ".join(rng.sample(works[i][1].split(), k=4)) + (" unheardof" if i % 9 == 0 else ""), None) for i in range(60)]
+    records += [(100 + i, works[i][1] + " rho sigma", "Gomez") for i in range(20)]
+    works += [("10.2/1", "rho", None), ("10.2/2", "sigma Gomez", "Gomez")]
+    asked, plain = [], search._round
+    monkeypatch.setattr(search, "PART", 16)
+    monkeypatch.setattr(search, "_round", lambda q, *rest: (asked.append(q.count()), plain(q, *rest))[1])
+    df = spark.createDataFrame(records, "ref_id long, titulo_original string, autores string")
+    held = spark.createDataFrame(works, "doi string, titulo_original string, autores string").repartition(3)
+    out = search.search_works(df, held, 50, 5)
+    assert Counter((r["ref_id"], r["work_doi"], r["score"], r["mass"]) for r in out.collect()) == brute(records, works, 50)
+    assert asked[0] >= 60 and max(asked[1:]) <= 20
