@@ -26,3 +26,26 @@ def test_title_query_and_sql_where_works_share_a_doi(spark, tmp_path):
     own = {(r.ref_id, r.ano) for r in registry.queries()["mrg_03_title"](spark, str(tmp_path)).collect()}
     first = {k % 18000: y for k, y in own if k < 18000}
     assert {y - first[k % 18000] for k, y in own if (k - k // 18000 * 18000) % 6 == 0} >= {0, 2, 3}  # not all of the work's year
+
+
+def test_long_texts_are_cut_by_few_passes(spark):
+    """At a space in the last tenth or at the limit, by characters and not bytes; the text is cut once in the plan."""
+    from pyspark.sql import functions as F
+
+    from quillflow.functions import normalize
+    from quillflow.functions import patterns as P
+
+    def expected(t, limit):
+        if t is None or len(t) <= limit:
+            return t
+        space = t[:limit].rfind(" ")
+        return t[: space if space > int(limit * 0.9) else limit] + P.TRUNCATED
+
+    texts = [None, "", "a", " ", "x" * 50, "x" * 51, "é" * 50, "é" * 51, "漢 " * 40, "x" * 45 + " " + "y" * 20, "x" * 46 + " " + "y" * 20, "é" * 46 + " 漢" + "y" * 20]
+    texts += ["x" * 49 + " " + "y", "x" * 50 + " ", " " * 60, "😀" * 47 + " b c", "x y" + "z" * 60, "ab " * 16 + "é" * 3]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for limit in (50, 51, 10):
+        made = df.select("t", normalize.truncated(F.col("t"), limit).alias("v"))
+        assert [r.v for r in made.collect()] == [expected(t, limit) for t in texts]
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert plan.count("substring(") <= 2 and plan.count("reverse(") == 0
