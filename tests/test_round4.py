@@ -49,3 +49,26 @@ def test_long_texts_are_cut_by_few_passes(spark):
         assert [r.v for r in made.collect()] == [expected(t, limit) for t in texts]
     plan = made._jdf.queryExecution().analyzed().toString()
     assert plan.count("substring(") <= 2 and plan.count("reverse(") == 0
+
+
+def test_reference_lists_are_read_without_xpath(spark):
+    """No call of an XPath function for each element; elements that can't be read, that end at once or
+    that declare namespaces take nothing from the others of their list."""
+    from pyspark.sql import functions as F
+
+    from quillflow.functions import tei
+
+    one = "<biblStruct{a}><analytic><title level='a'>Title {t}</title><author/><author><persName><surname>S{t}</surname></persName></author></analytic>{r}</biblStruct>"
+    good = [one.format(a=a, t=i, r="<date>2001-02</date>") for i, a in enumerate(("", " xml:id='b1'", ' xmlns="http://x"', ' n="a>b"'))]
+    bad = ["<biblStruct><a></biblStruct>", "<biblStruct>&nbsp;</biblStruct>", "<biblStruct><!-- </biblStruct>", "<biblStruct/>", "<bibl/>", "<bibl>a < b</bibl>"]
+    lists = [None, "", good[0], good[0] * 3, "".join(good), bad[0] + good[0] + bad[1] + good[1], "".join([*bad[3:5], *good, bad[5], "<bibl>x<!-- n -->y</bibl>"]), good[2] + bad[2]]
+    lists += [good[0] * 7 + "<bibl>raw</bibl>" * 3, good[0] * 6 + "<bibl>raw</bibl>" * 4, "<bibl>" + "long " * 30000 + "</bibl>"]
+    df = spark.createDataFrame(list(enumerate(lists)), "i int, x string").coalesce(1)
+    refs = df.select("i", tei.references(F.col("x")).alias("r")).withColumn("good", tei.good_quality(F.col("r")))
+    assert "xpath" not in refs._jdf.queryExecution().analyzed().toString()
+    got = {r.i: r for r in refs.collect()}
+    assert [None if r.r is None else len(r.r) for _, r in sorted(got.items())] == [None, 0, 1, 3, 4, 2, 5, 1, 10, 10, 1]
+    assert [(r.title, r.authors, r.year) for r in got[4].r] == [(f"Title {i}", f"S{i}", 2001) for i in range(4)]
+    assert got[6].r[-1].raw_text == "xy" and got[10].r[0].raw_text == ("long " * 30000).strip()
+    df = spark.createDataFrame([("<biblStruct><title level='a'>A title long enough</title><date when='1999'/></biblStruct>" * n + "<bibl>raw</bibl>" * (10 - n),) for n in range(11)], "x string")
+    assert [r[0] for r in df.select(tei.good_quality(tei.references(F.col("x")))).collect()] == [n >= 7 for n in range(11)]
